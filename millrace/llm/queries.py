@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, simhash
+from millrace.llm import decontaminate, html, kneserney, langid, linededup, mixing, quality, secrets, simhash
 from millrace.llm.common import table
 
 
@@ -13,6 +13,43 @@ def op1_language_id(spark, sf_dir):
     return langid.predict(docs).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "n_langs")
 
 
+def op2_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs, counts=True)
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+        FROM documents WHERE text IS NOT NULL)
+), f AS (
+  SELECT doc_id, i, row_number() OVER d AS p, k, lead(k, 1) OVER d AS k2, lead(k, 2) OVER d AS k3
+  FROM l WHERE k <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), w AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY k, k2, k3 ORDER BY doc_id, p) AS n FROM f WHERE k3 IS NOT NULL
+), gone AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS p FROM w WHERE n > 1
+), marked AS (
+  SELECT l.doc_id, l.i, l.line, f.p, gone.p IS NOT NULL AS g
+  FROM l LEFT JOIN f USING (doc_id, i) LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.p = f.p
+), near AS (
+  SELECT *, coalesce(last_value(CASE WHEN p IS NOT NULL THEN g END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), false) AS g1,
+    coalesce(first_value(CASE WHEN p IS NOT NULL THEN g END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false) AS g2
+  FROM marked
+), kept AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE CASE WHEN p IS NULL THEN NOT (g1 AND g2) ELSE NOT g END), '') AS text,
+    count(p) AS n_lines, count(*) FILTER (WHERE g) AS n_removed
+  FROM near GROUP BY doc_id
+)
+SELECT doc_id, kept.text, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op3_html_text(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark, sf_dir):
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     ids = F.array_sort("items")
@@ -51,13 +88,40 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+#: Least length-normalised log-likelihood ratio (nats an n-gram) of a document that is kept.
+QUALITY_THRESHOLD = -0.03
+
+
+def op7_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return quality.rules(docs, quality.ratios(docs, trusted), QUALITY_THRESHOLD)
+
+
+def op8_perplexity(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return kneserney.classify(table(spark, sf_dir, "documents"), trusted)
+
+
+def op9_secret_scan(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans")
+    )
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op4_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_html_text, op4_decontamination, op6_mixing, op7_quality_rules, op8_perplexity, op9_secret_scan, op10_simhash)}
 
 
 def oracle_sql():
-    return {"op4_decontamination": OP4_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL}
