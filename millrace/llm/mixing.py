@@ -135,8 +135,9 @@ def pieces(laid: DataFrame, block: int = BLOCK) -> DataFrame:
     document. Documents without words have one row of nulls."""
     blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     p = laid.select("*", F.explode_outer(blocks).alias("block"))
-    lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
-    hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
+    some = F.col("block").isNotNull()  # greatest and least pass nulls over
+    lo = F.when(some, F.greatest(F.col("start") - F.col("block") * block, F.lit(0)))
+    hi = F.when(some, F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block)))
     return p.select("*", lo.alias("lo"), hi.alias("hi"), (F.col("block") * block + lo - F.col("start")).alias("from"))
 
 
@@ -146,7 +147,7 @@ def taken(docs: DataFrame) -> DataFrame:
     mix = slots(checkpoint(quotas(sources))).select("src", "block", "take")
     row = ["doc_id", "size", "source_size", "target", "src", "bucket", "rn"]
     used = pieces(laid).join(mix, ["src", "block"], "left")
-    n = F.greatest(F.least("hi", "take") - F.col("lo"), F.lit(0))
+    n = F.greatest(F.least(F.col("hi"), F.coalesce("take", F.lit(0))) - F.col("lo"), F.lit(0))
     return used.groupBy(*row).agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("taken")).select(*row[:4], "taken")
 
 
