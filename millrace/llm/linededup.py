@@ -46,7 +46,7 @@ def repeats(docs: DataFrame, size: int = 3) -> DataFrame:
     w = docs.select("doc_id", F.xxhash64("text").alias("th"), F.inline(windows)).where(F.col("n") >= size).drop("n")
     where = F.struct("doc_id", "th", "p")
     first = w.groupBy("w1", "w2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = w.join(first, ["w1", "w2"]).where(~where.eqNullSafe(F.col("first")))
+    later = w.join(first.hint("merge"), ["w1", "w2"]).where(~where.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("p")).alias("at"))
 
 
@@ -69,7 +69,8 @@ def dedup(docs: DataFrame, size: int = 3, counts: bool = False) -> DataFrame:
     ``counts`` also n_lines (full lines before) and n_removed."""
     found = repeats(docs, size).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("at").alias("__at"))
     keyed = docs.withColumn("__h", F.xxhash64("text"))
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    # What is found grows with the documents: a sort-merge join at every size.
+    joined = keyed.join(found.hint("merge"), keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     new = F.when(F.col("__at").isNotNull(), let(_lines(), lambda x: let(_full(x), lambda f: let(F.col("__at"), lambda a: _without(x, f, a, size)))))
     out = joined.withColumn("__new", new)
     cols = {"text": F.when(F.col("__new").isNull(), F.col("text")).otherwise(F.col("__new.text"))}

@@ -193,5 +193,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: the row with the smallest doc_id of each class stays (once, if
     repeated); rows without a doc_id stay."""
     kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # The kept ids grow with the documents: a sort-merge join at every size.
+    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
