@@ -41,7 +41,8 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     documents, of which ``trusted`` (doc_id) names those of the target. Counts are pre-aggregated in
     each task to a row for each bucket."""
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__t")).distinct()
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__t"), "left")
+    # Trusted ids grow with the documents: a sort-merge join at every size.
+    marked = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("__t"), "left")
     flat = marked.select(F.col("__t").isNotNull().cast("long").alias("t"), F.explode(let(_hashes(F.col("text")), _grams)).alias("bucket"))
     n = flat.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(n, "bucket", "left").na.fill(0)
