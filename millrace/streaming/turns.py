@@ -13,7 +13,7 @@ OUT = "turn_id string, text string, status string"
 MESSAGE = "chat_message string, role_instructions string, model string, HEADERS map<string,string>"
 
 
-def _step(key, batches, state: GroupState):
+def _step(key, batches, state: GroupState, silent_ms: int | None):
     """One turn: text so far is its state. A turn is given once, when it ends or its time is up."""
     if state.hasTimedOut:
         text = state.get[0]
@@ -34,26 +34,29 @@ def _step(key, batches, state: GroupState):
                 status = "complete" if finish in ("stop", "length") else "error"
         done = status is not None
     state.update((text, done))
-    state.setTimeoutDuration(60_000)
+    if silent_ms:
+        state.setTimeoutDuration(silent_ms)
     if status:
         yield pd.DataFrame([(key[0], text, status)], columns=["turn_id", "text", "status"])
 
 
-def _timed(key, batches, state):
-    if state.hasTimedOut and state.get[1]:
-        state.remove()  # given already
-        return
-    yield from _step(key, batches, state)
-
-
-def accumulate(lines: DataFrame) -> DataFrame:
+def accumulate(lines: DataFrame, silent_ms: int | None = 60_000) -> DataFrame:
     """lines(turn_id, seq, line), a stream of events, as a stream of ended turns (turn_id, text, status).
 
-    Lines of one turn must come in order of their batches. A turn that is silent for a minute ends as
-    timed out, so state is bounded by the turns that are open or have just ended.
+    Lines of one turn must come in order of their batches. A turn that is silent for silent_ms ends as
+    timed out, so state is bounded by the turns that are open or have just ended; such a query runs on
+    and on. None, for replays that end with their input, keeps the state of every turn.
     """
+
+    def run(key, batches, state):
+        if state.hasTimedOut and state.get[1]:
+            state.remove()  # given already
+            return
+        yield from _step(key, batches, state, silent_ms)
+
     e = lines.select(F.col("turn_id").cast("string").alias("turn_id"), "seq", chat.parse_event("line").alias("e")).where("e is not null").select("turn_id", "seq", "e.*")
-    return e.groupBy("turn_id").applyInPandasWithState(_timed, OUT, "text string, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if silent_ms else GroupStateTimeout.NoTimeout
+    return e.groupBy("turn_id").applyInPandasWithState(run, OUT, "text string, done boolean", "append", timeout)
 
 
 def messages(spark: SparkSession, path: str) -> DataFrame:

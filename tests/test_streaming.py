@@ -13,14 +13,13 @@ def test_turns_over_batches(spark, tmp_path):
     schema, source = "turn_id string, seq long, line string", tmp_path / "in"
     source.mkdir()
     batches = [[("a", 0, event("Hel")), ("b", 0, event("x"))], [("a", 1, event("lo")), ("a", 2, event("", "stop")), ("b", 1, "data: {broken")], [("a", 3, event("late")), ("c", 0, "data: [DONE]")]]
-    q = turns.accumulate(spark.readStream.schema(schema).json(str(source))).writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        for i, rows in enumerate(batches):
-            (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("turn_id", "seq", "line"), r))) for r in rows))
-            q.processAllAvailable()
-    finally:
-        q.stop()
-    assert sorted(map(tuple, spark.sql("select * from ended").collect())) == [("a", "Hello", "complete"), ("b", "x", "error"), ("c", "", "complete")]
+    out = str(tmp_path / "out")
+    for i, rows in enumerate(batches):  # one run a batch, as a restarted query would have it
+        (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("turn_id", "seq", "line"), r))) for r in rows))
+        ended = turns.accumulate(spark.readStream.schema(schema).json(str(source)), silent_ms=None)
+        q = ended.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("a", "Hello", "complete"), ("b", "x", "error"), ("c", "", "complete")]
 
 
 def test_saved_turns(spark, tmp_path):
@@ -28,8 +27,7 @@ def test_saved_turns(spark, tmp_path):
     source.mkdir()
     (source / "0.json").write_text(json.dumps({"turn_id": "a", "text": "two words two", "status": "complete"}))
     stream = spark.readStream.schema(turns.OUT).json(str(source))
-    q = turns.save_turns(stream, str(tmp_path / "db"), str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = turns.save_turns(stream, str(tmp_path / "db"), str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
     assert spark.read.parquet(str(tmp_path / "db/chats")).count() == 1
     assert spark.read.parquet(str(tmp_path / "db/postings")).agg(F.sum("f")).first()[0] == 3
