@@ -321,9 +321,9 @@ def fts_relaxation(spark, d):
     return _rounded(s, "id").withColumn("level", F.lit(level))
 
 
-@query(_bm25_sql(PAIR_ROWS, ["la", "le"], key="row_id AS id, 'and_2' AS level", k=3, where="WHERE row_id IN (SELECT row_id FROM p GROUP BY row_id HAVING count(*) = 2)"))
+@query(_bm25_sql(PAIR_ROWS, ["with", "from"], key="row_id AS id, 'and_2' AS level", k=3, where="WHERE row_id IN (SELECT row_id FROM p GROUP BY row_id HAVING count(*) = 2)"))
 def fts_relaxation_at_least(spark, d):
-    level, s = search.relax(_chats(spark, d), "id", WEIGHTS, ["la", "le", "nosuchword"], top_n=2, accept="at_least")
+    level, s = search.relax(_chats(spark, d), "id", WEIGHTS, ["with", "from", "nosuchword"], top_n=2, accept="at_least")
     return _rounded(s, "id").withColumn("level", F.lit(level))
 
 
@@ -679,12 +679,12 @@ def _paths(spark, d):
     return table(spark, d, "part").select(F.concat(F.lit("/models/"), "p_brand", F.lit("/"), F.lpad(F.col("p_partkey").cast("string"), 7, "0"), ext).alias("path"))
 
 
-@query(f"""SELECT path FROM ({PATHS}) p WHERE NOT path LIKE '%.txt' AND path <= (SELECT min(path) FROM ({PATHS}) q WHERE q.dir = p.dir AND (path LIKE '%.GGUF' OR path LIKE '%.safetensors'))""")
+@query(f"""SELECT path FROM ({PATHS}) p WHERE NOT path LIKE '%.txt' AND path <= coalesce((SELECT min(path) FROM ({PATHS}) q WHERE q.dir = p.dir AND (path LIKE '%.GGUF' OR path LIKE '%.safetensors')), path)""")
 def model_scan(spark, d):
     return files.model_files(_paths(spark, d)).select("path")
 
 
-@query(f"SELECT dir AS name, min(path) AS path, 'safetensors' AS model_type, 0.9 AS top_p FROM ({PATHS}) WHERE path LIKE '%.safetensors' GROUP BY dir")
+@query(f"SELECT dir AS name, min(path) AS path, 'safetensors' AS model_type, CAST(0.9 AS DOUBLE) AS top_p FROM ({PATHS}) WHERE path LIKE '%.safetensors' GROUP BY dir")
 def first_model_scan(spark, d):
     return files.first_model_per_folder(_paths(spark, d), ".safetensors").select("name", "path", "model_type", "top_p")
 
