@@ -752,6 +752,58 @@ def event_windows(spark, d):
     return table(spark, d, "events").groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+@query(f"""SELECT conv_id * 1000 + turn AS id, 'User: ' || prompt || chr(10) || 'Assistant: ' || response AS embedded_text,
+(conv_id * 1000 + turn) || '-2024-01-02T03:04:05Z' AS entry_id, prompt || chr(10) || response AS body FROM ({PAIRS})""")
+def saved_turns(spark, d):
+    chats, entries = chat.saved(_chats(spark, d), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    e = entries.select(F.split_part("id", F.lit("-"), F.lit(1)).cast("long").alias("id"), F.col("id").alias("entry_id"), "body")
+    return chats.select("id", "embedded_text").join(e, "id")
+
+
+@query("""WITH l AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <= 3)
+SELECT src, dst FROM l WHERE NOT (src = 1 AND dst % 2 = 0) UNION SELECT 1, dst FROM l WHERE src = 1 AND dst % 4 = 0""")
+def edge_updates(spark, d):
+    """Edges are added, some deleted, and some of those added again."""
+    e = _supplies(spark, d).where("src <= 3").select("src", "dst").distinct()
+    log = graph.add_edges(spark.createDataFrame([], tables.SCHEMAS["edge_log"]), e, 1)
+    log = graph.remove_edges(log, e.where("src = 1 and dst % 2 = 0"), 2)
+    return graph.active(graph.add_edges(log, e.where("src = 1 and dst % 4 = 0"), 3)).select("src", "dst")
+
+
+@query("SELECT url_no, CAST(i AS INTEGER) AS i, u FROM (SELECT url_no, unnest(range(0, len(l))) AS i, unnest(l) AS u FROM (SELECT page_id AS url_no, [url, url || '#a', 'x', 'y'][1:page_id % 4] AS l FROM pages))")
+def first_urls(spark, d):
+    """At most three URLs of a list; fewer, or none, where there are fewer."""
+    u = F.array("url", F.concat("url", F.lit("#a")), F.lit("x"), F.lit("y"))
+    p = table(spark, d, "pages").select(F.col("page_id").alias("url_no"), F.slice(u, F.lit(1), (F.col("page_id") % 4).cast("int")).alias("l"))
+    return p.select("url_no", F.posexplode(F.slice("l", 1, 3)).alias("i", "u"))
+
+
+@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS newlines, CASE WHEN doc_id % 2 = 0 THEN 'enabled' ELSE 'disabled' END AS state FROM documents")
+def newline_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.count_of("text", "\n").alias("newlines"), X.enabled_label(F.col("doc_id") % 2 == 0).alias("state"))
+
+
+@query("SELECT package, list_sort(list(name)) AS names FROM (SELECT 'F' || doc_id AS name, 'p' || doc_id % 3 AS package FROM documents WHERE doc_id % 2 = 0) GROUP BY package")
+def exported_functions(spark, d):
+    i = F.col("doc_id")
+    f = table(spark, d, "documents").select(F.concat(F.when(i % 2 == 0, "F").otherwise("f"), i.cast("string")).alias("name"), F.concat(F.lit("p"), (i % 3).cast("string")).alias("package"))
+    return code.exported_by_package(f)
+
+
+@query(f"SELECT row_id AS id, score FROM ({_tfidf_sql('SELECT p_partkey AS row_id, ' + TOKENS.format('p_name') + ' AS t FROM part', ['small', 'ring'], 1)})")
+def name_search(spark, d):
+    """The best match of a name, as a search for one function gives it."""
+    s = search.tfidf(table(spark, d, "part"), "p_partkey", ["p_name"], ["small", "ring"])
+    return _rounded(search.top(s.withColumn("score", F.round("score", 6)), 1), "id")
+
+
+@query("SELECT n_nationkey AS id, 'R' || n_regionkey AS type FROM nation UNION ALL SELECT 25 + r_regionkey, 'S' || r_regionkey FROM region")
+def property_nodes(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("type"), F.create_map(F.lit("name"), F.col("n_name")).alias("data"))
+    new = table(spark, d, "region").select(F.concat(F.lit("S"), F.col("r_regionkey").cast("string")).alias("type"), F.create_map(F.lit("name"), F.col("r_name")).alias("data"))
+    return graph.add_nodes(n, new).select(F.col("id").cast("int").alias("id"), "type")
+
+
 # --- flagship ---------------------------------------------------------------------------------------
 
 
