@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, html, kneserney, langid, linededup, mixing, quality, secrets, simhash
+from millrace.llm import decontaminate, html, kneserney, langid, licenses, linededup, mixing, quality, secrets, simhash
 from millrace.llm.common import table
 
 
@@ -88,6 +88,11 @@ FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op5_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_blocks").cast("long").alias("n_blocks"), F.array_join("licenses", ",").alias("licenses"), "findings")
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -120,7 +125,7 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_html_text, op4_decontamination, op6_mixing, op7_quality_rules, op8_perplexity, op9_secret_scan, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_html_text, op4_decontamination, op5_license_scan, op6_mixing, op7_quality_rules, op8_perplexity, op9_secret_scan, op10_simhash)}
 
 
 def oracle_sql():
