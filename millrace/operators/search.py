@@ -28,10 +28,18 @@ def rows(docs: DataFrame, row_id: str, columns: dict[str, float], **how) -> Data
     return docs.select(F.col(row_id).alias("row_id"), F.concat(*parts).alias("t"))
 
 
-def postings(docs: DataFrame, row_id: str, columns: dict[str, float], terms=None, **how) -> DataFrame:
-    """(row_id, term, f, size), of the given terms only if there are any."""
+def postings(docs: DataFrame, row_id: str, columns: dict[str, float], terms=None, prefix: bool = False, **how) -> DataFrame:
+    """(row_id, term, f, size), of the given terms only if there are any; prefix: a term stands for all
+    words that start so."""
     r = rows(docs, row_id, columns, **how)
-    kept = F.col("t") if terms is None else F.filter("t", lambda x: x["term"].isin(list(terms)))
+
+    def starting(w):
+        return F.transform(F.filter("t", lambda x: x["term"].startswith(w)), lambda x: x.withField("term", F.lit(w)))
+
+    if terms is None:
+        kept = F.col("t")
+    else:
+        kept = F.concat(*map(starting, terms)) if prefix else F.filter("t", lambda x: x["term"].isin(list(terms)))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in columns.values())), F.col("x.col") + 1)
     return r.select("row_id", F.size("t").alias("size"), F.explode(kept).alias("x")).groupBy("row_id", F.col("x.term").alias("term"), "size").agg(F.sum(weight).alias("f"))
 
@@ -47,12 +55,12 @@ def idf():
     return F.when(raw <= 0, 1e-6).otherwise(raw)
 
 
-def bm25(docs: DataFrame, row_id: str, columns: dict[str, float], terms: list[str], **how) -> DataFrame:
-    """(row_id, score) of all rows with any of the terms; a larger score is a better match.
+def bm25(docs: DataFrame, row_id: str, columns: dict[str, float], terms: list[str], prefix: bool = False, **how) -> DataFrame:
+    """(row_id, score) of all rows with any of the terms (or prefixes); a larger score is a better match.
 
     The scan that counts the corpus is that which finds the postings: both read tokens once.
     """
-    p = postings(docs, row_id, columns, terms, **how)
+    p = postings(docs, row_id, columns, terms, prefix, **how)
     s = statistics(docs, row_id, columns, **how)
     df = p.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
     one = p.join(F.broadcast(df), "term").select("*", s.select("n").scalar().alias("n"), s.select("mean").scalar().alias("mean"))
@@ -121,13 +129,9 @@ def relax(docs: DataFrame, row_id: str, columns: dict[str, float], terms: list[s
             break
     else:
         raise LookupError("no documents found after generalizing query")
-    if name == "prefix":
-        p = rows(docs, row_id, columns, **how).select(F.explode(F.filter("t", lambda x: reduce(lambda a, b: a | b, [x["term"].startswith(w) for w in terms]))["term"]).alias("term")).distinct()
-        used = [r.term for r in p.collect()]  # words of the vocabulary, which is bounded by its language
-    else:
-        used = terms if name == "or" else terms[: int(name[4:])]
+    used = terms if name in ("or", "prefix") else terms[: int(name[4:])]
     rule = {"prefix": "prefix", "or": "any"}.get(name) or f"lead >= {name[4:]}"
-    scored = bm25(docs, row_id, columns, used, **how).join(level.where(rule).select("row_id"), "row_id")
+    scored = bm25(docs, row_id, columns, used, name == "prefix", **how).join(level.where(rule).select("row_id"), "row_id")
     return name, top(scored, limit)
 
 

@@ -67,8 +67,8 @@ def test_search(spark):
     assert level == "or" and {r.row_id for r in got.collect()} == {0, 1}
     level, got = search.relax(d, "doc_id", {"text": 1.0}, ["gamma", "nothing"], top_n=3, accept="at_least")
     assert level == "and_1" and got.count() == 3
-    level, _ = search.relax(d, "doc_id", {"text": 1.0}, ["alph"], top_n=1)
-    assert level == "prefix"
+    level, got = search.relax(d, "doc_id", {"text": 1.0}, ["alph"], top_n=1)
+    assert level == "prefix" and {r.row_id for r in got.collect()} == {0, 3}
     with pytest.raises(LookupError):
         search.relax(d, "doc_id", {"text": 1.0}, ["zzz"], top_n=3)
     s = search.bm25(d, "doc_id", {"text": 1.0}, ["gamma"])
