@@ -76,7 +76,7 @@ def quotas(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def slots(quota: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """The mix: (shard, slot, src, block, take), take being the words used of the block (all, but for
+    """The mix: (shard, slot, src, source, block, take), take being the words used of the block (all, but for
     each source's last slot)."""
     some = 1 << 16
     part = quota.select("first", "n_slots", "total", "k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / some))).alias("c")).repartition("first", "c")
@@ -86,32 +86,34 @@ def slots(quota: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame
     point = F.pmod(F.xxhash64(F.lit(SEED + 2), F.col("slot")), F.col("total"))
     drawn = line.select("slot", point.alias("point"), F.floor(point / cell).alias("cell"))
     held = quota.select("src", "first", "n_slots", F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor((F.col("first") + F.col("n_slots") - 1) / cell))).alias("cell"))
-    drawn = drawn.join(held, "cell").where("point >= first and point < first + n_slots").select("slot", "src", "n_slots", F.floor(F.col("slot") / shard).alias("shard"))
+    # Joins here are sort-merge at every size: slots grow with the words, and a plan that explodes few
+    # rows into many looks small enough to broadcast.
+    drawn = drawn.join(held.hint("merge"), "cell").where("point >= first and point < first + n_slots").select("slot", "src", "n_slots", F.floor(F.col("slot") / shard).alias("shard"))
     within = Window.partitionBy("shard", "src").orderBy("slot")
     drawn = checkpoint(drawn.withColumn("k", F.row_number().over(within) - 1))
     counts = checkpoint(drawn.groupBy("src", "shard").agg(F.count("*").alias("n"), F.first("n_slots").alias("n_slots")))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = counts.select("src", "shard", before.alias("before"))
-    drawn = drawn.join(begins, ["src", "shard"]).withColumn("j", F.col("before") + F.col("k"))
+    drawn = drawn.join(begins.hint("merge"), ["src", "shard"]).withColumn("j", F.col("before") + F.col("k"))
     fits = drawn.where("j < n_slots").select("shard", "slot", "src", "j")
     over = drawn.where("j >= n_slots").select("shard", "slot")
     # The surplus by (shard, slot) meets what is missing by (source, index), rank by rank.
     extra = counts.select("src", "shard", "n", (F.col("n_slots") - before).alias("room")).select("shard", F.greatest(F.col("n") - F.greatest(F.col("room"), F.lit(0)), F.lit(0)).alias("n"))
     extra = extra.groupBy("shard").agg(F.sum("n").alias("n")).where("n > 0")
     extra = extra.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    over = over.withColumn("k", F.row_number().over(Window.partitionBy("shard").orderBy("slot")) - 1).join(extra, "shard").select("shard", "slot", (F.col("base") + F.col("k")).alias("rank"))
+    over = over.withColumn("k", F.row_number().over(Window.partitionBy("shard").orderBy("slot")) - 1).join(extra.hint("merge"), "shard").select("shard", "slot", (F.col("base") + F.col("k")).alias("rank"))
     got = counts.groupBy("src").agg(F.sum("n").alias("got"))
     less = quota.select("src", "n_slots").join(got, "src", "left").select("src", "n_slots", F.coalesce("got", F.lit(0)).alias("got")).where("got < n_slots")
     less = less.withColumn("base", F.coalesce(F.sum(F.col("n_slots") - F.col("got")).over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     less = less.select("src", "base", "got", F.explode(F.sequence(F.col("got"), F.col("n_slots") - 1)).alias("j")).select("src", "j", (F.col("base") + F.col("j") - F.col("got")).alias("rank"))
-    all_slots = fits.unionByName(over.join(less, "rank").select("shard", "slot", "src", "j"))
-    q = quota.select("src", "n_blocks", "last", "j_last", "want")
-    s = all_slots.join(q, "src")
+    all_slots = fits.unionByName(over.join(less.hint("merge"), "rank").select("shard", "slot", "src", "j"))
+    q = quota.select("src", "source", "n_blocks", "last", "j_last", "want")
+    s = all_slots.join(q.hint("merge"), "src")
     s = s.withColumn("block", _permuted(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), F.col("src")))
     short = F.lit(block) - F.col("last")
     done = F.col("j") * block - short * ((F.col("j") > F.col("j_last")).cast("long") + (F.col("j") > F.col("j_last") + F.col("n_blocks")).cast("long"))
     size = F.when(F.col("block") == F.col("n_blocks") - 1, F.col("last")).otherwise(F.lit(block))
-    return s.select("shard", "slot", "src", "block", F.least(size, F.col("want") - done).alias("take")).where("take > 0")
+    return s.select("shard", "slot", "src", "source", "block", F.least(size, F.col("want") - done).alias("take")).where("take > 0")
 
 
 def lay_out(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -119,14 +121,15 @@ def lay_out(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     their size, bucket, rn (rank in the bucket) and start (first word's index in the source)."""
     cols = list(dict.fromkeys(["doc_id", *keep]))
     d = docs.select(*(F.col(c).alias(f"__{c}") for c in cols), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("th"))
-    d = d.withColumn("bucket", F.pmod(F.xxhash64("__doc_id"), F.lit(BUCKETS)))
-    parts = checkpoint(d.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
-    sources = checkpoint(targets(parts.groupBy("source").agg(F.sum("n").alias("source_size"))))
-    at = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = at.join(sources, at["source"].eqNullSafe(sources["source"])).select(at["source"].alias("s"), F.col("bucket").alias("b"), "base", "src", "source_size", "target")
-    by = Window.partitionBy("source", "bucket").orderBy("__doc_id", "th", "size")
+    # A key that is never null: the window, and the join after it, then share one exchange of the texts.
+    d = d.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).withColumn("bucket", F.pmod(F.xxhash64("__doc_id"), F.lit(BUCKETS)))
+    parts = checkpoint(d.groupBy("source", "key", "bucket").agg(F.sum("size").alias("n")))
+    sources = checkpoint(targets(parts.groupBy("source", "key").agg(F.sum("n").alias("source_size"))))
+    at = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = at.select("key", "bucket", "base").join(sources.select("key", "src", "source_size", "target").hint("merge"), "key")
+    by = Window.partitionBy("key", "bucket").orderBy("__doc_id", "th", "size")
     d = d.withColumn("rn", F.row_number().over(by)).withColumn("upto", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    d = d.join(at.hint("merge"), ["key", "bucket"])
     return sources, d.select(*(F.col(f"__{c}").alias(c) for c in keep), "src", "source_size", "target", "size", "bucket", "rn", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
 
 
@@ -146,7 +149,7 @@ def taken(docs: DataFrame) -> DataFrame:
     sources, laid = lay_out(docs, ["doc_id"])
     mix = slots(checkpoint(quotas(sources))).select("src", "block", "take")
     row = ["doc_id", "size", "source_size", "target", "src", "bucket", "rn"]
-    used = pieces(laid).join(mix, ["src", "block"], "left")
+    used = pieces(laid).join(mix.hint("merge"), ["src", "block"], "left")
     n = F.greatest(F.least(F.col("hi"), F.coalesce("take", F.lit(0))) - F.col("lo"), F.lit(0))
     return used.groupBy(*row).agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("taken")).select(*row[:4], "taken")
 
@@ -156,10 +159,12 @@ def mix(docs: DataFrame) -> DataFrame:
     hold the words of the documents that lie in them, in order."""
     sources, laid = lay_out(docs, ["doc_id", "text"])
     p = pieces(laid.withColumn("w", words(F.col("text"))).drop("text")).where("block is not null")
-    # Qualified as a struct: lo orders the pieces, of which a block has at most BLOCK.
-    part = F.struct("lo", "doc_id", F.slice("w", F.col("from").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int")).alias("w"))
-    whole = p.select("src", "block", part.alias("p")).groupBy("src", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    m = slots(checkpoint(quotas(sources))).join(whole, ["src", "block"]).join(sources.select("src", "source"), "src")
+    # Pieces travel as strings, a third the size of arrays of words; lo orders them, BLOCK a block at most.
+    own = F.array_join(F.slice("w", F.col("from").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int")), " ")
+    whole = p.select("src", "block", F.struct("lo", "hi", "doc_id", own.alias("text")).alias("p"))
+    whole = whole.groupBy("src", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    m = slots(checkpoint(quotas(sources))).hint("merge").join(whole, ["src", "block"])
     used = F.filter("p", lambda x: x["lo"] < F.col("take"))
-    text = F.array_join(F.slice(F.flatten(F.transform("p", lambda x: x["w"])), F.lit(1), F.col("take").cast("int")), " ")
-    return m.select("shard", "slot", "source", F.col("take").alias("n_words"), F.transform(used, lambda x: x["doc_id"]).alias("doc_ids"), text.alias("text"))
+    text = F.array_join(F.transform("p", lambda x: x["text"]), " ")
+    cut = F.when(F.element_at("p", -1)["hi"] <= F.col("take"), text).otherwise(F.array_join(F.slice(F.split(text, " "), F.lit(1), F.col("take").cast("int")), " "))
+    return m.select("shard", "slot", "source", F.col("take").alias("n_words"), F.transform(used, lambda x: x["doc_id"]).alias("doc_ids"), cut.alias("text"))
