@@ -14,10 +14,11 @@ their row; a null doc_id is neither held out nor learned from; other columns are
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -193,17 +194,28 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame) -> tuple[list[tuple[str, str]], list[str]]:
-    """Training rows, TRAIN_DOCS at most, evenly over the labels, by a hash of doc_id; and the labels."""
+    """Training rows, TRAIN_DOCS at most (4 a label if there are more labels than a quarter of that),
+    evenly over the labels; and the labels.
+
+    Rows are drawn by a hash of doc_id at a rate that follows from the label's count, so no task orders a
+    whole language; the first by hash of those drawn stay.
+    """
     may = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    labels = sorted(r.lang for r in may.select("lang").distinct().collect())
-    if not labels:
+    counts = {r.lang: r.n for r in may.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return [], []
-    each = max(4, TRAIN_DOCS // len(labels))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r.doc_id for r in may.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).collect()]
-    rows = may.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"]).collect()
-    rows.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
-    return [(r.text, r.lang) for r in rows], labels
+    each, steps = max(4, TRAIN_DOCS // len(counts)), 1 << 30
+    rates = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(steps, steps * 3 * each // (2 * n)))))
+    drawn = may.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < rates[F.col("lang")])
+    rows = drawn.select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"]).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.lang))
+    seen: Counter = Counter()
+    out = []
+    for r in rows:
+        seen[r.lang] += 1
+        if seen[r.lang] <= each:
+            out.append((r.text, r.lang))
+    return out, sorted(counts)
 
 
 def predict(docs: DataFrame, keep=("doc_id",), model: dict | None = None) -> DataFrame:
