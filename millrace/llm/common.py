@@ -38,6 +38,21 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def slices(column, most: int = 4 << 20):
+    """Parts of an Arrow column of texts, each of up to ``most`` bytes (or of one text that has more), so
+    that a worker's memory doesn't follow the length of documents."""
+    import pyarrow.compute as pc
+
+    at, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if size + n > most and i > at:
+            yield column[at:i]
+            at, size = i, 0
+        size += n
+    if len(column) > at:
+        yield column[at:]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of edges(a, b); root is the smallest vertex of its component.
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import slices
+
 #: ASCII letters and all non-ASCII bytes stay, the rest separates words (texts are lower-cased before).
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 ASCII = bytes(c for c in range(256) if 97 <= c <= 122)
@@ -231,8 +233,8 @@ def predict(docs: DataFrame, keep=("doc_id",), model: dict | None = None) -> Dat
         labels = sent.value["labels"]
         for b in batches:
             texts, names, scores, many = b.column(b.num_columns - 1), [], [], []
-            for lo in range(0, len(texts), 2000):
-                for p in labeller.shares(texts[lo : lo + 2000].to_pylist()):
+            for part in slices(texts):
+                for p in labeller.shares(part.to_pylist()):
                     best = None if p is None else int(p.argmax())
                     names.append("und" if p is None else labels[best])
                     scores.append(0.0 if p is None else float(min(1.0, p[best])))
