@@ -1,7 +1,8 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is one of bytes: each word is read as its UTF-8 bytes and a space, every byte predicted from
-the ORDER - 1 before it, with spaces before the word. Counts cover all trusted text; continuation
+The model is one of bytes: a text is read as its words with a space after each, every byte predicted
+from the ORDER - 1 before it, with spaces before the text. With ``across`` (the query) contexts run on
+over the words; without it, they begin anew, with spaces, at each word. Counts cover all trusted text; continuation
 counts, context totals, discounts (Chen and Goodman 1999) and lower orders are joined by n-gram, hashed
 over the cluster. Scoring joins the finished table to the documents shard by shard: a shard holds all
 entries whose context ends in the same bytes, is broadcast only because its size is bounded, and every
@@ -32,6 +33,8 @@ ORDER = 5
 SHARD = 4_000_000
 #: Words whose scores a worker keeps.
 CACHE = 300_000
+#: Bytes of running text that are looked up or counted at a time.
+BLOCK = 1 << 20
 
 
 def mask(k: int) -> int:
@@ -51,7 +54,46 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[real], np.cumsum(sizes + 1) - (sizes + 1)
 
 
-def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def pieces(text: bytes | None):
+    """A text as its words with a space after each, in pieces of BLOCK predicted bytes or fewer, each
+    behind the ORDER - 1 bytes before it (spaces before the first); none of a text without words."""
+    words = (text or b"").split()
+    if words:
+        x = b" " * (ORDER - 1) + b" ".join(words) + b" "
+        for at in range(0, len(x) - ORDER + 1, BLOCK):
+            yield x[at : at + BLOCK + ORDER - 1]
+
+
+def blocks(texts):
+    """(pieces, numbers of their texts) of about BLOCK bytes."""
+    held, owners, size = [], [], 0
+    for i, t in enumerate(texts):
+        for x in pieces(t):
+            held.append(x)
+            owners.append(i)
+            size += len(x)
+            if size >= BLOCK:
+                yield held, owners
+                held, owners, size = [], [], 0
+    if held:
+        yield held, owners
+
+
+def running(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """One n-gram of ORDER bytes for each predicted byte of each piece, and where each piece's begin."""
+    sizes = np.fromiter(map(len, held), dtype=np.int64, count=len(held))
+    x = np.frombuffer(b"".join(held), dtype=np.uint8).astype(np.int64)
+    key = np.zeros(len(x) - ORDER + 1, dtype=np.int64)
+    for j in range(ORDER):
+        key = key << 8 | x[j : len(x) - ORDER + 1 + j]
+    real, ends = np.ones(len(key), bool), np.cumsum(sizes)[:-1]
+    for j in range(1, ORDER):
+        real[ends - j] = False
+    sizes -= ORDER - 1
+    return key[real], np.cumsum(sizes) - sizes
+
+
+def counts(docs: DataFrame, trusted: DataFrame, across: bool = False) -> DataFrame:
     """(g, c) over all texts of docs whose doc_id is in ``trusted``; tasks add up before they emit."""
     ids = trusted.where("doc_id is not null").select("doc_id").distinct()
 
@@ -74,9 +116,15 @@ def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         if seen:
             yield emit()
 
+    def run_across(batches):
+        for b in batches:
+            for held, _ in blocks(t.as_py() for t in b.column(0).cast(pa.binary())):
+                g, c = np.unique(running(held)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c.astype(np.int64))], ["g", "c"])
+
     # Trusted ids grow with the documents: a sort-merge join at every size.
     text = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select("text")
-    return text.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return text.mapInArrow(run_across if across else run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def discounts(n: dict[int, int]) -> list[float]:
@@ -153,14 +201,16 @@ def find(table, keys):
 
 
 class Scorer:
-    """Log probabilities of words under one shard; bytes of other shards count nothing."""
+    """Log probabilities of words or running texts under one shard; bytes of other shards count nothing."""
 
     def __init__(self, pack, tables):
         self.tables, self.own, self.rows = tables, np.isin(np.arange(256), pack), {}
         self.scores = np.zeros(0)
 
     def score(self, words: list[bytes]) -> np.ndarray:
-        keys, starts = ngrams(words)
+        return self.sums(*ngrams(words))
+
+    def sums(self, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys))
         todo = np.flatnonzero(self.own[keys >> 8 & 255])
         for k in range(ORDER, 0, -1):
@@ -192,8 +242,16 @@ class Scorer:
         sums = np.add.reduceat(np.append(self.scores[np.array(at, dtype=np.int64)], 0.0), np.cumsum(sizes) - sizes) if split else []
         return [(float(s) if n else 0.0, sum(map(len, w)) + n) for s, n, w in zip(sums, sizes, split)]
 
+    def texts_across(self, texts) -> list[tuple[float, int]]:
+        """The same with contexts that run on over the words."""
+        logp, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+        for held, owners in blocks(texts):
+            np.add.at(logp, owners, self.sums(*running(held)))
+            np.add.at(n, owners, [len(x) - ORDER + 1 for x in held])
+        return list(zip(logp.tolist(), n.tolist()))
+
 
-def perplexities(docs: DataFrame, model: DataFrame, bound: int = SHARD) -> DataFrame:
+def perplexities(docs: DataFrame, model: DataFrame, bound: int = SHARD, across: bool = False) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity) of every row of docs."""
     df = docs.select("doc_id", "lang", "text", F.lit(0.0).alias("logp"), F.lit(0).cast("long").alias("n"))
     for pack, tables in shards(model, bound):
@@ -204,7 +262,7 @@ def perplexities(docs: DataFrame, model: DataFrame, bound: int = SHARD) -> DataF
             for b in batches:
                 texts, got = b.column(2).cast(pa.binary()), []
                 for part in slices(texts):
-                    got += scorer.texts(part.to_pylist())
+                    got += (scorer.texts_across if across else scorer.texts)(part.to_pylist())
                 logp = np.array([s for s, _ in got]) + b.column(3).to_numpy()
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(logp), pa.array([n for _, n in got], pa.int64())], names=["doc_id", "lang", "text", "logp", "n"])
 
@@ -222,11 +280,11 @@ def thresholds(scored: DataFrame, share: float, step: float = 0.001) -> DataFram
     return reach.where(F.col("upto") >= F.col("all") * share).groupBy("lang").agg(F.exp(F.min("bin") * step).alias("threshold"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, share: float = 0.99, bound: int = SHARD) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, share: float = 0.99, bound: int = SHARD, across: bool = False) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, kept) of every row of docs."""
-    model = estimate(counts(docs, trusted))
+    model = estimate(counts(docs, trusted, across))
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__t")).distinct()
-    scored = checkpoint(perplexities(docs, model, bound))
+    scored = checkpoint(perplexities(docs, model, bound, across))
     marked = scored.join(ids, F.col("doc_id") == F.col("__t"), "left").select(*scored.columns, F.col("__t").isNotNull().alias("trusted"))
     limit = thresholds(marked, share).withColumnRenamed("lang", "__lang")
     out = scored.join(limit, scored["lang"].eqNullSafe(F.col("__lang")), "left")

@@ -109,7 +109,7 @@ def op7_quality_rules(spark, sf_dir):
 
 def op8_perplexity(spark, sf_dir):
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return kneserney.classify(table(spark, sf_dir, "documents"), trusted)
+    return kneserney.classify(table(spark, sf_dir, "documents"), trusted, across=True)
 
 
 def op9_secret_scan(spark, sf_dir):

@@ -1,3 +1,4 @@
+import functools
 import math
 import random
 from collections import Counter, defaultdict
@@ -75,3 +76,60 @@ def test_no_trusted_text_and_empty(spark):
     (r,) = kn.classify(docs, none).collect()
     assert r.perplexity == pytest.approx(256) and r.kept
     assert kn.classify(none, none).count() == 0
+
+
+def running_reference(texts):
+    """The same recursion over the n-grams of whole texts; perplexity of a text."""
+    grams = lambda t: [x[i : i + 5] for w in [(t or "").encode().split()] if w for x in [b" " * 4 + b" ".join(w) + b" "] for i in range(len(x) - 4)]
+    tables = {5: Counter(g for t in texts for g in grams(t))}
+    for k in range(4, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    offs = {k: kn.discounts(Counter(c for c in t.values() if c <= 4)) for k, t in tables.items()}
+
+    @functools.cache
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        after = [(x, c) for x, c in tables[k].items() if x[:-1] == g[:-1]]
+        total = sum(c for _, c in after)
+        if not total:
+            return p(g[1:])
+        off = lambda c: offs[k][min(c, 3) - 1]
+        c = tables[k][g]
+        return (c - off(c) if c else 0) / total + sum(off(n) for _, n in after) / total * p(g[1:])
+
+    def perplexity(t):
+        gs = grams(t)
+        return math.exp(-sum(math.log(p(g)) for g in gs) / len(gs)) if gs else None
+
+    return perplexity
+
+
+@pytest.mark.parametrize("bound", [kn.SHARD, 200])
+def test_contexts_run_across_words(spark, bound):
+    rows = sample()
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+    ids = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long")
+    perplexity = running_reference([t for d, t, _ in rows if d is not None and d < 60 and d % 2 == 0])
+    got = kn.classify(docs, ids, 0.9, bound, across=True).collect()
+    assert sorted(map(str, ((r.doc_id, None if r.perplexity is None else round(r.perplexity, 6)) for r in got))) == sorted(map(str, ((d, None if (x := perplexity(t)) is None else round(x, 6)) for d, t, _ in rows)))
+
+
+def test_pieces_cover_the_text(monkeypatch):
+    monkeypatch.setattr(kn, "BLOCK", 7)
+    text = b" one\ttwo  three four "
+    whole = b"    one two three four "
+    assert b"".join(x[kn.ORDER - 1 :] for x in kn.pieces(text)) == whole[4:]
+    assert [int(g).to_bytes(5, "big") for held, _ in kn.blocks([text, None]) for g in kn.running(held)[0]] == [whole[i : i + 5] for i in range(len(whole) - 4)]
+
+
+def test_query_tells_shuffled_words_from_prose(spark, tmp_path):
+    from millrace.llm import queries
+
+    prose = "red foxes run over old hills while we sit near them"
+    mixed = " ".join(random.Random(4).sample(prose.split(), 11))
+    spark.createDataFrame([(i, prose, "aa") for i in range(50)] + [(50, mixed, "aa")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op8_perplexity(spark, str(tmp_path)).collect()}
+    assert got[50].perplexity > 1.2 * got[0].perplexity and got[0].kept and not got[50].kept
