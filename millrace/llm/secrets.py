@@ -26,7 +26,7 @@ KINDS = [
     ("hex", r"[0-9a-f]{32,}+", 0, "secret", True),
     ("short", ASSIGN, 1, "secret", False),
     ("name", r"""(?i:user(?:name)?|login|client_?id|account_?id|(?:access_)?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}""", 0, "name", False),
-    ("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_a-z-]*[A-Z])(?=[0-9+/_A-Z-]*[a-z])[A-Za-z0-9+/_-]{20,256}=*(?![A-Za-z0-9+/_=-])", 0, "secret", False),
+    ("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_a-z-]*[A-Z])(?=[0-9+/_A-Z-]*[a-z])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9+/_=-])", 0, "secret", False),
     ("endpoint", r"""(?i:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[^\x20\x09-\x0D"'<>]+""", 0, "endpoint", False),
 ]
 COMPLEMENT = {"name": ["secret"], "secret": ["name", "endpoint"], "endpoint": ["name", "secret"]}

@@ -41,3 +41,11 @@ def test_base_against_brute_force(spark):
 
 def test_empty(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_tokens_are_candidates(spark):
+    long = "aB3" * 100
+    texts = [f"see https://host/ and {long}==", f"{long} alone", f"login: 'carol' {'xY9/' * 20_000}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secrets.scan(docs).select("doc_id", secrets.joined("spans").alias("s")).collect()}
+    assert got == {0: "endpoint:4:17,mixed:22:324", 1: "", 2: "name:0:13,mixed:15:80015"}
