@@ -104,15 +104,44 @@ def forward_backward(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans
     return post, pairs
 
 
+def levelled(sizes: list[int], total: int) -> list[int]:
+    """Shares of ``total``, as even as sizes allow: what one leaves the others have."""
+    out, left = [0] * len(sizes), total
+    for rank, i in enumerate(sorted(range(len(sizes)), key=lambda i: (sizes[i], i))):
+        out[i] = min(sizes[i], left // (len(sizes) - rank))
+        left -= out[i]
+    return out
+
+
+def budgets(sizes: list[int], of: list[str]) -> list[int]:
+    """Words to take of each document: TRAIN_WORDS evenly over the labels, and a label's over its documents."""
+    each = {y: [i for i, x in enumerate(of) if x == y] for y in sorted(set(of))}
+    out = [0] * len(sizes)
+    for at, share in zip(each.values(), levelled([sum(sizes[i] for i in at) for at in each.values()], TRAIN_WORDS)):
+        for i, n in zip(at, levelled([sizes[i] for i in at], share)):
+            out[i] = n
+    return out
+
+
+def spread(words: list, n: int) -> list:
+    """n of the words, in runs of about 24 at even distances over the whole text."""
+    if n >= len(words):
+        return words
+    m, out = -(-n // 24), []
+    for j in range(m):
+        skipped = j * (len(words) - n) // m
+        out += words[j * n // m + skipped : (j + 1) * n // m + skipped]
+    return out
+
+
 def train(rows: list[tuple[str, str]], labels: list[str], steps: int = 25, seed: int = 7) -> dict:
     """Weights, transitions and first-label scores from (text, label) rows, by Adam on the regularised
     log-likelihood of spliced sequences (runs of 1 to 24 words from random documents)."""
     rng, k = np.random.default_rng(seed), len(labels)
-    vocab, runs, total = {}, [], 0
-    for text, label in rows:
-        w = tokens(text)[: max(0, TRAIN_WORDS - total)]
-        total += len(w)
-        ids = [vocab.setdefault(x, len(vocab)) for x in w]
+    vocab, runs = {}, []
+    sizes = [len(tokens(text)) for text, _ in rows]
+    for (text, label), n in zip(rows, budgets(sizes, [label for _, label in rows])):
+        ids = [vocab.setdefault(x, len(vocab)) for x in spread(tokens(text), n)]
         y, at = labels.index(label), 0
         while at < len(ids):
             n = int(rng.integers(1, 25))

@@ -57,3 +57,21 @@ def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[1:3] for r in langid.predict(docs).collect()] == [("und", 0.0)]
     assert langid.predict(docs.limit(0)).count() == 0 and langid.accepted(docs).count() == 0
+
+
+def test_long_documents_leave_other_labels_their_words(monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_WORDS", 3000)
+    rnd = random.Random(5)
+    rows = [(text(rnd, "aa", 20_000), "aa"), *((text(rnd, lang, 50), lang) for lang in ("bb", "cc") for _ in range(30))]
+    p = langid.Labeller(langid.train(rows, sorted(SYL))).shares([text(rnd, lang, 100) for lang in SYL])
+    assert [int(x.argmax()) for x in p] == [0, 1, 2]
+
+
+def test_word_budgets(monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_WORDS", 100)
+    assert langid.budgets([1000, 10, 5, 500], ["a", "a", "b", "b"]) == [40, 10, 5, 45]
+    assert langid.budgets([1000, 3], ["a", "b"]) == [97, 3] and langid.budgets([4, 0], ["a", "b"]) == [4, 0]
+    for size, n in ((1000, 97), (98, 97), (50, 49), (30, 1), (5, 9), (3, 0)):
+        got = langid.spread(list(range(size)), n)
+        assert len(got) == min(size, n) and got == sorted(set(got))
+    assert max(langid.spread(list(range(1000)), 97)) > 790
