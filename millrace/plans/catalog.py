@@ -403,6 +403,12 @@ def l2_normalize(spark, d):
     return table(spark, d, "embeddings").where("vec_id < 50").select("vec_id", F.posexplode(V.l2_normalize("embedding")).alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
+@query("""SELECT vec_id, CAST(i AS INTEGER) AS i, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x,
+sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))) AS n FROM embeddings)""")
+def l2_normalize_all(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(V.l2_normalize("embedding")).alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
 @query("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings")
 def blob_roundtrip(spark, d):
     return table(spark, d, "embeddings").select("vec_id", V.from_blob(V.to_blob(F.col("embedding").cast("array<double>"))).alias("vector"))
@@ -526,6 +532,12 @@ def graph_nodes(spark, d):
     return graph.get_or_create_nodes(old, table(spark, d, "documents").where("doc_id < 40").select(F.col("doc_id").alias("document_id")))
 
 
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) * 2 AS document_id FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY document_id), document_id FROM (SELECT DISTINCT doc_id AS document_id FROM documents WHERE doc_id NOT IN (SELECT n_nationkey * 2 FROM nation))")
+def graph_nodes_all(spark, d):
+    old = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey").cast("long") * 2).alias("document_id"))
+    return graph.get_or_create_nodes(old, table(spark, d, "documents").select(F.col("doc_id").alias("document_id")))
+
+
 # --- code -------------------------------------------------------------------------------------------
 
 FUNCTIONS = """SELECT 'f' || doc_id AS name, 'src/' || doc_id % 7 || '.go' AS file_path, text AS code, CAST(doc_id AS INTEGER) AS line_number,
@@ -642,6 +654,12 @@ def sync_tables(spark, d):
     return tables.sync(p.where("p_partkey % 2 = 0").drop("p_partkey"), p.where("p_partkey % 3 <> 0").drop("p_partkey"), unique=("name", "model_type", "path"))
 
 
+@query("SELECT p_name AS name, p_brand AS model_type, '/m/' || p_partkey AS path FROM part WHERE p_partkey % 3 <> 0")
+def sync_tables_all(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey"), F.col("p_name").alias("name"), F.col("p_brand").alias("model_type"), F.concat(F.lit("/m/"), F.col("p_partkey").cast("string")).alias("path"))
+    return tables.sync(p.where("p_partkey % 2 = 0").drop("p_partkey"), p.where("p_partkey % 3 <> 0").drop("p_partkey"), unique=("name", "model_type", "path"))
+
+
 @query("SELECT p_brand, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY p_brand")
 def first_per_group(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.min_by("p_name", "p_partkey").alias("p_name"))
@@ -770,6 +788,15 @@ def edge_updates(spark, d):
     return graph.active(graph.add_edges(log, e.where("src = 1 and dst % 4 = 0"), 3)).select("src", "dst")
 
 
+@query("""WITH l AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)
+SELECT src, dst FROM l WHERE NOT (src = 1 AND dst % 2 = 0) UNION SELECT 1, dst FROM l WHERE src = 1 AND dst % 4 = 0""")
+def edge_updates_all(spark, d):
+    e = _supplies(spark, d).select("src", "dst").distinct()
+    log = graph.add_edges(spark.createDataFrame([], tables.SCHEMAS["edge_log"]), e, 1)
+    log = graph.remove_edges(log, e.where("src = 1 and dst % 2 = 0"), 2)
+    return graph.active(graph.add_edges(log, e.where("src = 1 and dst % 4 = 0"), 3)).select("src", "dst")
+
+
 @query("SELECT url_no, CAST(i AS INTEGER) AS i, u FROM (SELECT url_no, unnest(range(0, len(l))) AS i, unnest(l) AS u FROM (SELECT page_id AS url_no, [url, url || '#a', 'x', 'y'][1:page_id % 4] AS l FROM pages))")
 def first_urls(spark, d):
     """At most three URLs of a list; fewer, or none, where there are fewer."""
