@@ -130,6 +130,12 @@ def index_entries(spark, d):
     return sizes.unionByName(first).groupBy("id", "kind").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.encode("body", "UTF-8"))).alias("n_bytes"))
 
 
+@query()
+def index_chunks(spark, d):
+    """The chunk entries of all texts; tests hold them against slices of the bytes."""
+    return chunking.index_entries(_metadata(table(spark, d, "documents"))).where("kind = 'chunk'").select("id", "body")
+
+
 # --- text -------------------------------------------------------------------------------------------
 
 GO_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -1,5 +1,7 @@
 """Queries over whole tables: no row is left out."""
 
+import hashlib
+
 import pyarrow.parquet as pq
 from test_catalog import DATA
 
@@ -16,3 +18,14 @@ def test_whole_tables(spark):
     assert run("sync_tables_all").count() == sum(k % 3 != 0 for k in column("part", "p_partkey"))
     assert set(column("documents", "doc_id")) <= {r.document_id for r in run("graph_nodes_all").collect()}
     assert {r.src for r in run("edge_updates_all").select("src").distinct().collect()} == set(column("lineitem", "l_suppkey"))
+
+
+def test_index_chunks(spark):
+    docs = catalog._metadata(catalog.table(spark, DATA, "documents")).select("page_content", "metadata.source").collect()
+    want = []
+    for text, source in docs:
+        b = (text or "").encode()
+        key = source if source is not None else hashlib.sha1(b).hexdigest()
+        want += [(f"{key}-{i // 2048}", b[i : i + 2048].decode(errors="replace")) for i in range(0, len(b), 2048)]
+    assert any(not k.endswith("-0") for k, _ in want)
+    assert sorted(map(tuple, catalog.queries()["index_chunks"](spark, DATA).collect())) == sorted(want)
