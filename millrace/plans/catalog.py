@@ -521,6 +521,20 @@ def bfs_connected(spark, d):
     return graph.reachable(_links(spark, d), start, docs).select("id")
 
 
+ALL_LINKS = "SELECT doc_id AS src, unnest([(doc_id * 7 + 3) % n, (doc_id + 11) % n]) AS dst FROM documents, (SELECT count(*) AS n FROM documents)"
+
+
+@query(f"""WITH RECURSIVE l AS ({ALL_LINKS}), r(id) AS (SELECT doc_id FROM documents WHERE doc_id = 0 UNION SELECT l.dst FROM r JOIN l ON l.src = r.id JOIN documents ON doc_id = l.dst WHERE l.dst % 13 <> 0)
+SELECT id FROM r""")
+def bfs_connected_all(spark, d):
+    """Reachability over links of all documents, to anywhere among them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    n = docs.count()
+    links = docs.select(F.col("id").alias("src"), F.explode(F.array((F.col("id") * 7 + 3) % n, (F.col("id") + 11) % n)).alias("dst"))
+    start = spark.createDataFrame([(0,)], "id long")
+    return graph.reachable(links, start, docs.where("id % 13 <> 0 or id = 0")).select("id")
+
+
 @query("SELECT user_id, row_number() OVER (ORDER BY m, user_id) - 1 AS id FROM (SELECT user_id, min(event_id) AS m FROM events GROUP BY user_id)")
 def id_dictionary(spark, d):
     return graph.dense_ids(table(spark, d, "events"), "user_id", "event_id")
@@ -771,6 +785,13 @@ def model_paths(spark, d):
     return chat.model_paths(e, m).select("event_id", "path")
 
 
+@query("SELECT event_id, 'p' || CAST((SELECT max(p_partkey) FROM part WHERE p_brand = 'Brand#11') AS VARCHAR) AS path FROM events")
+def model_paths_all(spark, d):
+    e = table(spark, d, "events").select("event_id", F.lit("Brand#11").alias("model"))
+    m = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
+    return chat.model_paths(e, m).select("event_id", "path")
+
+
 @query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     return table(spark, d, "events").groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
@@ -848,3 +869,13 @@ def retrieve(spark, d):
     docs = table(spark, d, "documents")
     hits = search.top(search.bm25(docs, "doc_id", {"text": 1.0}, TERMS).withColumn("score", F.round("score", 6)), 10)
     return vectors.lookup(hits.withColumnRenamed("row_id", "doc_id"), docs).select("doc_id", "score", F.left("text", F.lit(200)).alias("head"))
+
+
+@query(f"""WITH c AS (SELECT doc_id || '-' || idx AS id, doc_id, lower(coalesce(text, '')) AS text FROM (SELECT doc_id, 0 AS idx, text FROM documents)),
+top AS ({_bm25_sql("SELECT doc_id AS row_id, " + TOKENS.format("text") + " AS t, 1.0 AS w FROM documents", TERMS, k=10)})
+SELECT doc_id, score, text FROM top JOIN documents USING (doc_id)""")
+def retrieve_texts(spark, d):
+    """The same with whole texts."""
+    docs = table(spark, d, "documents")
+    hits = search.top(search.bm25(docs, "doc_id", {"text": 1.0}, TERMS).withColumn("score", F.round("score", 6)), 10)
+    return vectors.lookup(hits.withColumnRenamed("row_id", "doc_id"), docs).select("doc_id", "score", "text")

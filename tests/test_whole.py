@@ -3,6 +3,7 @@
 import hashlib
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from test_catalog import DATA
 
 from millrace.plans import catalog
@@ -20,6 +21,27 @@ def test_whole_tables(spark):
     assert {r.src for r in run("edge_updates_all").select("src").distinct().collect()} == set(column("lineitem", "l_suppkey"))
 
 
+def test_whole_jobs(spark):
+    run = lambda name: catalog.queries()[name](spark, DATA)
+    assert run("model_paths_all").count() == len(column("events", "event_id"))
+    texts = dict(zip(column("documents", "doc_id"), column("documents", "text")))
+    got = run("retrieve_texts").collect()
+    assert len(got) == 10 and all(r.text == texts[r.doc_id] for r in got) and any(len(r.text) > 200 for r in got)
+
+
+def test_links_follow_the_row_count(spark, tmp_path):
+    n = 1000
+    spark.range(n).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, todo = {0}, [0]
+    while todo:
+        x = todo.pop()
+        new = {y for y in ((x * 7 + 3) % n, (x + 11) % n) if y % 13} - seen
+        seen |= new
+        todo += new
+    assert len(seen) > 400
+    assert sorted(r.id for r in catalog.queries()["bfs_connected_all"](spark, str(tmp_path)).collect()) == sorted(seen)
+
+
 def test_index_chunks(spark):
     docs = catalog._metadata(catalog.table(spark, DATA, "documents")).select("page_content", "metadata.source").collect()
     want = []
