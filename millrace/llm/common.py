@@ -69,9 +69,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = large.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = checkpoint(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
     roots = e.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(roots)

@@ -14,45 +14,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, connected_components
+from millrace.llm.common import checkpoint, connected_components, slices
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
+WHITE = frozenset(b" \t\n\v\f\r")
 #: Lane i of SPREAD[v] is bit i of the byte v; up to 255 such words can be added without carry.
 SPREAD = np.array([sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], dtype=np.uint64)
 
 
-def shingle_hashes(text: bytes | None, n: int) -> list[int]:
+def runs(text: bytes | None, most: int = 1 << 20):
+    """The lower-cased words of a text, in lists from about ``most`` bytes each."""
+    x, at = text or b"", 0
+    while at < len(x):
+        end = min(len(x), at + most)
+        while end < len(x) and x[end] not in WHITE:
+            end += 1
+        w = x[at:end].translate(LOWER).split()
+        if w:
+            yield w
+        at = end
+
+
+def shingle_hashes(text: bytes | None, n: int):
+    """Arrays of the hashes of a text's n-word shingles (of the whole sequence, if shorter), piece by piece."""
     from xxhash import xxh64_intdigest as h
 
-    w = (text or b"").translate(LOWER).split()
-    if not w:
-        return []
-    if len(w) < n:
-        return [h(b" ".join(w), SEED)]
-    join = b" ".join
-    return [h(join(t), SEED) for t in zip(*(w[i:] for i in range(n)))]
+    join, tail, some = b" ".join, [], False
+    for w in runs(text):
+        w = tail + w
+        if len(w) >= n:
+            some = True
+            yield np.fromiter((h(join(t), SEED) for t in zip(*(w[i:] for i in range(n)))), dtype=np.uint64, count=len(w) - n + 1)
+        tail = w[max(0, len(w) - n + 1) :]
+    if tail and not some:
+        yield np.array([h(join(tail), SEED)], dtype=np.uint64)
 
 
-def majority(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """The fingerprint of each consecutive run of hashes: bits that over half of the run have."""
+def tallies(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each consecutive run of hashes (none is empty), how many have each bit."""
     out = np.zeros((len(sizes), 64), dtype=np.int64)
-    starts, owner, at = [], [], 0
-    for k, n in enumerate(sizes):
-        cut = range(at, at + n, 255)
-        starts += cut
-        owner += [k] * len(cut)
-        at += n
-    if starts:
-        starts, owner = np.array(starts), np.array(owner)
-        ends = np.append(starts[1:], at)
-        for lo in range(0, len(starts), 512):
-            s, e = starts[lo : lo + 512], ends[min(lo + 511, len(starts) - 1)]
-            lanes = SPREAD[hashes[s[0] : e].view(np.uint8).reshape(-1, 8)]
-            sums = np.add.reduceat(lanes, s - s[0], axis=0).view(np.uint8).reshape(-1, 64)
-            np.add.at(out, owner[lo : lo + 512], sums)
-    bits = out * 2 > np.array(sizes, dtype=np.int64)[:, None]
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1).astype(np.uint64)
+    pieces = -(-sizes // 255)
+    owner = np.repeat(np.arange(len(sizes)), pieces)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + 255 * nth
+    ends = np.append(starts[1:], len(hashes))
+    for lo in range(0, len(starts), 256):
+        s, e = starts[lo : lo + 256], ends[min(lo + 255, len(starts) - 1)]
+        lanes = SPREAD[hashes[s[0] : e].view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(lanes, s - s[0], axis=0).view(np.uint8).reshape(-1, 64)
+        np.add.at(out, owner[lo : lo + 256], sums)
+    return out
+
+
+def majority(texts, n: int, most: int = 100_000) -> np.ndarray:
+    """The fingerprint of each text: bits that over half of its shingles' hashes have. Some ``most``
+    hashes (or those of one piece of a text) are held at a time."""
+    ones, total = np.zeros((len(texts), 64), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    held, owner, size = [], [], 0
+
+    def add():
+        sizes = np.array([len(x) for x in held])
+        np.add.at(ones, owner, tallies(np.concatenate(held), sizes))
+        np.add.at(total, owner, sizes)
+        held.clear(), owner.clear()
+
+    for k, t in enumerate(texts):
+        for x in shingle_hashes(t.as_py(), n):
+            held.append(x)
+            owner.append(k)
+            size += len(x)
+            if size >= most:
+                add()
+                size = 0
+    if held:
+        add()
+    return np.packbits(ones * 2 > total[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
@@ -61,17 +98,8 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out, hashes, sizes = [], [], []
-            for t in b.column(1).cast(pa.binary()):
-                got = shingle_hashes(t.as_py(), n)
-                hashes.append(np.array(got, dtype=np.uint64))
-                sizes.append(len(got))
-                if sum(sizes) > 200_000:
-                    out.append(majority(np.concatenate(hashes), sizes))
-                    hashes, sizes = [], []
-            if sizes:
-                out.append(majority(np.concatenate(hashes), sizes))
-            fps = np.concatenate(out) if out else np.zeros(0, np.uint64)
+            parts = [majority(part, n) for part in slices(b.column(1).cast(pa.binary()))]
+            fps = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp long")
@@ -80,18 +108,24 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """The number of fingerprints and, for every two bits, how many have both: summed over all rows."""
 
+    upper = np.triu_indices(64)
+
     def run(batches):
-        total = np.zeros((64, 64))
+        total, rows = np.zeros((64, 64)), 0
         for b in batches:
             x = np.asarray(b.column(0)).view(np.uint8).reshape(-1, 8)
             x = np.unpackbits(x, axis=1, bitorder="little").astype(np.float32)
             total += x.T @ x
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([len(x)])], ["k", "v"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.array(total.reshape(-1).astype(np.int64))], ["k", "v"])
+            rows += len(x)
+        if rows:
+            both = np.append(total[upper], rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both))), pa.array(both.astype(np.int64))], ["k", "v"])
 
     rows = fps.select("fp").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
     got = {r.k: r.v for r in rows}
-    return got.get(-1, 0), np.array([got.get(k, 0) for k in range(4096)], dtype=float).reshape(64, 64)
+    both = np.zeros((64, 64))
+    both[upper] = [got.get(k, 0) for k in range(len(upper[0]))]
+    return got.get(len(upper[0]), 0), np.maximum(both, both.T)
 
 
 def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
@@ -167,10 +201,10 @@ def links(fps: DataFrame, tau: int = 2, hot: int = 64) -> DataFrame:
             cases.append(F.transform(F.filter(flips, lambda f: F.col("fp").bitwiseAND(f) == 0), lambda f: F.struct(F.lit(i).alias("part"), key.bitwiseOR(f).alias("key"), F.lit(False).alias("base"))))
     probes = fps.select("fp", F.explode(F.concat(*cases)).alias("s")).select("fp", "s.*")
     sizes = probes.groupBy("part", "key").agg(F.count("*").alias("n"), F.max("base").alias("any_base")).where("n > 1 and any_base")
-    probes = checkpoint(probes.join(sizes.select("part", "key", "n"), ["part", "key"]))
+    probes = checkpoint(probes.join(sizes.select("part", "key", "n").hint("merge"), ["part", "key"]))
     cold = probes.where(F.col("n") <= hot)
     a, b = cold.select("part", "key", F.col("fp").alias("a"), F.col("base").alias("abase")), cold.where("base").select("part", "key", F.col("fp").alias("b"))
-    pairs = a.join(b, ["part", "key"]).where("(not abase or a < b) and bit_count(a ^ b) between 1 and %d" % tau).select("a", "b")
+    pairs = a.join(b.hint("merge"), ["part", "key"]).where("(not abase or a < b) and bit_count(a ^ b) between 1 and %d" % tau).select("a", "b")
     near = F.concat(F.array(F.col("fp")), F.transform(F.array(*(F.lit(signed(1 << i)) for i in range(64))), lambda f: F.col("fp").bitwiseXOR(f)))
     balls = probes.where(F.col("n") > hot).select("fp").distinct().select("fp", F.explode(near).alias("point"))
     met = balls.groupBy("point").agg(F.collect_list("fp").alias("m")).where("size(m) > 1")
@@ -183,10 +217,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, tau: int = 2) -> DataFrame:
     fps = checkpoint(fingerprints(docs, n))
     reps = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = checkpoint(connected_components(links(reps.select("fp"), tau)))
-    ids = reps.join(roots, reps.fp == roots.v, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    ids = reps.join(roots.hint("merge"), reps.fp == roots.v, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = ids.join(least, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = ids.join(least.hint("merge"), "root").select("fp", "component_id")
+    return fps.join(of.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
