@@ -1,78 +1,79 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
 The model is one of bytes: a text is read as its words with a space after each, every byte predicted
-from the ORDER - 1 before it, with spaces before the text. With ``across`` (the query) contexts run on
-over the words; without it, they begin anew, with spaces, at each word. Counts cover all trusted text; continuation
-counts, context totals, discounts (Chen and Goodman 1999) and lower orders are joined by n-gram, hashed
-over the cluster. Scoring joins the finished table to the documents shard by shard: a shard holds all
-entries whose context ends in the same bytes, is broadcast only because its size is bounded, and every
-shard takes one pass over the documents, so no text is shuffled for scoring.
+from the ORDER - 1 before it, with spaces before the text. Contexts run on over the words. Counts cover all
+trusted text; continuation counts, context totals, discounts (Chen and Goodman 1999) and lower orders are
+joined by n-gram, hashed over the cluster.
+
+No document is scored by a model that has seen it: texts fall into two folds by a hash of their words, and
+each fold is scored by the model of the other's trusted texts (by that of all of them, if they lie in one
+fold). So trusted documents and others are held against the threshold alike.
+
+Scoring joins counts by shard. Texts are packed into compressed blocks of bounded size; a block asks for its
+distinct n-grams, one packed row a shard; shards, which hold all entries whose contexts end in the same two
+bytes, meet the requests of all blocks (in parts of bounded size) and answer with log probabilities, which
+meet the blocks again. Nothing that grows is sent to the driver or broadcast: orders 1 and 2 (65,536 n-grams
+at most) and the shards of byte pairs go out with the code.
 
 A document is kept if its perplexity is at most its language's threshold: a quantile of the perplexities
 of that language's trusted documents (of all its documents if none is trusted).
 
 Defined results: null texts and texts without words have no perplexity and are not kept; without any
 trusted text every byte has probability 1/256; a null lang is a language of its own; a null doc_id is
-never trusted; repeated rows count and are returned each; other columns are ignored.
+never trusted; repeated rows count and are returned each, with equal perplexities; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import checkpoint, slices
 
 ORDER = 5
-#: Entries of a shard, 16 bytes each on the driver and in each Python worker.
-SHARD = 4_000_000
-#: Words whose scores a worker keeps.
-CACHE = 300_000
-#: Bytes of running text that are looked up or counted at a time.
-BLOCK = 1 << 20
+PAD = b" " * (ORDER - 1)
+#: Bytes of text in a block (a longer text is a block of its own), and of those looked up at a time.
+BLOCK, PIECE = 16 << 20, 1 << 20
+#: Model entries of a shard (more only where one pair of bytes has more: 256^3 n-grams at most), shards
+#: at least, and requests of full blocks that a part of a shard answers.
+SHARD, LEAST, REQUESTS = 2_000_000, 8, 32
 
 
 def mask(k: int) -> int:
     return (1 << 8 * k) - 1
 
 
-def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """One n-gram of ORDER bytes for each predicted byte of each word, and where each word's begin."""
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    pad = b" " * (ORDER - 1)
-    x = np.frombuffer(pad + (b" " + pad).join(words) + b" ", dtype=np.uint8).astype(np.int64)
-    key = np.zeros(len(x) - ORDER + 1, dtype=np.int64)
-    for j in range(ORDER):
-        key = key << 8 | x[j : len(x) - ORDER + 1 + j]
-    begins = np.cumsum(sizes + ORDER) - (sizes + ORDER)
-    real = np.arange(len(key)) - np.repeat(begins, sizes + ORDER)[: len(key)] <= np.repeat(sizes, sizes + ORDER)[: len(key)]
-    return key[real], np.cumsum(sizes + 1) - (sizes + 1)
+def normal(text: bytes | None) -> bytes:
+    """The words of a text with a space after each."""
+    w = (text or b"").split()
+    return b" ".join(w) + b" " if w else b""
 
 
-def pieces(text: bytes | None):
-    """A text as its words with a space after each, in pieces of BLOCK predicted bytes or fewer, each
-    behind the ORDER - 1 bytes before it (spaces before the first); none of a text without words."""
-    words = (text or b"").split()
-    if words:
-        x = b" " * (ORDER - 1) + b" ".join(words) + b" "
-        for at in range(0, len(x) - ORDER + 1, BLOCK):
-            yield x[at : at + BLOCK + ORDER - 1]
+def pieces(text: bytes):
+    """A normalised text in pieces of PIECE predicted bytes or fewer, each behind the ORDER - 1 bytes
+    before it (spaces before the first)."""
+    x = PAD + text
+    for at in range(0, len(text), PIECE):
+        yield x[at : at + PIECE + ORDER - 1]
 
 
-def blocks(texts):
-    """(pieces, numbers of their texts) of about BLOCK bytes."""
+def gathered(texts):
+    """(pieces, numbers of their texts) of about PIECE bytes."""
     held, owners, size = [], [], 0
     for i, t in enumerate(texts):
         for x in pieces(t):
             held.append(x)
             owners.append(i)
             size += len(x)
-            if size >= BLOCK:
+            if size >= PIECE:
                 yield held, owners
                 held, owners, size = [], [], 0
     if held:
@@ -93,38 +94,86 @@ def running(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[real], np.cumsum(sizes) - sizes
 
 
-def counts(docs: DataFrame, trusted: DataFrame, across: bool = False) -> DataFrame:
-    """(g, c) over all texts of docs whose doc_id is in ``trusted``; tasks add up before they emit."""
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
+def distinct(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the texts in order, and how often each occurs."""
+    grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for held, _ in gathered(texts):
+        g, c = np.unique(running(held)[0], return_counts=True)
+        grams.append(g)
+        counts.append(c)
+    g, at = np.unique(np.concatenate(grams), return_inverse=True)
+    return g, np.bincount(at, weights=np.concatenate(counts), minlength=len(g)).astype(np.int64)
 
-    def run(batches):
-        seen = Counter()
 
-        def emit():
-            keys, starts = ngrams(list(seen))
-            n = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
-            g, at = np.unique(keys, return_inverse=True)
-            c = np.bincount(at, weights=np.repeat(n, np.diff(np.append(starts, len(keys)))))
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c.astype(np.int64))], ["g", "c"])
+def fold_of(text: bytes) -> int:
+    return zlib.crc32(text) & 1
 
-        for b in batches:
-            for t in b.column(0).cast(pa.binary()):
-                seen.update((t.as_py() or b"").split())
-            if len(seen) > 500_000:
-                yield emit()
-                seen.clear()
-        if seen:
-            yield emit()
-
-    def run_across(batches):
-        for b in batches:
-            for held, _ in blocks(t.as_py() for t in b.column(0).cast(pa.binary())):
-                g, c = np.unique(running(held)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c.astype(np.int64))], ["g", "c"])
 
-    # Trusted ids grow with the documents: a sort-merge join at every size.
-    text = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select("text")
-    return text.mapInArrow(run_across if across else run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+def pack(docs: DataFrame) -> DataFrame:
+    """(block, fold, ids, langs, sizes, data): the documents in blocks of one fold; data holds their
+    normalised texts, compressed, of the given sizes."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["block", "fold", "ids", "langs", "sizes", "data"]
+
+    def run(batches):
+        zstd, made = zstandard.ZstdCompressor(level=1), 0
+        first = TaskContext.get().partitionId() << 32
+        held: list = [([], [], []), ([], [], [])]
+        full, id_type = [0, 0], None
+
+        def emit(fold):
+            nonlocal made
+            ids, langs, texts = held[fold]
+            row = [[first + made], [fold], pa.array([ids], pa.list_(id_type)), pa.array([langs], pa.list_(pa.string())), pa.array([list(map(len, texts))], pa.list_(pa.int32())), [zstd.compress(b"".join(texts))]]
+            made, held[fold], full[fold] = made + 1, ([], [], []), 0
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(row, [pa.int64(), pa.int32(), None, None, None, pa.binary()])], names)
+
+        for b in batches:
+            id_type, at = b.column(0).type, 0
+            for part in slices(b.column(2).cast(pa.binary())):
+                ids, langs = b.column(0).slice(at, len(part)).to_pylist(), b.column(1).slice(at, len(part)).to_pylist()
+                at += len(part)
+                for i, lang, t in zip(ids, langs, part):
+                    t = normal(t.as_py())
+                    f = fold_of(t)
+                    for x, y in zip(held[f], (i, lang, t)):
+                        x.append(y)
+                    full[f] += len(t)
+                    if full[f] >= BLOCK:
+                        yield emit(f)
+        for f in (0, 1):
+            if held[f][0]:
+                yield emit(f)
+
+    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"block long, fold int, ids array<{kind}>, langs array<string>, sizes array<int>, data binary")
+
+
+def unpack(table: pa.Table) -> list[bytes]:
+    """The texts of a block."""
+    x, at, out = zstandard.ZstdDecompressor().decompress(table.column("data")[0].as_py()), 0, []
+    for n in table.column("sizes")[0].as_py():
+        out.append(x[at : at + n])
+        at += n
+    return out
+
+
+def counts(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(fold, g, c) over all texts of the blocks whose doc_id is in ``trusted``; blocks add up first."""
+    ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    # Ids, not texts, meet the trusted ones, which grow with the documents: a sort-merge join at every size.
+    at = blocks.select(F.col("block").alias("at"), F.posexplode("ids").alias("pos", "id")).join(ids.hint("merge"), "id", "left_semi").select("at", "pos")
+
+    def run(left, right):
+        if not left.num_rows or not right.num_rows:
+            g = c = np.zeros(0, np.int64)
+        else:
+            texts = unpack(left)
+            g, c = distinct(texts[p] for p in right.column("pos").to_pylist())
+        fold = left.column("fold")[0].as_py() if left.num_rows else 0
+        return pa.table({"fold": pa.array(np.full(len(g), fold), pa.int32()), "g": g, "c": c})
+
+    some = blocks.select("block", "fold", "sizes", "data").groupBy("block").cogroup(at.groupBy("at"))
+    return some.applyInArrow(run, "fold int, g long, c long").groupBy("fold", "g").agg(F.sum("c").alias("c"))
 
 
 def discounts(n: dict[int, int]) -> list[float]:
@@ -136,62 +185,71 @@ def discounts(n: dict[int, int]) -> list[float]:
 
 
 def estimate(top: DataFrame) -> DataFrame:
-    """(k, g, p, ctx): log probabilities of the k-grams g seen (ctx false), and log interpolation weights
-    of the contexts of k-grams (ctx true, g of k - 1 bytes), from the counts of the highest order."""
+    """(fold, k, g, p, ctx): for the trusted texts of each fold, log probabilities of the k-grams g seen (ctx
+    false), and log interpolation weights of the contexts of k-grams (ctx true, g of k - 1 bytes), from
+    the counts of the highest order."""
     tables = {ORDER: checkpoint(top)}
     for k in range(ORDER - 1, 0, -1):
-        longer = tables[k + 1].select(F.col("g").bitwiseAND(F.lit(mask(k))).alias("g"))
-        tables[k] = checkpoint(longer.groupBy("g").agg(F.count("*").alias("c")))
+        longer = tables[k + 1].select("fold", F.col("g").bitwiseAND(F.lit(mask(k))).alias("g"))
+        tables[k] = checkpoint(longer.groupBy("fold", "g").agg(F.count("*").alias("c")))
     few = None
     for k, t in tables.items():
-        part = t.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
+        part = t.where("c <= 4").groupBy("fold", "c").agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
         few = part if few is None else few.unionByName(part)
-    seen: dict[int, dict[int, int]] = {}
+    seen: dict[tuple, dict[int, int]] = {}
     for r in few.collect():
-        seen.setdefault(r.k, {})[r.c] = r.n
+        seen.setdefault((r.fold, r.k), {})[r.c] = r.n
     out, lower = None, None
     for k in range(1, ORDER + 1):
-        d = discounts(seen.get(k, {}))
-        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        d = [discounts(seen.get((f, k), {})) for f in (0, 1)]
+        off = F.element_at(F.array(*(F.lit(x) for x in d[0] + d[1])), (F.col("fold") * 3 + F.least("c", F.lit(3))).cast("int"))
         t = tables[k].withColumn("h", F.shiftright("g", 8)).withColumn("d", off)
-        ctx = t.groupBy("h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
-        p = t.join(ctx, "h").withColumn("s", F.col("g").bitwiseAND(F.lit(mask(k - 1))))
+        ctx = t.groupBy("fold", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
+        p = t.join(ctx.hint("merge"), ["fold", "h"]).withColumn("s", F.col("g").bitwiseAND(F.lit(mask(k - 1))))
         base = F.lit(1 / 256)
         if lower is not None:
-            p, base = p.join(lower, "s"), F.col("lp")
-        p = checkpoint(p.select("g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * base).alias("p")))
-        lower = p.select(F.col("g").alias("s"), F.col("p").alias("lp"))
-        rows = p.select(F.lit(k).alias("k"), "g", F.log("p").alias("p"), F.lit(False).alias("ctx"))
-        rows = rows.unionByName(ctx.select(F.lit(k).alias("k"), F.col("h").alias("g"), F.log("gamma").alias("p"), F.lit(True).alias("ctx")))
+            p, base = p.join(lower.hint("merge"), ["fold", "s"]), F.col("lp")
+        p = checkpoint(p.select("fold", "g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * base).alias("p")))
+        lower = p.select("fold", F.col("g").alias("s"), F.col("p").alias("lp"))
+        rows = p.select("fold", F.lit(k).alias("k"), "g", F.log("p").alias("p"), F.lit(False).alias("ctx"))
+        rows = rows.unionByName(ctx.select("fold", F.lit(k).alias("k"), F.col("h").alias("g"), F.log("gamma").alias("p"), F.lit(True).alias("ctx")))
         out = rows if out is None else out.unionByName(rows)
     return checkpoint(out)
 
 
-def last_byte():
-    """The byte before the predicted one; entries without any context are in all shards (-1)."""
-    at = F.when(F.col("ctx"), F.col("g")).otherwise(F.shiftright("g", 8))
-    return F.when(F.col("k") == 1, F.lit(-1)).otherwise(at.bitwiseAND(F.lit(255)).cast("int"))
-
-
-def shards(model: DataFrame, bound: int):
-    """(bytes, {(k, ctx): (sorted keys, values)}): the entries whose context ends in those bytes."""
-    sizes = {r.b: r.n for r in model.groupBy(last_byte().alias("b")).agg(F.count("*").alias("n")).collect()}
-    packs, room = [[]], bound
-    for b in range(256):
-        if sizes.get(b, 0) > room and packs[-1]:
-            packs.append([])
-            room = bound
-        packs[-1].append(b)
-        room -= sizes.get(b, 0)
-    for pack in packs:
-        rows = model.where(last_byte().isin([-1, *pack])).select("k", "ctx", "g", "p").toArrow()
-        k, ctx, g, p = (rows.column(c).to_numpy() for c in ("k", "ctx", "g", "p"))
-        tables = {}
-        for key in [(o, c) for o in range(1, ORDER + 1) for c in (False, True)]:
-            at = (k == key[0]) & (ctx == key[1])
-            order = np.argsort(g[at])
-            tables[key] = (g[at][order], p[at][order])
-        yield pack, tables
+def pair(ctx="ctx"):
+    """The two bytes before the predicted one."""
+    return F.when(F.col(ctx), F.col("g")).otherwise(F.shiftright("g", 8)).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def dealt(model: DataFrame, bound: int) -> tuple[np.ndarray, int]:
+    """The shard of each fold's byte pairs, and the number of shards of a fold: pairs fill shards of up to
+    ``bound`` entries, the largest first."""
+    sizes = [(r.n, r.fold, r.pair) for r in model.where("k > 2").groupBy("fold", pair().alias("pair")).agg(F.count("*").alias("n")).collect()]
+    shards = np.tile(np.arange(1 << 16) % LEAST, (2, 1))  # pairs that the model lacks go anywhere
+    most = LEAST
+    for fold in (0, 1):
+        mine = sorted(((n, p) for n, f, p in sizes if f == fold), reverse=True)
+        room = min(bound, max(1, -(-sum(n for n, _ in mine) // LEAST)))
+        shard, left = -1, 0
+        for n, p in mine:
+            if n > left:
+                shard, left = shard + 1, room
+            shards[fold, p] = shard
+            left -= n
+        most = max(most, shard + 1)
+    return shards, most
+
+
+def tables_of(rows: pa.Table) -> dict:
+    """{(k, ctx): (sorted keys, values)} of model entries."""
+    k, ctx, g, p = (rows.column(c).to_numpy() for c in ("k", "ctx", "g", "p"))
+    out = {}
+    for key in [(o, c) for o in range(1, ORDER + 1) for c in (False, True)]:
+        at = np.flatnonzero((k == key[0]) & (ctx == key[1]))
+        at = at[np.argsort(g[at])]
+        out[key] = (g[at], p[at])
+    return out
 
 
 def find(table, keys):
@@ -200,74 +258,76 @@ def find(table, keys):
     return hit, (table[1][at] if len(table[0]) else np.zeros(len(keys)))
 
 
-class Scorer:
-    """Log probabilities of words or running texts under one shard; bytes of other shards count nothing."""
-
-    def __init__(self, pack, tables):
-        self.tables, self.own, self.rows = tables, np.isin(np.arange(256), pack), {}
-        self.scores = np.zeros(0)
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        return self.sums(*ngrams(words))
-
-    def sums(self, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
-        todo = np.flatnonzero(self.own[keys >> 8 & 255])
-        for k in range(ORDER, 0, -1):
-            g = keys[todo] & mask(k)
-            hit, p = find(self.tables[k, False], g)
-            out[todo[hit]] += p[hit]
-            todo, g = todo[~hit], g[~hit]
-            hit, p = find(self.tables[k, True], g >> 8)
-            out[todo] += np.where(hit, p, 0.0)
-        out[todo] -= math.log(256)
-        return np.add.reduceat(out, starts)
-
-    def texts(self, texts) -> list[tuple[float, int]]:
-        """Log probability and number of predicted bytes of each text."""
-        if len(self.rows) > CACHE:
-            self.rows.clear()
-            self.scores = self.scores[:0]
-        split, new = [(t or b"").split() for t in texts], []
-        at = []
-        for w in split:
-            for x in w:
-                i = self.rows.get(x)
-                if i is None:
-                    i = self.rows[x] = len(self.rows)
-                    new.append(x)
-                at.append(i)
-        self.scores = np.concatenate([self.scores, *(self.score(new[i : i + 50_000]) for i in range(0, len(new), 50_000))])
-        sizes = [len(w) for w in split]
-        sums = np.add.reduceat(np.append(self.scores[np.array(at, dtype=np.int64)], 0.0), np.cumsum(sizes) - sizes) if split else []
-        return [(float(s) if n else 0.0, sum(map(len, w)) + n) for s, n, w in zip(sums, sizes, split)]
-
-    def texts_across(self, texts) -> list[tuple[float, int]]:
-        """The same with contexts that run on over the words."""
-        logp, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-        for held, owners in blocks(texts):
-            np.add.at(logp, owners, self.sums(*running(held)))
-            np.add.at(n, owners, [len(x) - ORDER + 1 for x in held])
-        return list(zip(logp.tolist(), n.tolist()))
-
-
-def perplexities(docs: DataFrame, model: DataFrame, bound: int = SHARD, across: bool = False) -> DataFrame:
-    """(doc_id, lang, n_bytes, perplexity) of every row of docs."""
-    df = docs.select("doc_id", "lang", "text", F.lit(0.0).alias("logp"), F.lit(0).cast("long").alias("n"))
-    for pack, tables in shards(model, bound):
-        sent = docs.sparkSession.sparkContext.broadcast((pack, tables))
-
-        def run(batches, sent=sent):
-            scorer = Scorer(*sent.value)
-            for b in batches:
-                texts, got = b.column(2).cast(pa.binary()), []
-                for part in slices(texts):
-                    got += (scorer.texts_across if across else scorer.texts)(part.to_pylist())
-                logp = np.array([s for s, _ in got]) + b.column(3).to_numpy()
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(logp), pa.array([n for _, n in got], pa.int64())], names=["doc_id", "lang", "text", "logp", "n"])
-
-        df = df.mapInArrow(run, df.schema)
-    return df.select("doc_id", "lang", F.col("n").alias("n_bytes"), F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
+def resolve(keys: np.ndarray, small: dict, large: dict) -> np.ndarray:
+    """Log probabilities of n-grams, from the tables of orders 1 and 2 and those of the shard."""
+    out, todo = np.zeros(len(keys)), np.arange(len(keys))
+    for k in range(ORDER, 0, -1):
+        at = small if k <= 2 else large
+        g = keys[todo] & mask(k)
+        hit, p = find(at[k, False], g)
+        out[todo[hit]] += p[hit]
+        todo, g = todo[~hit], g[~hit]
+        hit, p = find(at[k, True], g >> 8)
+        out[todo] += np.where(hit, p, 0.0)
+    out[todo] -= math.log(256)
+    return out
+
+
+def perplexities(blocks: DataFrame, model: DataFrame, bound: int = SHARD) -> DataFrame:
+    """(doc_id, lang, n_bytes, perplexity) of every document of the blocks."""
+    by_fold = {r.fold: tables_of(model.where((F.col("k") <= 2) & (F.col("fold") == r.fold)).select("k", "ctx", "g", "p").toArrow()) for r in model.select("fold").distinct().collect()}
+    none = tables_of(pa.table({"k": pa.array([], pa.int32()), "ctx": pa.array([], pa.bool_()), "g": pa.array([], pa.int64()), "p": pa.array([], pa.float64())}))
+    use = [1 - f if len(by_fold) == 2 else next(iter(by_fold), 0) for f in (0, 1)]
+    shards, n = dealt(model, bound)
+    parts = -(-blocks.count() // (REQUESTS * n)) or 1
+
+    def ask(batches):
+        zstd = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for i in range(b.num_rows):
+                row = pa.Table.from_batches([b.slice(i, 1)])
+                fold, block = use[row.column("fold")[0].as_py()], row.column("block")[0].as_py()
+                g, _ = distinct(unpack(row))
+                of = shards[fold][g >> 8 & 0xFFFF]
+                asked = [(int(s), g[of == s]) for s in np.unique(of)]
+                data = [zstd.compress(np.diff(x, prepend=0).tobytes()) for _, x in asked]
+                yield pa.RecordBatch.from_arrays([pa.array([fold] * len(asked), pa.int32()), pa.array([s for s, _ in asked], pa.int32()), pa.array([block % parts] * len(asked), pa.int32()), pa.array([block] * len(asked), pa.int64()), pa.array(data, pa.binary())], ["fold", "shard", "part", "block", "data"])
+
+    asked = blocks.select("block", "fold", "sizes", "data").mapInArrow(ask, "fold int, shard int, part int, block long, data binary")
+    # 2 x 65,536 rows at most: the shards of byte pairs.
+    known = blocks.sparkSession.createDataFrame(pa.table({"fold": np.repeat(np.arange(2, dtype=np.int32), 1 << 16), "pair": np.tile(np.arange(1 << 16, dtype=np.int32), 2), "shard": shards.reshape(-1).astype(np.int32)}))
+    entries = model.where("k > 2").withColumn("pair", pair()).join(F.broadcast(known), ["fold", "pair"])
+    entries = entries.select("fold", "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "k", "ctx", "g", "p")
+
+    def answer(left, right):
+        large = tables_of(right) if right.num_rows else none
+        got = []
+        for r in left.to_batches():
+            for fold, data in zip(r.column("fold").to_pylist(), r.column("data")):
+                g = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), dtype=np.int64))
+                got.append(resolve(g, by_fold.get(fold, none), large).astype(np.float32).tobytes())
+        return pa.table({"block": pa.array(left.column("block").to_pylist(), pa.int64()), "shard": pa.array(left.column("shard").to_pylist(), pa.int32()), "data": pa.array(got, pa.binary())})
+
+    key = ["fold", "shard", "part"]
+    answers = asked.groupBy(*key).cogroup(entries.groupBy(*key)).applyInArrow(answer, "block long, shard int, data binary")
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+
+    def score(left, right):
+        texts = unpack(left)
+        g, _ = distinct(texts)
+        of = shards[use[left.column("fold")[0].as_py()]][g >> 8 & 0xFFFF]
+        p = np.zeros(len(g), np.float32)
+        for s, data in zip(right.column("shard").to_pylist(), right.column("data")):
+            p[of == s] = np.frombuffer(data.as_py(), dtype=np.float32)
+        logp, size = np.zeros(len(texts)), np.array(list(map(len, texts)), dtype=np.int64)
+        for held, owners in gathered(texts):
+            keys, starts = running(held)
+            np.add.at(logp, owners, np.add.reduceat(p[np.searchsorted(g, keys)].astype(np.float64), starts))
+        per = np.exp(-logp / np.maximum(size, 1))
+        flat = lambda c: left.column(c).combine_chunks().flatten()
+        return pa.table({"doc_id": flat("ids"), "lang": flat("langs"), "n_bytes": size, "perplexity": pa.array(per, mask=size == 0)})
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind}, lang string, n_bytes long, perplexity double")
 
 
 def thresholds(scored: DataFrame, share: float, step: float = 0.001) -> DataFrame:
@@ -280,12 +340,13 @@ def thresholds(scored: DataFrame, share: float, step: float = 0.001) -> DataFram
     return reach.where(F.col("upto") >= F.col("all") * share).groupBy("lang").agg(F.exp(F.min("bin") * step).alias("threshold"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, share: float = 0.99, bound: int = SHARD, across: bool = False) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, share: float = 0.99, bound: int = SHARD) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, kept) of every row of docs."""
-    model = estimate(counts(docs, trusted, across))
+    blocks = checkpoint(pack(docs))
+    model = estimate(counts(blocks, trusted))
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__t")).distinct()
-    scored = checkpoint(perplexities(docs, model, bound, across))
-    marked = scored.join(ids, F.col("doc_id") == F.col("__t"), "left").select(*scored.columns, F.col("__t").isNotNull().alias("trusted"))
+    scored = checkpoint(perplexities(blocks, model, bound))
+    marked = scored.join(ids.hint("merge"), F.col("doc_id") == F.col("__t"), "left").select(*scored.columns, F.col("__t").isNotNull().alias("trusted"))
     limit = thresholds(marked, share).withColumnRenamed("lang", "__lang")
     out = scored.join(limit, scored["lang"].eqNullSafe(F.col("__lang")), "left")
     return out.select(*scored.columns, "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
