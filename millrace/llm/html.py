@@ -5,8 +5,14 @@ its text, and of the whole body's, is link text (Sun, Song and Liao 2011); a nod
 sum over its children. The subtree with the largest sum holds the article; the smallest density on its
 path up to the body is the threshold that siblings on that path must reach to be kept with it.
 
+Before densities, what isn't article goes: elements whose tag says so, and those one of whose class, id or
+role names is made of words for such parts only ("site-header", not "side-effects"). Where all that is marked
+up as an article stands inside elements that merely have such a name, the name doesn't count.
+
 Defined results: null and empty pages, and pages without any text of their own, give an empty text;
-broken markup is read as far as it goes; repeated rows each get their row.
+broken markup is read as far as it goes (a quote that isn't closed before the next "<" is a character); of
+equal density sums the first in page order wins; repeated rows each get their row; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Markup: comments, declarations, and tags with attributes whose quoted values may hold ">".
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*'|["'])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|$)""", re.I)
 
 #: Elements by what they do to the text.
@@ -31,21 +37,48 @@ DROPPED = frozenset("nav footer aside form button select option input label fiel
 #: A start tag closes an open element of these (up to a barrier).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that can hold an article, and those that can be a part of it beside others.
+INLINE = frozenset("a b i span em strong".split())
 WRAPPERS = frozenset("article body center div html main section table tbody td tr".split())
 TEXTS = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre ul".split())
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 CLOSES_P = BLOCK - {"body", "html", "option", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
-#: Words that, at either end of a class, id or role, mark what is not the article.
-NOISE_WORD = "ads?|advert|advertisement|sponsor|sponsored|promo|promotion|banner|cookies?|consent|notices?|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|sidebars?|side|menus?|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommended|recommendations?|widgets?|toolbar|pagination|pager|search|login|signup|skip|hidden|complementary|contentinfo"
-NOISE = re.compile(rf"(?!has-|with-|no-)(?:(?:{NOISE_WORD})(?:[-_].*)?|.*[-_](?:{NOISE_WORD}))", re.I)
-FRONT = re.compile(r"(?:.*[-_])?header(?:[-_].*)?", re.I)
+#: Words of names of what is not the article, and words that may stand beside them in a name.
+NOISE = frozenset("ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner banners cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist disqus respond reply replies share sharing social related recommended recommendation recommendations widget widgets toolbar pagination pager search login signup skip hidden complementary contentinfo".split())
+BESIDE = frozenset("a all and app area article articles bar block body bottom box button buttons col column container content desktop first fixed form global group icons inner item items last left link links list lists main me mobile more my of outer page panel post posts primary reader region right row secondary section side site slot small sticky text the thread title to top tree unit us user wrap wrapper zone".split())
+#: Names that say that the element holds the page's content, whatever else it is called.
+CONTENT = frozenset("article content entry layout main page post story".split())
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Elements that end the search for an open p, and those that lists and tables are made of.
+P_SCOPE = frozenset("p table td th button div article section".split())
+ITEMS = frozenset(x for part in (*CLOSES.values(), *BARRIER.values()) for x in part)
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "noise", "own", "chars", "tags", "lchars", "ltags", "density", "sum")
+    """scope, item, block: the nearest node, itself included, of P_SCOPE, ITEMS and BLOCK; inside: in an article."""
+
+    __slots__ = ("tag", "up", "parts", "noise", "own", "chars", "tags", "lchars", "ltags", "density", "sum", "inside", "scope", "item", "block", "depth")
 
     def __init__(self, tag, up, noise=0):
         self.tag, self.up, self.parts, self.noise = tag, up, [], noise
+        self.inside = up is not None and (up.inside or up.tag in ("article", "main"))
+        self.scope = self if tag in P_SCOPE else up and up.scope
+        self.item = self if tag in ITEMS else up and up.item
+        self.block = self if tag in BLOCK else up and up.block
+        self.depth = up.depth + 1 if up else 0
+
+
+def named(value: str, in_article: bool) -> bool:
+    """Whether a class, id or role value names what is not the article."""
+    names = value.split()
+    if any(x.lower() in CONTENT for x in names):
+        return False
+    for x in names:
+        words = {w.lower() for w in PART.findall(x)}
+        found = words & NOISE
+        if x.lower() == "side" or found and not (in_article and found == {"header"}) and all(w in NOISE or w in BESIDE or w.isdigit() for w in words):
+            return True
+    return False
 
 
 def noise(tag: str, attrs: str, in_article: bool) -> int:
@@ -54,23 +87,29 @@ def noise(tag: str, attrs: str, in_article: bool) -> int:
         return 2
     if not attrs or tag in ("body", "html", "main"):
         return 0
+    out = 0
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
             return 2
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return 2
-        elif any(NOISE.fullmatch(x) and not (in_article and FRONT.fullmatch(x)) for x in value.split()):
-            return 1
-    return 0
+        if name in ("class", "id", "role") and named(value, in_article):
+            out = 1
+    return out
 
 
 def parse(page: str) -> Node:
-    """The tree of the page; scripts, styles and other raw elements are read over."""
+    """The tree of the page; scripts, styles and other raw elements are read over. Every step costs what it
+    opens or closes: closing tags find their element by a stack a tag."""
     root = Node("html", None)
-    here, at, raw = root, 0, None
+    here, opened = root, {}
     pos, end = 0, len(page)
+
+    def close(top):
+        nonlocal here
+        while here is not top.up:
+            opened[here.tag].pop()
+            here = here.up
+
     while pos <= end:
         m = MARKUP.search(page, pos)
         text = page[pos : m.start() if m else end]
@@ -83,11 +122,9 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            up = here
-            while up is not None and up.tag != tag:
-                up = up.up
-            if up is not None and up.up is not None:
-                here = up.up
+            top = opened.get(tag)
+            if top and (tag in BLOCK or top[-1].depth > here.block.depth):  # else it would end a block around it
+                close(top[-1])
             elif tag == "p":
                 here.parts.append(Node("p", here))
             continue
@@ -98,26 +135,21 @@ def parse(page: str) -> Node:
             continue
         if tag == "html":
             continue
-        if tag in CLOSES_P:
-            up = here
-            while up is not None and up.tag not in ("p", "table", "td", "th", "button", "div", "article", "section"):
-                up = up.up
-            if up is not None and up.tag == "p" and up.up is not None:
-                here = up.up
+        if tag in CLOSES_P and here.scope is not None and here.scope.tag == "p":
+            close(here.scope)
         if tag in CLOSES:
-            up = here
+            up = here.item
             while up is not None and up.tag not in CLOSES[tag] and up.tag not in BARRIER[tag]:
-                up = up.up
-            if up is not None and up.tag in CLOSES[tag] and up.up is not None:
-                here = up.up
+                up = up.up and up.up.item
+            if up is not None and up.tag in CLOSES[tag]:
+                close(up)
                 if tag == "tr" and here.tag == "tr" and here.up is not None:
-                    here = here.up
-        node = Node(tag, here, noise(tag, m[3], any(n.tag in ("article", "main") for n in lineage(here))) if m[3] or tag in DROPPED or tag == "header" else 0)
+                    close(here)
+        node = Node(tag, here, noise(tag, m[3], here.inside or here.tag in ("article", "main")))
         here.parts.append(node)
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
+        if tag not in VOID and (tag in BLOCK | INLINE or not m[3].rstrip().endswith("/")):  # a slash on an element that isn't void has no effect
+            opened.setdefault(tag, []).append(node)
             here = node
-        elif tag not in VOID and tag in BLOCK | {"a", "b", "i", "span", "em", "strong"}:
-            here = node  # a slash on an element that isn't void has no effect
     return root
 
 
@@ -167,19 +199,30 @@ def measure(nodes: list[Node], share: float) -> None:
         n.sum = n.own + sum(x.density for x in n.parts if x.__class__ is not str and not x.noise)
 
 
+def unname(root: Node, nodes: list[Node]) -> None:
+    """Takes names for nothing where all articles (or, without any, all h1) stand inside what only a name
+    marks: the elements around them, then, are no such parts."""
+    for kind in (("article", "main"), ("h1",)):
+        held = [n for n in nodes if n.tag in kind and not n.noise and all(x.noise < 2 for x in lineage(n))]
+        if held:
+            break
+    if held and all(any(x.noise for x in lineage(n)) for n in held):
+        for n in held:
+            for x in lineage(n):
+                x.noise = 0
+
+
 def select(root: Node) -> list[Node]:
     """The subtrees that hold the article, in page order.
 
-    The node with the largest density sum (taken up to the article element around it, or to the block
-    that holds it); and, where no article element says what belongs together, siblings along its path
-    to the body that reach the path's smallest density and are no lists of links.
+    If the node with the largest density sum lies in an article element, all outermost article elements (or
+    the main element around it); else the block that holds it, and siblings along its path to the body
+    that reach the path's smallest density. Outside of articles, lists of links are no part.
     """
     everything = ordered(root, True)
     count(everything, True)
-    share, whole = (root.lchars / root.chars if root.chars else 0.0), root.chars
-    for n in everything:
-        if n.noise == 1 and n.chars * 2 > whole:
-            n.noise = 0  # named like a bar, yet most of the page
+    share = root.lchars / root.chars if root.chars else 0.0
+    unname(root, everything)
     nodes = ordered(root)
     count(nodes)
     if not root.chars:
@@ -190,7 +233,7 @@ def select(root: Node) -> list[Node]:
     threshold = min(n.density for n in path)
     outer = [n for n in path if n.tag in ("article", "main")]
     if outer:
-        keep = [outer[-1]]
+        keep = [outer[-1]] if outer[-1].tag == "main" else [n for n in nodes if n.tag == "article" and not n.inside]
     else:
         while best.tag not in WRAPPERS and best.up is not None:
             best = best.up
@@ -198,8 +241,9 @@ def select(root: Node) -> list[Node]:
         while node.up is not None:
             keep += [x for x in node.up.parts if isinstance(x, Node) and x is not node and not x.noise and x.tag in WRAPPERS | TEXTS and x.density >= threshold and x.chars > 0]
             node = node.up
+    around = {id(n) for n in lineage(best)}
     for n in nodes:
-        if n.tag in WRAPPERS | {"ul", "ol"} and n.ltags > 2 and n.lchars * 5 >= n.chars * 4 and n not in lineage(best):
+        if n.tag in WRAPPERS | {"ul", "ol"} and not n.inside and n.tag not in ("article", "main") and n.ltags > 2 and n.lchars * 5 >= n.chars * 4 and id(n) not in around:
             n.noise = 1
     order = {id(n): i for i, n in enumerate(walk(root))}
     return sorted((n for n in keep if not n.noise), key=lambda n: order[id(n)])
