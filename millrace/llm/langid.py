@@ -1,14 +1,15 @@
 """Language identification of words by a linear-chain conditional random field.
 
-Every word is labelled by forward-backward over sequences of up to SEQ words; its emission score is a
+Every word is labelled by forward-backward over the whole text as one chain; its emission score is a
 sum of learned weights of hashed features: character n-grams, affixes (n-grams that hold a word
 boundary) and the lexicon entry (the whole word). Transitions are learned from spliced, code-switched
 training sequences. A document takes the label with the largest expected share of its words.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled
 training row every document is ``und``; ties go to the label that sorts first; repeated rows each get
-their row; a null doc_id is neither held out nor learned from; other columns are ignored by
-``predict`` unless asked for.
+their row, of different texts with one doc_id and lang the least is learned from; a null doc_id is neither
+held out nor learned from; other columns are ignored by ``predict`` unless asked for; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ from millrace.llm.common import slices
 #: ASCII letters and all non-ASCII bytes stay, the rest separates words (texts are lower-cased before).
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 ASCII = bytes(c for c in range(256) if 97 <= c <= 122)
-SEQ = 128
+#: Words of a chain that are run through at a time (all, with over MOST labels); runs are joined exactly.
+SEQ, MOST = 128, 32
 #: Features are hashed to this many rows of weights.
 ROWS = 1 << 16
 GRAMS = (2, 3, 4)
 #: Bounds of the training sample: documents in all, and words taken from them.
 TRAIN_DOCS, TRAIN_WORDS = 1600, 400_000
+#: Of a training text with more code points than PARTS * PART, that many evenly spaced parts are read.
+PARTS, PART = 64, 1024
 CACHE = 400_000
 
 
@@ -74,11 +78,14 @@ def emissions(weights: np.ndarray, words: list[bytes]) -> np.ndarray:
     return np.exp(np.maximum(s - s.max(axis=1, keepdims=True), -30)).astype(np.float32)
 
 
-def forward_backward(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans: np.ndarray, first: np.ndarray):
-    """Posterior of each label at each position of the sequences e[start : start + size], and, where
-    asked for by the trainer, pair posteriors summed over all neighbours."""
+def forward_backward(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray | None = None):
+    """Posterior of each label at each position of the sequences e[start : start + size], and, for the
+    trainer, pair posteriors summed over all neighbours. first and last weigh the labels at either end,
+    for all sequences or for each."""
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
+    first = np.broadcast_to(first, (len(order), e.shape[1]))[order]
+    last = (np.ones(first.shape, e.dtype) if last is None else last)[order]
     most = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(1, most + 1), side="right")
     alpha, a = np.empty_like(e), None
@@ -90,7 +97,7 @@ def forward_backward(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans
     post, pairs, beta = np.empty_like(e), np.zeros_like(trans, dtype=np.float64), None
     for t in range(most - 1, -1, -1):
         at = starts[: active[t]] + t
-        b = np.ones((active[t], e.shape[1]), dtype=e.dtype)
+        b = last[: active[t]].copy()
         if beta is not None:
             k = len(beta)
             seen = e[at[:k] + 1] * beta
@@ -104,6 +111,48 @@ def forward_backward(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans
     return post, pairs
 
 
+def transfers(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """For each run, the weight of all its labellings by first and last label (up to a factor)."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    m = np.eye(len(trans), dtype=e.dtype) * e[starts][:, None, :]
+    for t in range(1, int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -t, side="left"))
+        x = (m[:n] @ trans) * e[starts[:n] + t][:, None, :]
+        m[:n] = x / x.max(axis=(1, 2), keepdims=True)
+    out = np.empty_like(m)
+    out[order] = m
+    return out
+
+
+def posteriors(e: np.ndarray, sizes: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Posterior of each label at each position of the consecutive chains of the given sizes (none is 0).
+
+    Long chains are run through in runs of SEQ words, side by side: what comes into a run from the left
+    and from the right follows from the transfer matrices of the runs before and after it.
+    """
+    step = SEQ if len(trans) <= MOST else int(sizes.max())
+    n = -(-sizes // step)
+    begins, base, of = np.cumsum(sizes) - sizes, np.cumsum(n) - n, np.repeat(np.arange(len(sizes)), n)
+    starts = begins[of] + (np.arange(len(of)) - base[of]) * step
+    lengths = np.minimum(step, (begins + sizes)[of] - starts)
+    enter, leave = np.tile(first.astype(e.dtype), (len(of), 1)), np.ones((len(of), len(trans)), e.dtype)
+    if n.max() > 1:
+        many = np.flatnonzero(n[of] > 1)
+        at = np.zeros(len(of), np.int64)
+        at[many] = np.arange(len(many))
+        m = transfers(e, starts[many], lengths[many], trans)
+        for j in range(1, int(n.max())):
+            r = base[n > j] + j
+            x = np.einsum("ij,ijk->ik", enter[r - 1], m[at[r - 1]]) @ trans
+            enter[r] = x / x.sum(axis=1, keepdims=True)
+        for j in range(int(n.max()) - 2, -1, -1):
+            r = base[n > j + 1] + j
+            x = np.einsum("ijk,ik->ij", m[at[r + 1]], leave[r + 1]) @ trans.T
+            leave[r] = x / x.sum(axis=1, keepdims=True)
+    return forward_backward(e, starts, lengths, trans, enter, leave)[0]
+
+
 def levelled(sizes: list[int], total: int) -> list[int]:
     """Shares of ``total``, as even as sizes allow: what one leaves the others have."""
     out, left = [0] * len(sizes), total
@@ -208,12 +257,10 @@ class Labeller:
         if not words:
             return [None] * len(texts)
         e = self.scores[np.array(words)]
-        ends = np.cumsum(sizes)
-        starts = np.concatenate([np.arange(end - n, end, SEQ) for n, end in zip(sizes, ends) if n])
-        stops = np.concatenate([np.minimum(np.arange(end - n, end, SEQ) + SEQ, end) for n, end in zip(sizes, ends) if n])
-        post, _ = forward_backward(e, starts, stops - starts, self.model["trans"], self.model["first"])
         full = [i for i, n in enumerate(sizes) if n]
-        sums = np.add.reduceat(post.astype(np.float64), (ends - sizes)[full], axis=0)
+        some = np.array(sizes)[full]
+        post = posteriors(e, some, self.model["trans"], self.model["first"])
+        sums = np.add.reduceat(post.astype(np.float64), np.cumsum(some) - some, axis=0)
         out: list = [None] * len(texts)
         for i, s in zip(full, sums):
             out[i] = s / sizes[i]
@@ -238,7 +285,9 @@ def sample(docs: DataFrame) -> tuple[list[tuple[str, str]], list[str]]:
     each, steps = max(4, TRAIN_DOCS // len(counts)), 1 << 30
     rates = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(steps, steps * 3 * each // (2 * n)))))
     drawn = may.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < rates[F.col("lang")])
-    rows = drawn.select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"]).collect()
+    part = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring("text", (i * ((F.length("text") - PART) / (PARTS - 1))).cast("int") + 1, F.lit(PART)))
+    text = F.when(F.length("text") > PARTS * PART, F.array_join(part, " ")).otherwise(F.col("text"))
+    rows = drawn.groupBy("doc_id", "lang").agg(F.min(text).alias("text")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), r.lang))
     seen: Counter = Counter()
     out = []

@@ -32,6 +32,27 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(post[4], first * e[4] / (first * e[4]).sum())
 
 
+def test_long_chains_are_not_cut(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 40, 7, 5, 6, 131])
+    e = (rng.random((sizes.sum(), 3)) ** 4 + 1e-6).astype(np.float32)
+    trans, first = np.exp(rng.normal(size=(3, 3)) * 2).astype(np.float32), rng.random(3).astype(np.float32)
+    whole, _ = langid.forward_backward(e, np.cumsum(sizes) - sizes, sizes, trans, first)
+    for most in (32, 2):
+        monkeypatch.setattr(langid, "MOST", most)
+        for seq in (1, 5, 64, 10**6):
+            monkeypatch.setattr(langid, "SEQ", seq)
+            assert np.allclose(langid.posteriors(e, sizes, trans, first), whole, atol=1e-5)
+
+
+def test_long_training_texts_are_read_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PARTS", 4)
+    monkeypatch.setattr(langid, "PART", 8)
+    docs = spark.createDataFrame([(3, "0123456789" * 10, "aa"), (4, "short", "aa"), (4, "other", "aa")], "doc_id long, text string, lang string")
+    assert not docs.where(langid.held_out()).count()
+    assert sorted(langid.sample(docs)[0]) == [("01234567 01234567 12345678 23456789", "aa"), ("other", "aa")]
+
+
 def test_held_out_accuracy_and_edges(spark):
     rows = sample()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
