@@ -10,6 +10,7 @@ columns are carried along; empty tables give no rows, an empty benchmark no hits
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -18,11 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import checkpoint
+
 #: Bytes of words as they are (A-Z lower-cased), all others as a space.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Words of items in one automaton, some 100 MB at most; more items take further passes over the documents.
+#: Words of items in one automaton, some 100 MB at most; more items take further passes over the documents,
+#: one after the other, each in a stage of its own.
 GROUP_WORDS = 100_000
+#: The automaton that this worker built last, by the name of its group.
+_BUILT: dict = {}
 SPAN = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
 
 
@@ -161,6 +167,13 @@ def groups(benchmark: DataFrame, bound: int):
     yield part
 
 
+def built(name: str, items: list, window: int) -> Automaton:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton(items, window)
+    return _BUILT[name]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep=None, group_words: int = GROUP_WORDS) -> DataFrame:
     """Columns ``keep`` of docs (all by default), then n_words, hits (spans of word positions), spans
     (the same in code points), items (ids with occurring windows) and longest (longest match)."""
@@ -169,11 +182,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep=None, gro
     schema = T.StructType([*docs.select(*keep).schema.fields, *own])
     empty = [F.lit(0), F.array().cast(SPAN), F.array().cast(SPAN), F.array().cast("array<string>"), F.lit(0)]
     df = docs.select(*keep, F.col("text").alias("__text"), *(e.alias(f.name) for e, f in zip(empty, own[1:])))
-    for part in groups(benchmark, group_words):
+    for i, part in enumerate(groups(benchmark, group_words)):
+        if i:  # else passes would be stacked in one stage, each with its worker and automaton
+            df = checkpoint(df)
         sent = docs.sparkSession.sparkContext.broadcast(part)
 
-        def run(batches, sent=sent):
-            built = Automaton(sent.value, window)
+        def run(batches, sent=sent, name=uuid.uuid4().hex):
+            automaton = built(name, sent.value, window)
             for b in batches:
                 k = len(keep)
                 texts = b.column(k).cast(pa.binary())
@@ -182,7 +197,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep=None, gro
                 for i, t in enumerate(texts):
                     t = t.as_py()
                     w = normal(t)
-                    got, found, most = built.scan(w)
+                    got, found, most = automaton.scan(w)
                     was = [[s["lo"], s["hi"]] for s in old[0][i]]
                     if got:
                         got = merge(got + was)

@@ -71,3 +71,16 @@ def test_cut_and_empty(spark):
     none = decontaminate.scan(d, b.limit(0)).collect()
     assert len(none) == 4 and not any(r["hits"] for r in none)
     assert decontaminate.scan(d.limit(0), b).count() == 0
+
+
+def test_one_python_node_a_stage(spark):
+    docs, bench = sample()
+    docs = spark.createDataFrame([(d, t, None, None) for d, t in docs], DOCS)
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    want = None
+    for bound in (10**6, 100):
+        got = decontaminate.scan(docs, bench, keep=["doc_id"], group_words=bound)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        rows = sorted(map(str, got.collect()))
+        want = want or rows
+        assert [r.split("longest")[0] for r in rows] == [r.split("longest")[0] for r in want]
