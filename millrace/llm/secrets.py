@@ -2,12 +2,13 @@
 
 Strong spans (assign, access, hex) are always reported. Weak candidates (a user or key name, a bare
 mixed token, a short assignment, an endpoint) are reported only where a complementary part, weak or
-strong, lies within SCOPE code points: names want a secret, secrets want a name or an endpoint,
-endpoints want a name or a secret. The link is an interval join by sweep: for each candidate of a text
-in order of its start, the reach of the parts before it and the nearest part after it, role by role.
+strong, lies beside them (not over them) within SCOPE code points: names want a secret, secrets want a name
+or an endpoint, endpoints want a name or a secret. The link is an interval join by sweep: over the ends of
+all candidates of a text in order, the last part that has ended and the next that begins, role by role.
 
 Defined results: null texts are empty; spans are in code points, end exclusive; matches that overlap a
-strong span are not candidates of their own; repeated rows each get their row; other columns are ignored.
+strong span are not candidates of their own, and no part completes one that it overlaps; repeated rows each
+get their row; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,40 +52,51 @@ def _matches(text, pattern: str, number: int, group: bool, least: int, most: int
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, base, weak): strong spans, and weak ones that overlap none of them, in order."""
+    """(doc_id, rid, base, weak): strong spans in order, and weak ones."""
     text = F.coalesce(F.col("text"), F.lit(""))
     strong = [_matches(text, p, i, k == "assign", n) for i, (k, p, n, _, is_strong) in enumerate(KINDS) if is_strong]
     weak = [_matches(text, p, i, k == "short", n, 7 if k == "short" else None) for i, (k, p, n, _, is_strong) in enumerate(KINDS) if not is_strong]
-    d = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.array_sort(F.concat(*strong)).alias("base"), F.concat(*weak).alias("weak"))
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-    return d.select("doc_id", "rid", "base", free.alias("weak"))
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.array_sort(F.concat(*strong)).alias("base"), F.concat(*weak).alias("weak"))
 
 
-def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(doc_id, base, spans): base holds the strong spans, spans also the weak ones that are linked,
-    each as (start, kind, stop) in order."""
-    c = candidates(docs)
+def link(c: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(doc_id, base, spans) of candidates: spans are base and the linked ones of weak, in order."""
+    # Two rows for each candidate, its end and its start (ends first where both are at one place), or one of
+    # nulls; texts without weak candidates keep their strong spans packed.
+    c = c.select("doc_id", "rid", "base", F.explode_outer(F.when(F.size("weak") > 0, F.concat("base", "weak"))).alias("c"))
+    sides = F.when(F.col("c").isNotNull(), F.array(F.struct(F.col("c.stop").alias("at"), F.lit(0).alias("side")), F.struct(F.col("c.start").alias("at"), F.lit(1).alias("side"))))
+    e = c.select("*", F.explode_outer(sides).alias("e")).select("doc_id", "rid", "base", "c", "e.*")
     role = F.element_at(F.array(*(F.lit(r) for _, _, _, r, _ in KINDS)), F.col("c.kind") + 1)
     weak = F.element_at(F.array(*(F.lit(not s) for *_, s in KINDS)), F.col("c.kind") + 1)
-    # One row for each candidate, or of nulls; texts without weak ones keep their strong spans packed.
-    rows = F.when(F.size("weak") > 0, F.concat("base", "weak"))
-    e = c.select("doc_id", "rid", "base", F.explode_outer(rows).alias("c")).withColumn("role", role).withColumn("weak", weak)
-    by = Window.partitionBy("rid").orderBy("c.start", "c.kind", "c.stop")
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
-    near = {
-        r: (F.coalesce(F.col("c.start") - F.max(F.when(F.col("role") == r, F.col("c.stop"))).over(before) <= scope, F.lit(False)))
-        | (F.coalesce(F.min(F.when(F.col("role") == r, F.col("c.start"))).over(after) - F.col("c.stop") <= scope, F.lit(False)))
-        for r in ("name", "secret", "endpoint")
-    }
+    begins = F.col("side") == 1
+    order = ["at", "side", "c.kind", "c.start"]
+    # Both directions run from the first row on: a frame up to the last row is summed anew for each row.
+    before = Window.partitionBy("rid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("rid").orderBy(*(F.col(x).desc() for x in order)).rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("role", role).withColumn("weak", weak)
+    last, following = F.max(F.when(begins & ~F.col("weak"), F.col("c.stop"))).over(before), F.min(F.when(begins & ~F.col("weak"), F.col("c.start"))).over(after)
+    over = F.coalesce(last > F.col("c.start"), F.lit(False)) | (begins & F.coalesce(following < F.col("c.stop"), F.lit(False)))
+    e = e.withColumn("part", ~F.col("weak") | ~over)
+    near = {}
+    for r in ("name", "secret", "endpoint"):
+        mine = F.col("part") & (F.col("role") == r)
+        ended, begun = F.max(F.when(mine & ~begins, F.col("c.stop"))).over(before), F.min(F.when(mine & begins, F.col("c.start"))).over(after)
+        near[r] = F.coalesce(F.when(begins, F.col("c.start") - ended <= scope).otherwise(begun - F.col("c.stop") <= scope), F.lit(False))
     linked = F.lit(False)
     for r, wanted in COMPLEMENT.items():
         for w in wanted:
             linked = linked | ((F.col("role") == r) & near[w])
-    e = e.withColumn("linked", F.col("weak") & linked)
-    got = e.groupBy("doc_id", "rid", "base").agg(F.collect_list(F.when(F.col("linked"), F.col("c"))).alias("more"))
+    e = e.withColumn("linked", F.col("weak") & F.col("part") & linked)
+    got = e.groupBy("doc_id", "rid", "base").agg(F.collect_set(F.when(F.col("linked"), F.col("c"))).alias("more"))
     return got.select("doc_id", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
+def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(doc_id, base, spans): base holds the strong spans, spans also the weak ones that are linked,
+    each as (start, kind, stop) in order."""
+    return link(candidates(docs), scope)
+
+
 def joined(spans):
     """kind:start:stop of spans, comma-joined."""
     names = F.array(*(F.lit(k) for k, *_ in KINDS))

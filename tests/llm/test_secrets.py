@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -49,3 +50,28 @@ def test_long_tokens_are_candidates(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.s for r in secrets.scan(docs).select("doc_id", secrets.joined("spans").alias("s")).collect()}
     assert got == {0: "endpoint:4:17,mixed:22:324", 1: "", 2: "name:0:13,mixed:15:80015"}
+
+
+def test_parts_do_not_complete_themselves(spark):
+    texts = [f"client_id: {MIXED}", f"https://host/?k={MIXED}", f"client_id: {MIXED} password=abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [x.split(":")[0] for x in r.s.split(",") if x] for r in secrets.scan(docs).select("doc_id", secrets.joined("spans").alias("s")).collect()}
+    assert got == {0: [], 1: [], 2: ["name", "mixed", "short"]} or got == {0: [], 1: [], 2: ["name", "short"]}
+
+
+def test_links_against_brute_force(spark):
+    rnd = random.Random(8)
+    rows, want = [], {}
+    for i in range(150):
+        spans = {(a := rnd.randrange(120), rnd.randrange(len(secrets.KINDS)), a + rnd.randint(1, 12)) for _ in range(rnd.randrange(14))}
+        base = sorted(x for x in spans if secrets.KINDS[x[1]][4])
+        weak = [x for x in spans if not secrets.KINDS[x[1]][4]]
+        free = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+        near = lambda x, y: 0 <= y[0] - x[2] <= 15 or 0 <= x[0] - y[2] <= 15
+        role = lambda x: secrets.KINDS[x[1]][3]
+        linked = [w for w in free if any(role(p) in secrets.COMPLEMENT[role(w)] and near(w, p) for p in base + free)]
+        rows.append((i, i, base, weak))
+        want[i] = sorted(base + linked)
+    docs = spark.createDataFrame(rows, f"doc_id long, rid long, base {secrets.SPAN}, weak {secrets.SPAN}").repartition(3)
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.link(docs, 15).collect()}
+    assert got == want and sum(map(len, want.values())) > sum(len(r[2]) for r in rows) + 50
