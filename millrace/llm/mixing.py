@@ -22,8 +22,9 @@ from millrace.llm.common import WORD, checkpoint, words
 BLOCK = 128
 #: Slots of an output shard, about 8 million words.
 SHARD = 65_536
-#: Hash buckets of a source, so that no window has to order a whole source.
-BUCKETS = 1024
+#: Hash buckets of a source, so that no window has to order a whole source: one for so many rows of all
+#: documents, 1,024 at least. They are dealt by doc_id and text, so that ids that repeat don't meet in one.
+BUCKET_ROWS, BUCKETS = 16_384, 1024
 WEIGHTS = (5, 2, 1)
 ROUNDS = 24
 SEED = 20
@@ -120,9 +121,10 @@ def lay_out(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """sources with targets, and docs (columns ``keep``) with their source's src, source_size and target,
     their size, bucket, rn (rank in the bucket) and start (first word's index in the source)."""
     cols = list(dict.fromkeys(["doc_id", *keep]))
+    buckets = max(BUCKETS, -(-docs.count() // BUCKET_ROWS))
     d = docs.select(*(F.col(c).alias(f"__{c}") for c in cols), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("th"))
     # A key that is never null: the window, and the join after it, then share one exchange of the texts.
-    d = d.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).withColumn("bucket", F.pmod(F.xxhash64("__doc_id"), F.lit(BUCKETS)))
+    d = d.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).withColumn("bucket", F.pmod(F.xxhash64("__doc_id", "th"), F.lit(buckets)))
     parts = checkpoint(d.groupBy("source", "key", "bucket").agg(F.sum("size").alias("n")))
     sources = checkpoint(targets(parts.groupBy("source", "key").agg(F.sum("n").alias("source_size"))))
     at = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
