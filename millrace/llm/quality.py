@@ -24,12 +24,16 @@ SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\v\f\r"
 
 
-def _grams(hashes):
+def _next(a, by: int):
+    """Hashes of each element of a with that ``by`` places after it."""
+    n = F.greatest(F.size(a) - by, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(a, by + 1, n), lambda x, y: F.xxhash64(x, y))
+
+
+def _grams(hashes, pairs=None):
     """Buckets of the words and of the pairs of neighbours."""
-    n = F.size(hashes)
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-    two = F.zip_with(F.slice(hashes, 1, F.greatest(n - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-    return F.concat(one, two)
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return F.concat(F.transform(hashes, bucket), F.transform(_next(hashes, 1) if pairs is None else pairs, bucket))
 
 
 def _hashes(text):
@@ -43,7 +47,7 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__t")).distinct()
     # Trusted ids grow with the documents: a sort-merge join at every size.
     marked = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("__t"), "left")
-    flat = marked.select(F.col("__t").isNotNull().cast("long").alias("t"), F.explode(let(_hashes(F.col("text")), _grams)).alias("bucket"))
+    flat = marked.select(F.col("__t").isNotNull().cast("long").alias("t"), F.explode(let(_hashes(F.col("text")), lambda h: _grams(h))).alias("bucket"))
     n = flat.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(n, "bucket", "left").na.fill(0)
     table = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "t", "r"))).alias("x"), F.sum("t").alias("t"), F.sum("r").alias("r"))
@@ -51,14 +55,14 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return table.select(F.transform("x", lambda x: F.when(F.col("t") == 0, F.lit(0.0)).otherwise(term(x, "t") - term(x, "r"))).alias("llr"))
 
 
-def _repeated(hashes, size: int):
-    """Words inside windows of ``size`` words that the text holds twice or more, the first included.
+def _repeated(pairs):
+    """Words inside windows of eight words that the text holds twice or more, the first included.
 
-    Equal windows stand side by side once (hash, position) pairs are sorted; a text whose window hashes
-    are all different is done before that.
+    A window's hash is built from those of its halves. Equal windows stand side by side once (hash,
+    position) pairs are sorted; a text whose window hashes are all different is done before that.
     """
-    n = F.size(hashes) - size + 1
-    w = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda p: F.xxhash64(F.slice(hashes, p + 1, size)))
+    size = 8
+    w = let(_next(pairs, 2), lambda four: _next(four, 4))
 
     def count(w):
         pairs = F.array_sort(F.transform(w, lambda h, p: F.struct(h.alias("h"), p.alias("p"))))
@@ -67,7 +71,7 @@ def _repeated(hashes, size: int):
         cover = lambda a: F.aggregate(F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda p, q: F.least(F.coalesce(q - p, F.lit(size)), F.lit(size))), F.lit(0).cast("long"), lambda s, x: s + x)
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(let(at, cover))
 
-    return F.when(n < 2, F.lit(0).cast("long")).otherwise(let(w, count))
+    return F.when(F.size(pairs) < size, F.lit(0).cast("long")).otherwise(let(w, count))
 
 
 def rules(docs: DataFrame, llr: DataFrame, threshold: float) -> DataFrame:
@@ -77,13 +81,13 @@ def rules(docs: DataFrame, llr: DataFrame, threshold: float) -> DataFrame:
     full = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     held = F.length(F.translate(text, SPACE, ""))
 
-    def measure(h):
-        grams = let(_grams(h), lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(F.col("llr"), b)) / F.size(g))
-        return F.struct(F.size(h).cast("long").alias("n_words"), _repeated(h, 8).alias("n_repeat_words"), F.when(F.size(h) > 0, grams).otherwise(F.lit(0.0)).alias("score"))
+    def measure(h, pairs):
+        grams = let(_grams(h, pairs), lambda g: F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(F.col("llr"), b)) / F.size(g))
+        return F.struct(F.size(h).cast("long").alias("n_words"), _repeated(pairs).alias("n_repeat_words"), F.when(F.size(h) > 0, grams).otherwise(F.lit(0.0)).alias("score"))
 
     d = docs.select(
         "doc_id",
-        let(_hashes(F.col("text")), measure).alias("m"),
+        let(_hashes(F.col("text")), lambda h: let(_next(h, 1), lambda pairs: measure(h, pairs))).alias("m"),
         held.cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
