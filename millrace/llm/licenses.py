@@ -46,6 +46,35 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("all-rights-reserved", "All rights reserved"),
+    ("apache-2.0", "Licensed under the Apache License 2.0"),
+    ("apache-2.0", "Licensed under the Apache 2.0 license"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("mit", "Distributed under the MIT license"),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("gpl-2.0", "GNU General Public License v2.0"),
+    ("gpl-3.0", "GNU General Public License v3.0"),
+    ("gpl-2.0", "GNU General Public License, version 2"),
+    ("gpl-3.0", "GNU General Public License, version 3"),
+    ("lgpl-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("lgpl-3.0", "GNU Lesser General Public License v3.0"),
+    ("agpl-3.0", "GNU Affero General Public License v3.0"),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("mpl-2.0", "Mozilla Public License, version 2.0"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("epl-2.0", "Eclipse Public License - v 2.0"),
+    ("bsd-2-clause", "BSD 2-Clause License"),
+    ("bsd-3-clause", "BSD 3-Clause License"),
+    ("bsd-2-clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("bsd-3-clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "SPDX-License-Identifier: ISC"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("wtfpl", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
 ]
 #: Every template holds one of these words (or one that starts so).
 ANCHOR = re.compile(rb"(?i)licen[sc]|copyright|rights\W+reserved|redistribut|permission|public\W+domain")

@@ -60,5 +60,20 @@ def test_versions_are_not_confused():
     assert found("Licensed under CC BY 3.0.") == []
 
 
+HELD_OUT = [
+    ("Licensed under the Apache License, version 2.0.", "apache-2.0"), ("code is licensed under the APACHE license 2.0, see LICENSE", "apache-2.0"), ("// SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+    ("# spdx-license-identifier: mit", "mit"), ("This project is released under the MIT license.", "mit"), ("It is distributed under the\nMIT License; enjoy", "mit"), ("Licensed under the MIT license - see the file", "mit"),
+    ("under the terms of the GNU General Public License v3.0 only", "gpl-3.0"), ("GNU General Public License v2.0", "gpl-2.0"), ("see the GNU General Public License, version 2, for details", "gpl-2.0"), ("* SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"),
+    ("the GNU Lesser General Public License v3.0 applies", "lgpl-3.0"), ("GNU Affero General Public License v3.0", "agpl-3.0"), ("subject to the Mozilla Public License, Version 2.0", "mpl-2.0"), ("the Eclipse Public License - v 2.0", "epl-2.0"),
+    ("released under a BSD 2-Clause License", "bsd-2-clause"), ("the BSD 3-Clause License", "bsd-3-clause"), ("/* SPDX-License-Identifier: BSD-3-Clause */", "bsd-3-clause"), ("Distributed under the Boost Software License, Version 1.0", "bsl-1.0"),
+    ("This text is licensed under CC BY-SA 4.0", "cc-by-sa-4.0"), ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0"), ("© 2020 someone. All rights reserved.", "all-rights-reserved"), ("use of this source is governed by a BSD-style license", "bsd"),
+]
+
+
+def test_recall_on_wordings_held_out():
+    found = [name in {f["license"] for f in licenses.scan_text(text)[1]} for text, name in HELD_OUT]
+    assert sum(found) / len(found) >= 0.9
+
+
 def test_empty(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
