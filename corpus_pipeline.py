@@ -9,15 +9,17 @@ mixed blocks.
 * near_dedup: of each class of near-duplicates the document with the smallest doc_id stays.
 * decontamination: spans that the benchmark holds are cut out; documents that consist mostly of them go.
 * mixing: the blocks of the mix, by shard and slot.
+
+Defined results: each stage keeps what its operator defines for nulls, empty and very long texts, ties and
+repeated rows; extra columns are carried along up to the last stage; empty tables give an empty mix.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from millrace.llm import decontaminate, langid, linededup, mixing, simhash
-from millrace.llm.common import table
+from millrace.llm.common import shared_folder, table
 
 
 def language_id(spark, docs, sf_dir):
@@ -48,9 +50,8 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """The last stage's rows; what stands between the stages is written below spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
     docs = table(spark, sf_dir, "documents")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
