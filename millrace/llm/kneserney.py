@@ -2,18 +2,18 @@
 
 The model is one of bytes: a text is read as its words with a space after each, every byte predicted
 from the ORDER - 1 before it, with spaces before the text. Contexts run on over the words. Counts cover all
-trusted text; continuation counts, context totals, discounts (Chen and Goodman 1999) and lower orders are
-joined by n-gram, hashed over the cluster.
+trusted text; continuation counts, discounts (Chen and Goodman 1999) and lower orders follow from them.
 
 No document is scored by a model that has seen it: texts fall into two folds by a hash of their words, and
 each fold is scored by the model of the other's trusted texts (by that of all of them, if they lie in one
 fold). So trusted documents and others are held against the threshold alike.
 
-Scoring joins counts by shard. Texts are packed into compressed blocks of bounded size; a block asks for its
-distinct n-grams, one packed row a shard; shards, which hold all entries whose contexts end in the same two
-bytes, meet the requests of all blocks (in parts of bounded size) and answer with log probabilities, which
-meet the blocks again. Nothing that grows is sent to the driver or broadcast: orders 1 and 2 (65,536 n-grams
-at most) and the shards of byte pairs go out with the code.
+Counts are joined by shard. Texts are packed into compressed blocks of bounded size, which stay where they are
+(a bucketed table). A shard holds the counts of all n-grams whose contexts end in the same two bytes, and with
+them all that the orders 3 to 5 need; blocks add theirs up by shard, then ask for the n-grams that they hold,
+one packed row a shard; shards answer with log probabilities, which meet the blocks again. Nothing that
+grows is sent to the driver or broadcast: orders 1 and 2 (65,536 n-grams at most) and the shards of byte
+pairs go out with the code.
 
 A document is kept if its perplexity is at most its language's threshold: a quantile of the perplexities
 of that language's trusted documents (of all its documents if none is trusted).
@@ -27,7 +27,9 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, slices
+from millrace.llm.common import checkpoint, shared_folder, slices
 
 ORDER = 5
+#: Of compression of the blocks.
+LEVEL = 5
 PAD = b" " * (ORDER - 1)
 #: Bytes of text in a block (a longer text is a block of its own), and of those looked up at a time.
 BLOCK, PIECE = 16 << 20, 1 << 20
-#: Model entries of a shard (more only where one pair of bytes has more: 256^3 n-grams at most), shards
-#: at least, and requests of full blocks that a part of a shard answers.
-SHARD, LEAST, REQUESTS = 2_000_000, 8, 32
+#: N-grams of a shard (more only where one pair of bytes has more: 256^3 at most), shards of a fold at least,
+#: requests of full blocks that a part of a shard answers, rows of a shard's counts added up at a time.
+SHARD, LEAST, REQUESTS, FAN = 2_000_000, 8, 32, 256
+TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def mask(k: int) -> int:
@@ -109,6 +114,10 @@ def fold_of(text: bytes) -> int:
     return zlib.crc32(text) & 1
 
 
+def part_of(block: int, parts: int) -> int:
+    return zlib.crc32(block.to_bytes(8, "big")) % parts
+
+
 def pack(docs: DataFrame) -> DataFrame:
     """(block, fold, ids, langs, sizes, data): the documents in blocks of one fold; data holds their
     normalised texts, compressed, of the given sizes."""
@@ -116,7 +125,7 @@ def pack(docs: DataFrame) -> DataFrame:
     names = ["block", "fold", "ids", "langs", "sizes", "data"]
 
     def run(batches):
-        zstd, made = zstandard.ZstdCompressor(level=1), 0
+        zstd, made = zstandard.ZstdCompressor(level=LEVEL), 0
         first = TaskContext.get().partitionId() << 32
         held: list = [([], [], []), ([], [], [])]
         full, id_type = [0, 0], None
@@ -157,75 +166,70 @@ def unpack(table: pa.Table) -> list[bytes]:
     return out
 
 
-def counts(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(fold, g, c) over all texts of the blocks whose doc_id is in ``trusted``; blocks add up first."""
+def stored(blocks: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The blocks as a table in the shared folder, bucketed by block: what meets them by block comes to
+    them, and they are not shuffled. And a function that removes it."""
+    spark = blocks.sparkSession
+    name = f"perplexity_blocks_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(n, "block").option("path", path).option("compression", "none").saveAsTable(name)
+
+    def remove():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.table(name), remove
+
+
+def positions(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(at, pos): the places of trusted documents. Ids, not texts, meet the trusted ones, which grow with
+    the documents: a sort-merge join at every size."""
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    # Ids, not texts, meet the trusted ones, which grow with the documents: a sort-merge join at every size.
-    at = blocks.select(F.col("block").alias("at"), F.posexplode("ids").alias("pos", "id")).join(ids.hint("merge"), "id", "left_semi").select("at", "pos")
+    return blocks.select(F.col("block").alias("at"), F.posexplode("ids").alias("pos", "id")).join(ids.hint("merge"), "id", "left_semi").select("at", "pos")
+
+
+def of_trusted(blocks: DataFrame, at: DataFrame, make, schema: str) -> DataFrame:
+    """make(fold, n-grams, counts) of the trusted texts of each block, as (fold, ...) rows of the schema."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(left, right):
-        if not left.num_rows or not right.num_rows:
-            g = c = np.zeros(0, np.int64)
-        else:
+        rows: list = []
+        if left.num_rows and right.num_rows:
             texts = unpack(left)
             g, c = distinct(texts[p] for p in right.column("pos").to_pylist())
-        fold = left.column("fold")[0].as_py() if left.num_rows else 0
-        return pa.table({"fold": pa.array(np.full(len(g), fold), pa.int32()), "g": g, "c": c})
+            if len(g):
+                fold = left.column("fold")[0].as_py()
+                rows = [(fold, *r) for r in make(left.column("block")[0].as_py(), fold, g, c)]
+        return pa.table([pa.array([r[i] for r in rows], TYPES[x.split()[1]]) for i, x in enumerate(schema.split(", "))], names)
 
-    some = blocks.select("block", "fold", "sizes", "data").groupBy("block").cogroup(at.groupBy("at"))
-    return some.applyInArrow(run, "fold int, g long, c long").groupBy("fold", "g").agg(F.sum("c").alias("c"))
+    return blocks.select("block", "fold", "sizes", "data").groupBy("block").cogroup(at.groupBy("at")).applyInArrow(run, schema)
 
 
-def discounts(n: dict[int, int]) -> list[float]:
-    """D1, D2, D3+ from the numbers of n-grams seen once to four times."""
-    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(d, 0.1), k + 0.9) for k, d in enumerate(raw)]
+def coded(g: np.ndarray, c: np.ndarray) -> bytes:
+    """Ordered n-grams and their counts, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([np.diff(g, prepend=0), c]).tobytes())
 
 
-def estimate(top: DataFrame) -> DataFrame:
-    """(fold, k, g, p, ctx): for the trusted texts of each fold, log probabilities of the k-grams g seen (ctx
-    false), and log interpolation weights of the contexts of k-grams (ctx true, g of k - 1 bytes), from
-    the counts of the highest order."""
-    tables = {ORDER: checkpoint(top)}
-    for k in range(ORDER - 1, 0, -1):
-        longer = tables[k + 1].select("fold", F.col("g").bitwiseAND(F.lit(mask(k))).alias("g"))
-        tables[k] = checkpoint(longer.groupBy("fold", "g").agg(F.count("*").alias("c")))
-    few = None
-    for k, t in tables.items():
-        part = t.where("c <= 4").groupBy("fold", "c").agg(F.count("*").alias("n")).withColumn("k", F.lit(k))
-        few = part if few is None else few.unionByName(part)
-    seen: dict[tuple, dict[int, int]] = {}
-    for r in few.collect():
-        seen.setdefault((r.fold, r.k), {})[r.c] = r.n
-    out, lower = None, None
-    for k in range(1, ORDER + 1):
-        d = [discounts(seen.get((f, k), {})) for f in (0, 1)]
-        off = F.element_at(F.array(*(F.lit(x) for x in d[0] + d[1])), (F.col("fold") * 3 + F.least("c", F.lit(3))).cast("int"))
-        t = tables[k].withColumn("h", F.shiftright("g", 8)).withColumn("d", off)
-        ctx = t.groupBy("fold", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
-        p = t.join(ctx.hint("merge"), ["fold", "h"]).withColumn("s", F.col("g").bitwiseAND(F.lit(mask(k - 1))))
-        base = F.lit(1 / 256)
-        if lower is not None:
-            p, base = p.join(lower.hint("merge"), ["fold", "s"]), F.col("lp")
-        p = checkpoint(p.select("fold", "g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * base).alias("p")))
-        lower = p.select("fold", F.col("g").alias("s"), F.col("p").alias("lp"))
-        rows = p.select("fold", F.lit(k).alias("k"), "g", F.log("p").alias("p"), F.lit(False).alias("ctx"))
-        rows = rows.unionByName(ctx.select("fold", F.lit(k).alias("k"), F.col("h").alias("g"), F.log("gamma").alias("p"), F.lit(True).alias("ctx")))
-        out = rows if out is None else out.unionByName(rows)
-    return checkpoint(out)
-
-
-def pair(ctx="ctx"):
-    """The two bytes before the predicted one."""
-    return F.when(F.col(ctx), F.col("g")).otherwise(F.shiftright("g", 8)).bitwiseAND(F.lit(0xFFFF)).cast("int")
+def decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.int64).reshape(2, -1)
+    return np.cumsum(x[0]), x[1]
+
+
+def merged(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of coded counts, pair by pair, so that the rows of a part are not all open at once."""
+    g, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for data in parts:
+        h, d = decoded(data)
+        new, at = np.unique(np.concatenate([g, h]), return_inverse=True)
+        g, c = new, np.bincount(at, weights=np.concatenate([c, d]), minlength=len(new)).astype(np.int64)
+    return g, c
 
 
-def dealt(model: DataFrame, bound: int) -> tuple[np.ndarray, int]:
-    """The shard of each fold's byte pairs, and the number of shards of a fold: pairs fill shards of up to
-    ``bound`` entries, the largest first."""
-    sizes = [(r.n, r.fold, r.pair) for r in model.where("k > 2").groupBy("fold", pair().alias("pair")).agg(F.count("*").alias("n")).collect()]
+def dealt(sizes: list[tuple[int, int, int]], bound: int) -> tuple[np.ndarray, int]:
+    """The shard of each fold's byte pairs, and the number of shards of a fold, from (n-grams, fold, pair):
+    pairs fill shards of up to ``bound`` n-grams, the largest first."""
     shards = np.tile(np.arange(1 << 16) % LEAST, (2, 1))  # pairs that the model lacks go anywhere
     most = LEAST
     for fold in (0, 1):
@@ -241,28 +245,123 @@ def dealt(model: DataFrame, bound: int) -> tuple[np.ndarray, int]:
     return shards, most
 
 
-def tables_of(rows: pa.Table) -> dict:
-    """{(k, ctx): (sorted keys, values)} of model entries."""
-    k, ctx, g, p = (rows.column(c).to_numpy() for c in ("k", "ctx", "g", "p"))
-    out = {}
-    for key in [(o, c) for o in range(1, ORDER + 1) for c in (False, True)]:
-        at = np.flatnonzero((k == key[0]) & (ctx == key[1]))
-        at = at[np.argsort(g[at])]
-        out[key] = (g[at], p[at])
+def counts(blocks: DataFrame, trusted: DataFrame, bound: int = SHARD) -> tuple[DataFrame, np.ndarray, int]:
+    """((fold, shard, data), shards, n): the counts of all n-grams of all trusted texts, a row a shard,
+    and which shard has which byte pairs. Blocks' counts are added up in rounds of FAN at a time."""
+    at = checkpoint(positions(blocks, trusted))
+
+    def size(block, fold, g, c):
+        p, n = np.unique(pair(g), return_counts=True)
+        return zip(p.tolist(), n.tolist())
+
+    # 2 x 65,536 rows at most; what blocks have in common is counted more than once, so shards are smaller.
+    sizes = of_trusted(blocks, at, size, "fold int, pair int, n long").groupBy("fold", "pair").agg(F.sum("n").alias("n")).collect()
+    shards, n = dealt([(r.n, r.fold, r.pair) for r in sizes], bound)
+    parts = -(-blocks.select("block").count() // FAN) or 1
+
+    def split(block, fold, g, c):
+        of = shards[fold][pair(g)]
+        return [(int(s), part_of(block, parts), coded(g[of == s], c[of == s])) for s in np.unique(of)]
+
+    held = of_trusted(blocks, at, split, "fold int, shard int, part int, data binary")
+
+    def add(t):
+        return pa.table({"fold": t.column("fold")[:1], "shard": t.column("shard")[:1], "part": pa.array([t.column("part")[0].as_py() // FAN], pa.int32()), "data": pa.array([coded(*merged(t.column("data").to_pylist()))], pa.binary())})
+
+    while True:
+        held = checkpoint(held.groupBy("fold", "shard", "part").applyInArrow(add, held.schema))
+        if parts == 1:
+            return held.select("fold", "shard", "data"), shards, n
+        parts = -(-parts // FAN)
+
+
+def discounts(n: dict[int, int]) -> list[float]:
+    """D1, D2, D3+ from the numbers of n-grams seen once to four times."""
+    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return [min(max(d, 0.1), k + 0.9) for k, d in enumerate(raw)]
+
+
+def pair(g: np.ndarray) -> np.ndarray:
+    """The two bytes before the predicted one."""
+    return g >> 8 & 0xFFFF
+
+
+def shorter(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (k - 1)-grams that the k-grams g end in, and how many of g each."""
+    return np.unique(g & mask(k - 1), return_counts=True)
+
+
+def small_counts(held: DataFrame) -> tuple[dict, dict]:
+    """By fold: {order: {count: n-grams with it}} up to counts of 4, and the bigrams with their counts (the
+    different bytes before them): 65,536 at most."""
+
+    def run(batches):
+        for b in batches:
+            for fold, data in zip(b.column("fold").to_pylist(), b.column("data")):
+                g, c = decoded(data.as_py())
+                rows = []
+                for k in (5, 4, 3):
+                    rows += [(fold, k, int(x), int((c == x).sum())) for x in (1, 2, 3, 4)]
+                    g, c = shorter(g, k)
+                rows += [(fold, 2, int(x), int(n)) for x, n in zip(g, c)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["fold", "k", "x", "n"])
+
+    few, bigrams = {}, {}
+    for r in held.mapInArrow(run, "fold int, k int, x long, n long").groupBy("fold", "k", "x").agg(F.sum("n").alias("n")).collect():
+        if r.k == 2:
+            bigrams.setdefault(r.fold, {})[r.x] = r.n
+        else:
+            few.setdefault(r.fold, {}).setdefault(r.k, {})[r.x] = r.n
+    return few, bigrams
+
+
+def tables(k: int, g: np.ndarray, c: np.ndarray, d: list[float], lower) -> dict:
+    """{(k, ctx): (sorted keys, values)}: log probabilities of the k-grams g, and log interpolation weights
+    of their contexts; lower gives the probabilities of (k - 1)-grams."""
+    off = np.array(d)[np.minimum(c, 3) - 1]
+    h, at = np.unique(g >> 8, return_inverse=True)
+    total, gamma = np.bincount(at, weights=c), np.bincount(at, weights=off)
+    p = (c - off) / total[at] + gamma[at] / total[at] * lower(g & mask(k - 1))
+    return {(k, False): (g, np.log(p)), (k, True): (h, np.log(gamma / total))}
+
+
+def base_tables(bigrams: dict, few: dict) -> tuple[dict, dict]:
+    """The tables of orders 1 and 2 of a fold, and the discounts of all orders."""
+    g2 = np.array(sorted(bigrams), dtype=np.int64)
+    c2 = np.array([bigrams[x] for x in g2.tolist()], dtype=np.int64)
+    g1, c1 = shorter(g2, 2)
+    d = {k: discounts(few.get(k, {})) for k in (3, 4, 5)} | {k: discounts({x: int((c == x).sum()) for x in (1, 2, 3, 4)}) for k, c in ((1, c1), (2, c2))}
+    out = tables(1, g1, c1, d[1], lambda s: 1 / 256)
+    return out | tables(2, g2, c2, d[2], lambda s: np.exp(find(out[1, False], s)[1])), d
+
+
+def shard_tables(data: list[bytes], small: dict, d: dict) -> dict:
+    """The tables of orders 3 to 5 of a shard, which holds all n-grams whose contexts end in its pairs."""
+    g, c = merged(data)
+    all_orders = {5: (g, c)}
+    for k in (5, 4):
+        all_orders[k - 1] = shorter(all_orders[k][0], k)
+    out = dict(small)
+    for k in (3, 4, 5):
+        out |= tables(k, *all_orders[k], d[k], lambda s, k=k: np.exp(find(out[k - 1, False], s)[1]))
     return out
 
 
+EMPTY = {(k, ctx): (np.zeros(0, np.int64), np.zeros(0)) for k in range(1, ORDER + 1) for ctx in (False, True)}
+
+
 def find(table, keys):
     at = np.minimum(np.searchsorted(table[0], keys), max(len(table[0]) - 1, 0))
     hit = table[0][at] == keys if len(table[0]) else np.zeros(len(keys), bool)
     return hit, (table[1][at] if len(table[0]) else np.zeros(len(keys)))
 
 
-def resolve(keys: np.ndarray, small: dict, large: dict) -> np.ndarray:
-    """Log probabilities of n-grams, from the tables of orders 1 and 2 and those of the shard."""
+def resolve(keys: np.ndarray, at: dict) -> np.ndarray:
+    """Log probabilities of n-grams."""
     out, todo = np.zeros(len(keys)), np.arange(len(keys))
     for k in range(ORDER, 0, -1):
-        at = small if k <= 2 else large
         g = keys[todo] & mask(k)
         hit, p = find(at[k, False], g)
         out[todo[hit]] += p[hit]
@@ -273,39 +372,36 @@ def resolve(keys: np.ndarray, small: dict, large: dict) -> np.ndarray:
     return out
 
 
-def perplexities(blocks: DataFrame, model: DataFrame, bound: int = SHARD) -> DataFrame:
+def perplexities(blocks: DataFrame, model: DataFrame, shards: np.ndarray, n: int) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity) of every document of the blocks."""
-    by_fold = {r.fold: tables_of(model.where((F.col("k") <= 2) & (F.col("fold") == r.fold)).select("k", "ctx", "g", "p").toArrow()) for r in model.select("fold").distinct().collect()}
-    none = tables_of(pa.table({"k": pa.array([], pa.int32()), "ctx": pa.array([], pa.bool_()), "g": pa.array([], pa.int64()), "p": pa.array([], pa.float64())}))
-    use = [1 - f if len(by_fold) == 2 else next(iter(by_fold), 0) for f in (0, 1)]
-    shards, n = dealt(model, bound)
-    parts = -(-blocks.count() // (REQUESTS * n)) or 1
+    few, bigrams = small_counts(model)
+    bases = {f: base_tables(x, few.get(f, {})) for f, x in bigrams.items()}
+    use = [1 - f if len(bases) == 2 else next(iter(bases), 0) for f in (0, 1)]
+    parts = -(-blocks.select("block").count() // (REQUESTS * n)) or 1
 
     def ask(batches):
-        zstd = zstandard.ZstdCompressor(level=1)
         for b in batches:
             for i in range(b.num_rows):
                 row = pa.Table.from_batches([b.slice(i, 1)])
                 fold, block = use[row.column("fold")[0].as_py()], row.column("block")[0].as_py()
                 g, _ = distinct(unpack(row))
-                of = shards[fold][g >> 8 & 0xFFFF]
+                of = shards[fold][pair(g)]
                 asked = [(int(s), g[of == s]) for s in np.unique(of)]
-                data = [zstd.compress(np.diff(x, prepend=0).tobytes()) for _, x in asked]
-                yield pa.RecordBatch.from_arrays([pa.array([fold] * len(asked), pa.int32()), pa.array([s for s, _ in asked], pa.int32()), pa.array([block % parts] * len(asked), pa.int32()), pa.array([block] * len(asked), pa.int64()), pa.array(data, pa.binary())], ["fold", "shard", "part", "block", "data"])
+                data = [coded(x, x[:0]) for _, x in asked]
+                yield pa.RecordBatch.from_arrays([pa.array([fold] * len(asked), pa.int32()), pa.array([s for s, _ in asked], pa.int32()), pa.array([part_of(block, parts)] * len(asked), pa.int32()), pa.array([block] * len(asked), pa.int64()), pa.array(data, pa.binary())], ["fold", "shard", "part", "block", "data"])
 
     asked = blocks.select("block", "fold", "sizes", "data").mapInArrow(ask, "fold int, shard int, part int, block long, data binary")
-    # 2 x 65,536 rows at most: the shards of byte pairs.
-    known = blocks.sparkSession.createDataFrame(pa.table({"fold": np.repeat(np.arange(2, dtype=np.int32), 1 << 16), "pair": np.tile(np.arange(1 << 16, dtype=np.int32), 2), "shard": shards.reshape(-1).astype(np.int32)}))
-    entries = model.where("k > 2").withColumn("pair", pair()).join(F.broadcast(known), ["fold", "pair"])
-    entries = entries.select("fold", "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "k", "ctx", "g", "p")
+    entries = model.select("fold", "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "data")
 
     def answer(left, right):
-        large = tables_of(right) if right.num_rows else none
-        got = []
-        for r in left.to_batches():
-            for fold, data in zip(r.column("fold").to_pylist(), r.column("data")):
-                g = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), dtype=np.int64))
-                got.append(resolve(g, by_fold.get(fold, none), large).astype(np.float32).tobytes())
+        got, at = [], EMPTY
+        if left.num_rows:
+            fold = left.column("fold")[0].as_py()
+            if fold in bases:
+                at = shard_tables(right.column("data").to_pylist(), *bases[fold])
+        for data in left.column("data").to_pylist():
+            g = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.int64))
+            got.append(resolve(g, at).astype(np.float32).tobytes())
         return pa.table({"block": pa.array(left.column("block").to_pylist(), pa.int64()), "shard": pa.array(left.column("shard").to_pylist(), pa.int32()), "data": pa.array(got, pa.binary())})
 
     key = ["fold", "shard", "part"]
@@ -315,7 +411,7 @@ def perplexities(blocks: DataFrame, model: DataFrame, bound: int = SHARD) -> Dat
     def score(left, right):
         texts = unpack(left)
         g, _ = distinct(texts)
-        of = shards[use[left.column("fold")[0].as_py()]][g >> 8 & 0xFFFF]
+        of = shards[use[left.column("fold")[0].as_py()]][pair(g)]
         p = np.zeros(len(g), np.float32)
         for s, data in zip(right.column("shard").to_pylist(), right.column("data")):
             p[of == s] = np.frombuffer(data.as_py(), dtype=np.float32)
@@ -342,10 +438,10 @@ def thresholds(scored: DataFrame, share: float, step: float = 0.001) -> DataFram
 
 def classify(docs: DataFrame, trusted: DataFrame, share: float = 0.99, bound: int = SHARD) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, kept) of every row of docs."""
-    blocks = checkpoint(pack(docs))
-    model = estimate(counts(blocks, trusted))
+    blocks, remove = stored(pack(docs))
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("__t")).distinct()
-    scored = checkpoint(perplexities(blocks, model, bound))
+    scored = checkpoint(perplexities(blocks, *counts(blocks, trusted, bound)))
+    remove()
     marked = scored.join(ids.hint("merge"), F.col("doc_id") == F.col("__t"), "left").select(*scored.columns, F.col("__t").isNotNull().alias("trusted"))
     limit = thresholds(marked, share).withColumnRenamed("lang", "__lang")
     out = scored.join(limit, scored["lang"].eqNullSafe(F.col("__lang")), "left")

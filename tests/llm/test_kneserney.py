@@ -81,31 +81,36 @@ def test_against_recursion(spark, bound, block, monkeypatch):
         assert 0.9 <= sum(r.kept for r in mine) / len(mine) < 1
 
 
-def test_shards_stay_within_their_bound(spark):
+def test_shards_stay_within_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(kn, "BLOCK", 4000)
+    monkeypatch.setattr(kn, "FAN", 3)  # counts are added up in several rounds
     rnd = random.Random(5)
     rows = [(i, "".join(rnd.choice("abcdefgh ") for _ in range(400)), "aa") for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = kn.estimate(kn.counts(kn.checkpoint(kn.pack(docs)), docs))
-    by_pair = model.where("k > 2").groupBy("fold", kn.pair().alias("pair")).count().collect()
+    blocks, remove = kn.stored(kn.pack(docs))
+    whole = {f: Counter(g for _, t, _ in rows if fold(t) == f for g in grams(t)) for f in (0, 1)}
     for bound in (1000, 2500):
-        shards, n = kn.dealt(model, bound)
-        sizes = Counter()
-        for r in by_pair:
-            sizes[r.fold, shards[r.fold, r.pair]] += r["count"]
-        assert max(sizes.values()) <= bound and max(r["count"] for r in by_pair) <= bound
-        assert {s for _, s in sizes} <= set(range(n))
+        held, shards, n = kn.counts(blocks, docs, bound)
+        got = {0: Counter(), 1: Counter()}
+        for r in held.collect():
+            g, c = kn.decoded(bytes(r.data))
+            assert len(g) <= bound and r.shard < n and set(shards[r.fold][kn.pair(g)]) == {r.shard}
+            got[r.fold].update({int(x).to_bytes(5, "big"): int(y) for x, y in zip(g, c)})
+        assert got == whole
+    remove()
 
 
 def test_one_python_node_a_stage(spark):
-    """However many shards there are, no plan stacks one Python operator upon another."""
+    """However many shards there are, no plan stacks one Python operator upon another or shuffles the blocks."""
     rows = sample()
     docs = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
-    blocks = kn.checkpoint(kn.pack(docs))
+    blocks, remove = kn.stored(kn.pack(docs))
     plans = []
     for bound in (kn.SHARD, 200):
-        plan = kn.perplexities(blocks, kn.estimate(kn.counts(blocks, docs)), bound)._jdf.queryExecution().optimizedPlan().toString()
-        plans.append([sum(x in line for line in plan.split("\n")) for x in ("MapInArrow", "CoGroup")])
-    assert plans[0] == plans[1] == [1, 2]
+        plan = kn.perplexities(blocks, *kn.counts(blocks, docs, bound))._jdf.queryExecution().executedPlan().toString()
+        plans.append([sum(x in line for line in plan.split("\n")) for x in ("MapInArrow", "CoGroup", "Exchange")])
+    assert plans[0] == plans[1] == [1, 2, 3]
+    remove()
 
 
 def test_no_trusted_text_one_fold_and_empty(spark):
