@@ -72,6 +72,11 @@ def hrefs(page, must_contain: str | None = "http") -> Column:
     return found if must_contain is None else F.filter(found, lambda u: u.contains(must_contain))
 
 
+def first_urls(urls, n: int = 3) -> Column:
+    """The first n of a list of URLs, or as many as there are."""
+    return F.slice(_c(urls), 1, n)
+
+
 def is_unwanted_url(url) -> Column:
     out = F.lit(False)
     for part in UNWANTED_URLS:

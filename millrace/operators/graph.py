@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.tables import latest
+from millrace.operators.tables import latest, numbered
 from millrace.session import checkpoint
 
 
@@ -42,6 +42,24 @@ def neighbors(log: DataFrame, src, as_of=None) -> DataFrame:
     return active(log.where(F.col("src") == src), as_of).select("dst")
 
 
+def neighbors_in_order(log: DataFrame, src, as_of=None) -> DataFrame:
+    """(dst, seen) of one vertex in the order in which the log first names them, at either end of an edge."""
+    mine = neighbors(log, src, as_of)
+    named = log.select(F.explode(F.array(F.struct(F.col("src").alias("dst"), "version"), F.struct("dst", "version"))).alias("v")).select("v.*")
+    seen = named.join(mine, "dst", "left_semi").groupBy("dst").agg(F.min("version").alias("seen"))
+    return mine.join(seen, "dst").orderBy("seen", "dst")
+
+
+def link_documents(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes(id, document_id) and edges(from_id, to_id) with an edge for each of pairs(from_document,
+    to_document); documents without a node get one."""
+    ids = pairs.select(F.explode(F.array("from_document", "to_document")).alias("document_id"))
+    nodes = get_or_create_nodes(nodes, ids)
+    a, b = (nodes.select(F.col("id").alias(f"{x}_id"), F.col("document_id").alias(f"{x}_document")) for x in ("from", "to"))
+    new = pairs.join(a, "from_document").join(b, "to_document").select("from_id", "to_id")
+    return nodes, edges.unionByName(new)
+
+
 def common_neighbors(log: DataFrame, a, b, as_of=None) -> DataFrame:
     both = active(log.where(F.col("src").isin(a, b)), as_of)
     return both.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") == (1 if a == b else 2)).select("dst")
@@ -72,17 +90,9 @@ def reachable(edges: DataFrame, start: DataFrame, documents: DataFrame | None =
 
 
 def dense_ids(df: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, id): ids from 0 in the order in which keys are first seen.
-
-    Keys are range-partitioned by that order; each partition numbers its own and starts where those
-    before it end, so no task has to hold all of them.
-    """
-    seen = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__at"))
-    parts = checkpoint(seen.repartitionByRange(F.col("__at"), F.col(key)).withColumn("__p", F.spark_partition_id()))
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("n"))
-    starts = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    at = F.row_number().over(Window.partitionBy("__p").orderBy("__at", key)) - 1
-    return parts.join(F.broadcast(starts), "__p").select(key, (F.col("base") + at).alias("id"))  # one row a partition
+    """(key, id): ids from 0 in the order in which keys are first seen."""
+    seen = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__first"))
+    return numbered(seen, "__first", key, name="id").select(key, "id")
 
 
 def get_or_create_nodes(nodes: DataFrame, document_ids: DataFrame) -> DataFrame:
@@ -111,8 +121,8 @@ def match_label(nodes: DataFrame, query: str) -> DataFrame:
 def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """nodes(id, type, data) with new(type, data), whose ids follow on: an id is a position."""
     n = nodes.agg(F.count("*").alias("n")).select("n").scalar()
-    order = F.row_number().over(Window.orderBy("type", F.to_json("data"))) - 1
-    return nodes.unionByName(new.select((order + n).cast("long").alias("id"), "type", "data"))
+    number = numbered(new.select("type", "data", F.to_json("data").alias("__j")), "type", "__j", name="__n")
+    return nodes.unionByName(number.select((F.col("__n") + n).cast("long").alias("id"), "type", "data"))
 
 
 def add_relationships(edges: DataFrame, new: DataFrame) -> DataFrame:

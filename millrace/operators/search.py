@@ -7,11 +7,16 @@ term is pruned; statistics of the corpus (rows, mean size, document frequencies)
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.functions import analysis
 
@@ -60,14 +65,29 @@ def bm25(docs: DataFrame, row_id: str, columns: dict[str, float], terms: list[st
 
     The scan that counts the corpus is that which finds the postings: both read tokens once.
     """
-    p = postings(docs, row_id, columns, terms, prefix, **how)
-    s = statistics(docs, row_id, columns, **how)
+    return score(postings(docs, row_id, columns, terms, prefix, **how), statistics(docs, row_id, columns, **how))
+
+
+def score(p: DataFrame, s: DataFrame) -> DataFrame:
+    """(row_id, score) from the postings of a query's terms and the statistics of their corpus."""
     df = p.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
     one = p.join(F.broadcast(df), "term").select("*", s.select("n").scalar().alias("n"), s.select("mean").scalar().alias("mean"))
     part = idf() * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     return one.groupBy("row_id").agg(F.sum(part).alias("score"))
 
 
+def store(docs: DataFrame, row_id: str, columns: dict[str, float], path: str, **how) -> None:
+    """Writes the index of docs, ordered by term, so that a query reads the row groups of its terms only."""
+    p = postings(docs, row_id, columns, **how)
+    p.repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id").write.mode("overwrite").parquet(f"{path}/postings")
+    statistics(docs, row_id, columns, **how).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def stored(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """(row_id, score) of the rows of a stored index with any of the terms."""
+    return score(spark.read.parquet(f"{path}/postings").where(F.col("term").isin(terms)), spark.read.parquet(f"{path}/statistics"))
+
+
 def top(scored: DataFrame, k: int, order: str = "best") -> DataFrame:
     """The k best rows; order='literal' gives the k worst, as sorting negative ranks downwards does."""
     by = F.col("score").desc() if order == "best" else F.col("score").asc()
@@ -149,16 +169,100 @@ def tfidf(docs: DataFrame, row_id: str, columns: list[str], terms: list[str], **
     return s.select("row_id", (F.col("s") * F.col("k") / len(terms)).alias("score"))
 
 
-def batch(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, row_id, score, rank) of the k best rows of every query: queries(query_id, term) are
-    joined to all postings by term, and ranks are limited in each task before the shuffle."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    q = queries.distinct().join(df, "term")
-    one = index.join(q, "term").select("*", stats.select("n").scalar().alias("n"), stats.select("mean").scalar().alias("mean"))
-    part = idf() * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    s = one.groupBy("query_id", "row_id").agg(F.sum(part).alias("score"))
+#: Query terms that go out at a time, of whole queries; and rows of a batch that are scored at a time.
+BATCH_TERMS, BATCH_ROWS = 20_000, 256
+
+
+def batch(docs: DataFrame, row_id: str, columns: dict[str, float], queries: DataFrame, k: int, decimals: int = 6, **how) -> DataFrame:
+    """(query_id, row_id, score, rank) of the k best rows of every query: queries(query_id, term).
+
+    Queries go out in blocks of bounded size. A row is scored where it is, against all queries of a
+    block at once, and a task keeps k rows a query, so that no (query, row) pairs are shuffled. Scores
+    are rounded to ``decimals``; ties go to the smaller row_id.
+    """
+    r = rows(docs, row_id, columns, **how)
+    s = r.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
+    wanted = queries.select("query_id", "term").distinct()
+    found = r.select(F.explode(F.array_distinct(F.transform("t", lambda x: x["term"]))).alias("term"))
+    df = found.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*r.schema.fields, *queries.schema.fields]}
+    given = r.select("row_id", F.transform("t", lambda x: x["term"]).alias("terms"), F.transform("t", lambda x: x["col"]).alias("cols"))
+    weights, out = np.array(list(columns.values())), None
+    for ids, block in _query_blocks(wanted.join(df.hint("merge"), "term").orderBy("query_id", "term")):
+        sent = docs.sparkSession.sparkContext.broadcast((ids, block))
+
+        def run(batches, sent=sent):
+            ids, block = sent.value
+            vocab = {t: i for i, t in enumerate(block)}
+            having = [np.array(q) for _, q in block.values()]
+            raw = [math.log((s.n - n + 0.5) / (n + 0.5)) for n, _ in block.values()]
+            gain = [x if x > 0 else 1e-6 for x in raw]
+            best, names = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), object)
+            for b in batches:
+                for at in range(0, b.num_rows, BATCH_ROWS):
+                    part = b.slice(at, BATCH_ROWS)
+                    own = np.array(part.column(0).to_pylist(), dtype=object)
+                    got = np.zeros((len(ids), len(own)))
+                    for j, (terms, cols) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                        f: Counter = Counter()
+                        for t, c in zip(terms, cols):
+                            if t in vocab:
+                                f[vocab[t]] += weights[c]
+                        norm = K1 * (1 - B + B * len(terms) / s.mean) if s.mean else 0.0
+                        for t, x in f.items():
+                            got[having[t], j] += gain[t] * x * (K1 + 1) / (x + norm)
+                    got = np.round(got, decimals)
+                    got[got <= 0] = -np.inf
+                    if best.shape[1] == k:  # a row that is no better than the last one kept is out
+                        todo = np.flatnonzero(got.max(axis=1) >= best[:, -1])
+                    else:
+                        todo = np.arange(len(ids))
+                    grown, of = np.concatenate([best[todo], got[todo]], axis=1), np.concatenate([names[todo], np.broadcast_to(own, (len(todo), len(own)))], axis=1)
+                    keep = min(k, best.shape[1] + len(own))
+                    new, new_of = np.full((len(ids), keep), -np.inf), np.empty((len(ids), keep), object)
+                    new[:, : best.shape[1]], new_of[:, : best.shape[1]] = best, names
+                    for i, q in enumerate(todo):
+                        real = np.flatnonzero(grown[i] > -np.inf)
+                        order = sorted(real, key=lambda x, i=i: (-grown[i, x], of[i, x]))[:keep]
+                        new[q], new_of[q] = -np.inf, None
+                        new[q, : len(order)], new_of[q, : len(order)] = grown[i, order], of[i, order]
+                    best, names = new, new_of
+            real = best > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, n in zip(ids, real.sum(axis=1)) for _ in range(n)], query_type), pa.array(names[real].tolist(), row_type), pa.array(best[real])], ["query_id", "row_id", "score"])
+
+        query_type, row_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(r.schema["row_id"].dataType)
+        part = given.mapInArrow(run, f"query_id {kinds['query_id']}, row_id {kinds['row_id']}, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return wanted.select("query_id").join(r.select("row_id"), F.lit(False)).select("*", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row_id")
-    return s.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def _query_blocks(terms: DataFrame):
+    """(query ids, {term: (rows with it, [numbers of the queries with it])}) of whole queries, in order."""
+    ids: list = []
+    block: dict = {}
+    size = 0
+    for r in terms.select("query_id", "term", "df").toLocalIterator():
+        if not ids or ids[-1] != r.query_id:
+            if size >= BATCH_TERMS:
+                yield ids, block
+                ids, block, size = [], {}, 0
+            ids.append(r.query_id)
+        block.setdefault(r.term, (r.df, []))[1].append(len(ids) - 1)
+        size += 1
+    if ids:
+        yield ids, block
+
+
+def first_matches(docs: DataFrame, row_id: str, columns: list[str], query: str, limit: int = 10, **how) -> DataFrame:
+    """The first rows by id that fit the query."""
+    return match(docs, row_id, columns, query, **how).orderBy("row_id").limit(limit)
+
+
+#: Fixed value: what stands between what a search found and the message.
+INSTRUCTIONS = "Use the previous information to answer the following message if it is relevant to answer or complete the following message:\n"
 
 
 def formatted(prompt="prompt", response="response"):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import checkpoint
 
 #: Tables of the application, by name.
 SCHEMAS = {
@@ -60,8 +61,28 @@ def insert(df: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """df and new, whose rows get the keys that follow the largest; ``new`` is a batch, ordered by its columns."""
     start = df.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).select("m").scalar()
     rest = [c for c in new.columns if c != key]
-    numbered = new.select((F.row_number().over(Window.orderBy(*rest)) + start).cast("long").alias(key), *rest)
-    return df.unionByName(numbered)
+    number = numbered(new.select(*rest), *rest, name="__n")
+    return df.unionByName(number.select((F.col("__n") + 1 + start).cast("long").alias(key), *rest))
+
+
+def numbered(df: DataFrame, *order, name: str) -> DataFrame:
+    """df with numbers from 0 in the given order. Rows are range-partitioned by it; each partition numbers
+    its own and starts where those before it end, so no task has to hold all of them."""
+    parts = checkpoint(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    sizes = parts.groupBy("__p").agg(F.count("*").alias("n"))
+    starts = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    at = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return parts.withColumn("__at", at).join(F.broadcast(starts), "__p").select(*df.columns, (F.col("__base") + F.col("__at")).alias(name))  # one row a partition
+
+
+def one_of(df: DataFrame, key: list[str], last: bool, order=None) -> DataFrame:
+    """One row of each key: the first or last by ``order`` (by the rest of the row, where there is none)."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    by = F.col(order) if isinstance(order, str) else F.to_json(F.struct(*rest)) if order is None else order
+    pick = F.max_by if last else F.min_by
+    return df.groupBy(*key).agg(pick(F.struct(*rest), by).alias("__r")).select(*key, "__r.*").select(df.columns)
 
 
 def is_zero(c: Column, kind: T.DataType) -> Column:
@@ -99,15 +120,16 @@ def replace_single(choices: DataFrame, key: str = "id", **values) -> DataFrame:
     return first(choices, key, **values)
 
 
-def insert_absent(df: DataFrame, new: DataFrame, on) -> DataFrame:
-    """df and the rows of new whose key it hasn't."""
-    return df.unionByName(new.join(df, on, "left_anti").dropDuplicates([on] if isinstance(on, str) else on))
+def insert_absent(df: DataFrame, new: DataFrame, on, order=None) -> DataFrame:
+    """df and the rows of new whose key it hasn't; of equal keys in new the first by ``order`` goes in."""
+    on = [on] if isinstance(on, str) else on
+    return df.unionByName(one_of(new.join(df, on, "left_anti"), on, last=False, order=order).select(df.columns))
 
 
-def upsert(df: DataFrame, new: DataFrame, key) -> DataFrame:
-    """new's rows take the place of df's with the same key; of equal keys in new one stays."""
+def upsert(df: DataFrame, new: DataFrame, key, order=None) -> DataFrame:
+    """new's rows take the place of df's with the same key; of equal keys in new the last by ``order`` stays."""
     key = [key] if isinstance(key, str) else key
-    return df.join(new.select(*key), key, "left_anti").select(df.columns).unionByName(new.dropDuplicates(key))
+    return df.join(new.select(*key), key, "left_anti").select(df.columns).unionByName(one_of(new, key, last=True, order=order).select(df.columns))
 
 
 def latest(log: DataFrame, key, version: str, *ties) -> DataFrame:
@@ -154,3 +176,8 @@ def concat_pages(pages: DataFrame, by, order: str, text: str) -> DataFrame:
     """Fetched pages in order, each followed by a blank line; empty ones are left out."""
     full = pages.where(F.col(text).isNotNull() & (F.col(text) != ""))
     return concat_ordered(full.withColumn(text, F.concat(text, F.lit("\n\n"))), by, order, text)
+
+
+def stringified(df: DataFrame, columns) -> DataFrame:
+    """df with the columns, whatever their type, as the strings that settings are kept as."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})

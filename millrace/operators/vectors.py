@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vector as V
 
 #: Query vectors sent to the executors at once, and the bytes they may have.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
+#: Rows that a block meets at a time: 8 MB of similarities.
+SLICE = 256
 
 
 def similarities(corpus: DataFrame, query, vec: str = "embedding", lenient: bool = False) -> DataFrame:
-    """corpus with similarity to one query vector, which is a literal of the plan."""
-    return corpus.withColumn("similarity", V.cosine(vec, V.literal(query), lenient))
+    """corpus with similarity to one query vector: a list, or a column such as a scalar subquery."""
+    if not isinstance(query, Column):
+        return corpus.withColumn("similarity", V.cosine(vec, V.literal(query), lenient))
+    held = corpus.withColumn("__query", query)  # a subquery can't stand in a lambda
+    return held.withColumn("similarity", V.cosine(vec, F.col("__query"), lenient)).drop("__query")
 
 
 def top_k(corpus: DataFrame, query, k: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -61,15 +66,20 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec:
             names = np.array(ids, dtype=np.int64)
             best_s, best_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=np.int64)
             for b in batches:
-                flat, n = b.column(1).flatten().to_numpy(zero_copy_only=False), b.num_rows
-                if not n:
-                    continue
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                s = m @ _unit(flat.astype(float).reshape(n, -1)).T
-                s[own[None, :] == names[:, None]] = -np.inf
-                s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, np.broadcast_to(own, s.shape)], axis=1)
-                at = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, at, 1), np.take_along_axis(i, at, 1)
+                for at in range(0, b.num_rows, SLICE):
+                    part = b.slice(at, SLICE)
+                    flat, own = part.column(1).flatten().to_numpy(zero_copy_only=False), part.column(0).to_numpy(zero_copy_only=False)
+                    s = m @ _unit(flat.astype(float).reshape(len(own), -1)).T
+                    s[own[None, :] == names[:, None]] = -np.inf
+                    if best_s.shape[1] == k:  # queries to which no row is nearer than the last one kept are done
+                        todo = np.flatnonzero(s.max(axis=1) >= best_s[:, -1])
+                    else:
+                        todo = np.arange(len(ids))
+                        best_s = np.pad(best_s, ((0, 0), (0, k - best_s.shape[1])), constant_values=-np.inf)
+                        best_i = np.pad(best_i, ((0, 0), (0, k - best_i.shape[1])))
+                    s, i = np.concatenate([best_s[todo], s[todo]], axis=1), np.concatenate([best_i[todo], np.broadcast_to(own, (len(todo), len(own)))], axis=1)
+                    order = np.lexsort((i, -s), axis=1)[:, :k]
+                    best_s[todo], best_i[todo] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             real = best_s > -np.inf
             q = np.repeat(names, real.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best_i[real]), pa.array(best_s[real])], ["query_id", key, "similarity"])
@@ -103,3 +113,10 @@ def rank_labels(labels="labels", scores="scores"):
     pairs = F.transform(F.arrays_zip(F.col(labels).alias("l"), F.col(scores).alias("s")), lambda x, i: F.struct((-x["s"]).alias("n"), i.alias("i"), x["l"].alias("label")))
     ranked = F.transform(F.array_sort(pairs), lambda x: x["label"])
     return F.when(F.size(labels) == F.size(scores), ranked).otherwise(F.raise_error(F.lit("labels and scores differ in number")).cast("array<string>"))
+
+
+def classify(df: DataFrame, text: str, labels: list[str], scorer) -> DataFrame:
+    """df with ranked: labels by falling score. scorer(text column, label) -> score column: a model of the
+    caller's (as a pandas UDF) or an expression."""
+    t = df.select("*", F.array(*(F.lit(x) for x in labels)).alias("__l"), F.array(*(scorer(F.col(text), x).cast("double") for x in labels)).alias("__s"))
+    return t.select(*df.columns, rank_labels("__l", "__s").alias("ranked"))

@@ -11,6 +11,7 @@ from millrace.functions import vector as V
 from millrace.operators import chat, chunking, code, graph, search, tables, vectors
 from millrace.session import table
 from millrace.sources import files
+from millrace.streaming import turns
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -76,9 +77,12 @@ def recursive_split_plain(spark, d):
     return chunking.recursive_split_plain(table(spark, d, "documents").select("doc_id", "text"), ["\n\n", "\n", " "], 200)
 
 
-@query(f"SELECT doc_id, CAST(idx AS INTEGER) AS idx, chunk FROM ({SPLIT_SQL})")
+@query(r"""SELECT doc_id, CAST(i AS INTEGER) AS idx, c AS chunk FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS c FROM (
+SELECT doc_id, flatten(list_transform(range(1, len(p) + 1), lambda k: CASE WHEN k <= len(m) THEN [p[k], m[k]] ELSE [p[k]] END)) AS l FROM (
+SELECT doc_id, string_split_regex(text, '[,.]\s*|\n+') AS p, regexp_extract_all(text, '[,.]\s*|\n+') AS m FROM documents WHERE text IS NOT NULL)))""")
 def recursive_split(spark, d):
-    return chunking.recursive_split(table(spark, d, "documents").select("doc_id", "text"), ["\n\n", "\n", " "], 200)
+    """Separators that are patterns, and are kept."""
+    return chunking.recursive_split(table(spark, d, "documents").select("doc_id", "text"), [r"[,.]\s*|\n+"], 200, regex=True, keep=True)
 
 
 @query(f"""SELECT doc_id, CAST(idx AS INTEGER) AS idx, hex(b) || coalesce(hex(array_slice(lead(b) OVER (PARTITION BY doc_id ORDER BY idx), 1, 16)), '') AS chunk
@@ -119,15 +123,12 @@ def language_route(spark, d):
     return _metadata(table(spark, d, "documents")).select("doc_id", chunking.language_of("metadata").alias("language"))
 
 
-@query(f"""SELECT id, kind, count(*) AS n, CAST(sum(strlen(b)) AS BIGINT) AS n_bytes FROM (
-  SELECT {KEY_SQL} AS id, 'full' AS kind, text AS b FROM documents
-  UNION ALL SELECT {KEY_SQL} || '-0' AS id, 'first' AS kind, text FROM documents WHERE strlen(text) BETWEEN 1 AND 2048) GROUP BY id, kind""")
+@query(f"""SELECT {KEY_SQL} AS id, 'full' AS kind, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents GROUP BY 1
+UNION ALL SELECT key || '-' || i, 'chunk', count(*), NULL FROM (SELECT {KEY_SQL} AS key, unnest(range(0, CAST(ceil(strlen(text) / 2048.0) AS BIGINT))) AS i FROM documents) GROUP BY 1""")
 def index_entries(spark, d):
+    """Entries of all texts; what bytes chunks have, index_chunks tells (a cut character takes other bytes)."""
     e = chunking.index_entries(_metadata(table(spark, d, "documents")))
-    sizes = e.where("kind = 'full'").select("id", "kind", "body")
-    short = _metadata(table(spark, d, "documents")).where(F.octet_length(F.encode("page_content", "UTF-8")).between(1, 2048))
-    first = chunking.index_entries(short).where("kind = 'chunk'").select("id", F.lit("first").alias("kind"), "body")
-    return sizes.unionByName(first).groupBy("id", "kind").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.encode("body", "UTF-8"))).alias("n_bytes"))
+    return e.groupBy("id", "kind").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == "full", F.octet_length(F.encode("body", "UTF-8")))).alias("n_bytes"))
 
 
 @query()
@@ -364,16 +365,15 @@ i AS (SELECT term, CASE WHEN ln((n - count(*) + 0.5) / (count(*) + 0.5)) <= 0 TH
 x AS (SELECT item_id, row_id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))), 4) AS score FROM q JOIN p USING (term) JOIN i USING (term), s GROUP BY item_id, row_id)
 SELECT item_id, row_id AS doc_id, score FROM x QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, row_id) <= 1""")
 def fts_batch(spark, d):
-    docs = table(spark, d, "documents")
-    index, stats = search.postings(docs, "doc_id", {"text": 1.0}), search.statistics(docs, "doc_id", {"text": 1.0})
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(analysis.tokens("text")).alias("term"))
-    got = search.batch(index, stats, q, 1)
-    return got.select(F.col("query_id").alias("item_id"), F.col("row_id").alias("doc_id"), F.round("score", 4).alias("score"))
+    got = search.batch(table(spark, d, "documents"), "doc_id", {"text": 1.0}, q, 1, decimals=4)
+    return got.select(F.col("query_id").alias("item_id"), F.col("row_id").alias("doc_id"), "score")
 
 
-@query()
+@query(r"""SELECT doc_id FROM (SELECT doc_id, regexp_extract_all(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+') AS t FROM documents)
+WHERE len(list_filter(t, lambda x: regexp_full_match(x, 'thing(e|es|s|ed|eds|ing|ings|ness|ful|ative)?'))) > 0""")
 def fts_stemmed(spark, d):
-    return search.match(table(spark, d, "documents"), "doc_id", ["text"], "things OR thing", stem=True, fold=True).withColumnRenamed("row_id", "doc_id")
+    return search.match(table(spark, d, "documents"), "doc_id", ["text"], "thing", stem=True, fold=True).withColumnRenamed("row_id", "doc_id")
 
 
 # --- vectors ----------------------------------------------------------------------------------------
@@ -383,7 +383,7 @@ FIRST = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 
 
 def _first_vector(spark, d):
-    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").scalar()
 
 
 @query(f"SELECT vec_id, round({COS.format('embedding', FIRST)}, 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10")
@@ -403,15 +403,9 @@ def knn_join(spark, d):
     return vectors.knn(e, e.where("vec_id % 20 = 0"), 5).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""SELECT vec_id, CAST(i AS INTEGER) AS i, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x,
-sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))) AS n FROM embeddings WHERE vec_id < 50)""")
-def l2_normalize(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 50").select("vec_id", F.posexplode(V.l2_normalize("embedding")).alias("i", "x")).withColumn("x", F.round("x", 6))
-
-
 @query("""SELECT vec_id, CAST(i AS INTEGER) AS i, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x,
 sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))) AS n FROM embeddings)""")
-def l2_normalize_all(spark, d):
+def l2_normalize(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(V.l2_normalize("embedding")).alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
@@ -496,8 +490,9 @@ def edge_versions_asof(spark, d):
 
 @query(CURRENT.format("") + f" WHERE NOT (is_deleted AND version < {MIDDLE})")
 def edge_gc(spark, d):
-    row = table(spark, d, "events").agg(((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) + F.max(F.unix_micros(F.col("ts").cast("timestamp")))) / 2).cast("long")).first()
-    return graph.collect_garbage(_visits(spark, d), row[0])
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    middle = table(spark, d, "events").agg(((F.min(t) + F.max(t)) / 2).cast("long").alias("m")).select("m").scalar()
+    return graph.collect_garbage(_visits(spark, d), middle)
 
 
 @query(f"SELECT src, dst, version, is_deleted FROM ({CURRENT.format('')}) WHERE src = 7 AND dst = 'purchase'")
@@ -505,28 +500,12 @@ def edge_lookup(spark, d):
     return graph.find_edge(_visits(spark, d), 7, "purchase")
 
 
-def _links(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("src"))
-    return docs.select("src", ((F.col("src") * 7 + 3) % 400).alias("dst")).unionByName(docs.select("src", ((F.col("src") + 11) % 400).alias("dst")))
-
-
-LINKS = "SELECT doc_id AS src, unnest([(doc_id * 7 + 3) % 400, (doc_id + 11) % 400]) AS dst FROM documents WHERE doc_id % 2 = 0"
-
-
-@query(f"""WITH RECURSIVE l AS ({LINKS}), r(id) AS (SELECT doc_id FROM documents WHERE doc_id = 0 UNION SELECT l.dst FROM r JOIN l ON l.src = r.id JOIN documents ON doc_id = l.dst WHERE l.dst % 13 <> 0)
-SELECT id FROM r""")
-def bfs_connected(spark, d):
-    start = spark.createDataFrame([(0,)], "id long")
-    docs = table(spark, d, "documents").where("doc_id % 13 <> 0 or doc_id = 0").select(F.col("doc_id").alias("id"))
-    return graph.reachable(_links(spark, d), start, docs).select("id")
-
-
 ALL_LINKS = "SELECT doc_id AS src, unnest([(doc_id * 7 + 3) % n, (doc_id + 11) % n]) AS dst FROM documents, (SELECT count(*) AS n FROM documents)"
 
 
 @query(f"""WITH RECURSIVE l AS ({ALL_LINKS}), r(id) AS (SELECT doc_id FROM documents WHERE doc_id = 0 UNION SELECT l.dst FROM r JOIN l ON l.src = r.id JOIN documents ON doc_id = l.dst WHERE l.dst % 13 <> 0)
 SELECT id FROM r""")
-def bfs_connected_all(spark, d):
+def bfs_connected(spark, d):
     """Reachability over links of all documents, to anywhere among them."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
     n = docs.count()
@@ -546,14 +525,8 @@ def label_match(spark, d):
     return graph.match_label(n, "MATCH (n:R1) RETURN n").select("id", "name")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) * 2 AS document_id FROM nation UNION ALL SELECT 24 + row_number() OVER (ORDER BY document_id), document_id FROM (SELECT DISTINCT doc_id AS document_id FROM documents WHERE doc_id < 40 AND doc_id % 2 = 1)")
-def graph_nodes(spark, d):
-    old = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey").cast("long") * 2).alias("document_id"))
-    return graph.get_or_create_nodes(old, table(spark, d, "documents").where("doc_id < 40").select(F.col("doc_id").alias("document_id")))
-
-
 @query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) * 2 AS document_id FROM nation UNION ALL SELECT (SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY document_id), document_id FROM (SELECT DISTINCT doc_id AS document_id FROM documents WHERE doc_id NOT IN (SELECT n_nationkey * 2 FROM nation))")
-def graph_nodes_all(spark, d):
+def graph_nodes(spark, d):
     old = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey").cast("long") * 2).alias("document_id"))
     return graph.get_or_create_nodes(old, table(spark, d, "documents").select(F.col("doc_id").alias("document_id")))
 
@@ -601,10 +574,10 @@ def functions_by_file(spark, d):
     return code.by_file(_functions(spark, d))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'SaveChatTurn' WHEN 1 THEN 'SaveChatTurn' WHEN 2 THEN 'the' END AS name FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'LoadItems' WHEN 1 THEN 'LoadItems' WHEN 2 THEN 'the' END AS name FROM documents""")
 def function_asked(spark, d):
     i = F.col("doc_id") % 4
-    p = F.when(i == 0, "function SaveChatTurn").when(i == 1, "SaveChatTurn METHOD").when(i == 2, "the function Foo").otherwise("nothing here")
+    p = F.when(i == 0, "function LoadItems").when(i == 1, "LoadItems METHOD").when(i == 2, "the function Foo").otherwise("nothing here")
     return table(spark, d, "documents").select("doc_id", code.asked_function(p).alias("name"))
 
 
@@ -668,14 +641,8 @@ def upsert(spark, d):
     return tables.upsert(p, p.where("p_partkey % 5 = 0").withColumn("p_name", F.lit("changed")), "p_partkey")
 
 
-@query("SELECT p_name AS name, p_brand AS model_type, '/m/' || p_partkey AS path FROM part WHERE p_partkey % 3 <> 0 AND p_partkey <= 300")
-def sync_tables(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 300").select(F.col("p_partkey"), F.col("p_name").alias("name"), F.col("p_brand").alias("model_type"), F.concat(F.lit("/m/"), F.col("p_partkey").cast("string")).alias("path"))
-    return tables.sync(p.where("p_partkey % 2 = 0").drop("p_partkey"), p.where("p_partkey % 3 <> 0").drop("p_partkey"), unique=("name", "model_type", "path"))
-
-
 @query("SELECT p_name AS name, p_brand AS model_type, '/m/' || p_partkey AS path FROM part WHERE p_partkey % 3 <> 0")
-def sync_tables_all(spark, d):
+def sync_tables(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey"), F.col("p_name").alias("name"), F.col("p_brand").alias("model_type"), F.concat(F.lit("/m/"), F.col("p_partkey").cast("string")).alias("path"))
     return tables.sync(p.where("p_partkey % 2 = 0").drop("p_partkey"), p.where("p_partkey % 3 <> 0").drop("p_partkey"), unique=("name", "model_type", "path"))
 
@@ -778,23 +745,16 @@ def prompt_assembly(spark, d):
     return p.select("conv_id", "turn", t.run(F.col("prompt"), teams="teams", instructions="Answer: ", delimiter="---").alias("prompt"))
 
 
-@query("SELECT event_id, 'p' || CAST((SELECT max(p_partkey) FROM part WHERE p_brand = 'Brand#11') AS VARCHAR) AS path FROM events WHERE event_id % 10 = 0")
-def model_paths(spark, d):
-    e = table(spark, d, "events").where("event_id % 10 = 0").select("event_id", F.lit("Brand#11").alias("model"))
-    m = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
-    return chat.model_paths(e, m).select("event_id", "path")
-
-
 @query("SELECT event_id, 'p' || CAST((SELECT max(p_partkey) FROM part WHERE p_brand = 'Brand#11') AS VARCHAR) AS path FROM events")
-def model_paths_all(spark, d):
+def model_paths(spark, d):
     e = table(spark, d, "events").select("event_id", F.lit("Brand#11").alias("model"))
     m = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
     return chat.model_paths(e, m).select("event_id", "path")
 
 
-@query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
-    return table(spark, d, "events").groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return turns.event_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
 
 
 @query(f"""SELECT conv_id * 1000 + turn AS id, 'User: ' || prompt || chr(10) || 'Assistant: ' || response AS embedded_text,
@@ -805,19 +765,9 @@ def saved_turns(spark, d):
     return chats.select("id", "embedded_text").join(e, "id")
 
 
-@query("""WITH l AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <= 3)
-SELECT src, dst FROM l WHERE NOT (src = 1 AND dst % 2 = 0) UNION SELECT 1, dst FROM l WHERE src = 1 AND dst % 4 = 0""")
-def edge_updates(spark, d):
-    """Edges are added, some deleted, and some of those added again."""
-    e = _supplies(spark, d).where("src <= 3").select("src", "dst").distinct()
-    log = graph.add_edges(spark.createDataFrame([], tables.SCHEMAS["edge_log"]), e, 1)
-    log = graph.remove_edges(log, e.where("src = 1 and dst % 2 = 0"), 2)
-    return graph.active(graph.add_edges(log, e.where("src = 1 and dst % 4 = 0"), 3)).select("src", "dst")
-
-
 @query("""WITH l AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem)
 SELECT src, dst FROM l WHERE NOT (src = 1 AND dst % 2 = 0) UNION SELECT 1, dst FROM l WHERE src = 1 AND dst % 4 = 0""")
-def edge_updates_all(spark, d):
+def edge_updates(spark, d):
     e = _supplies(spark, d).select("src", "dst").distinct()
     log = graph.add_edges(spark.createDataFrame([], tables.SCHEMAS["edge_log"]), e, 1)
     log = graph.remove_edges(log, e.where("src = 1 and dst % 2 = 0"), 2)
@@ -829,7 +779,7 @@ def first_urls(spark, d):
     """At most three URLs of a list; fewer, or none, where there are fewer."""
     u = F.array("url", F.concat("url", F.lit("#a")), F.lit("x"), F.lit("y"))
     p = table(spark, d, "pages").select(F.col("page_id").alias("url_no"), F.slice(u, F.lit(1), (F.col("page_id") % 4).cast("int")).alias("l"))
-    return p.select("url_no", F.posexplode(F.slice("l", 1, 3)).alias("i", "u"))
+    return p.select("url_no", F.posexplode(X.first_urls("l")).alias("i", "u"))
 
 
 @query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS newlines, CASE WHEN doc_id % 2 = 0 THEN 'enabled' ELSE 'disabled' END AS state FROM documents")
@@ -863,19 +813,12 @@ def property_nodes(spark, d):
 
 @query(f"""WITH c AS (SELECT doc_id || '-' || idx AS id, doc_id, lower(coalesce(text, '')) AS text FROM (SELECT doc_id, 0 AS idx, text FROM documents)),
 top AS ({_bm25_sql("SELECT doc_id AS row_id, " + TOKENS.format("text") + " AS t, 1.0 AS w FROM documents", TERMS, k=10)})
-SELECT doc_id, score, left(text, 200) AS head FROM top JOIN documents USING (doc_id)""")
+SELECT doc_id, score, text FROM top JOIN documents USING (doc_id)""")
 def retrieve(spark, d):
     """Lexical retrieval end to end: tokens, BM25 and the texts of the ten best documents."""
     docs = table(spark, d, "documents")
     hits = search.top(search.bm25(docs, "doc_id", {"text": 1.0}, TERMS).withColumn("score", F.round("score", 6)), 10)
-    return vectors.lookup(hits.withColumnRenamed("row_id", "doc_id"), docs).select("doc_id", "score", F.left("text", F.lit(200)).alias("head"))
+    return vectors.lookup(hits.withColumnRenamed("row_id", "doc_id"), docs).select("doc_id", "score", "text")
 
 
-@query(f"""WITH c AS (SELECT doc_id || '-' || idx AS id, doc_id, lower(coalesce(text, '')) AS text FROM (SELECT doc_id, 0 AS idx, text FROM documents)),
-top AS ({_bm25_sql("SELECT doc_id AS row_id, " + TOKENS.format("text") + " AS t, 1.0 AS w FROM documents", TERMS, k=10)})
-SELECT doc_id, score, text FROM top JOIN documents USING (doc_id)""")
-def retrieve_texts(spark, d):
-    """The same with whole texts."""
-    docs = table(spark, d, "documents")
-    hits = search.top(search.bm25(docs, "doc_id", {"text": 1.0}, TERMS).withColumn("score", F.round("score", 6)), 10)
-    return vectors.lookup(hits.withColumnRenamed("row_id", "doc_id"), docs).select("doc_id", "score", "text")
+from millrace.plans import wider  # noqa: E402,F401  (its queries join these)

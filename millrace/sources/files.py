@@ -41,25 +41,42 @@ def tree(spark: SparkSession, root: str, pattern: str | None = None, keep: bool
 def text_documents(spark: SparkSession, root: str, accept=None) -> DataFrame:
     """Text files of a checked-out tree as (page_content, metadata); types are case-sensitive, ``accept`` is
     a condition on (path, file_name, file_type, size, content)."""
-    f = tree(spark, root).where(F.col("file_type").isin(TEXT_TYPES))
-    f = f if accept is None else f.where(accept)
-    bare = re.sub(r"^\w+:(//)?", "", root)
-    rel = X.relative_path(F.regexp_replace("path", r"^\w+:(//)?", ""), bare)
+    f = tree(spark, root)
+    return as_documents(f if accept is None else f.where(accept), root)
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """A listing (path, content) with the columns of ``tree``."""
+    return files.select("path", X.file_name("path").alias("file_name"), X.file_ext("path").alias("file_type"), F.octet_length(F.encode("content", "UTF-8")).cast("long").alias("size"), "content")
+
+
+def as_documents(files: DataFrame, root: str) -> DataFrame:
+    """The text files of a tree as (page_content, metadata)."""
+    rel = X.relative_path(F.regexp_replace("path", r"^\w+:(//)?", ""), re.sub(r"^\w+:(//)?", "", root))
     meta = F.create_map(F.lit("source"), rel, F.lit("file_path"), rel, F.lit("file_name"), F.col("file_name"), F.lit("file_type"), F.col("file_type"))
-    return f.select(F.col("content").alias("page_content"), meta.alias("metadata"))
+    return files.where(F.col("file_type").isin(TEXT_TYPES)).select(F.col("content").alias("page_content"), meta.alias("metadata"))
 
 
 def typed_files(spark: SparkSession, roots: list[str], types: list[str], ignore=(), recursive: bool = True) -> DataFrame:
-    """(path, content) by file type, whatever its case, without files whose name holds a part of ignore."""
+    """(path, content) of files below the roots, by type."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(roots)
-    f = f.where(F.lower(X.file_ext("path")).isin([t.lower() for t in types]))
+    return of_types(f.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")), types, ignore)
+
+
+def of_types(files: DataFrame, types: list[str], ignore=()) -> DataFrame:
+    """Files by type, whatever its case, without those whose name holds a part of ignore."""
+    f = files.where(F.lower(X.file_ext("path")).isin([t.lower() for t in types]))
     for part in ignore:
         f = f.where(~X.file_name("path").contains(part))
-    return f.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return f.select("path", "content")
 
 
 def go_files(spark: SparkSession, root: str) -> DataFrame:
-    return tree(spark, root, "*.go").where(~F.col("path").contains("vendor/")).select("path", "content")
+    return go_sources(tree(spark, root, "*.go"))
+
+
+def go_sources(files: DataFrame) -> DataFrame:
+    return files.where(F.col("path").endswith(".go") & ~F.col("path").contains("vendor/")).select("path", "content")
 
 
 def _folder(path="path"):
@@ -92,8 +109,12 @@ def pdf_documents(pages: DataFrame) -> DataFrame:
 
 def embeddings_json(spark: SparkSession, path: str) -> DataFrame:
     """(word, vector, similarity) of JSON files that map words to embeddings."""
+    return parsed_embeddings(spark.read.text(path, wholetext=True))
+
+
+def parsed_embeddings(texts: DataFrame) -> DataFrame:
     kind = "map<string,struct<Word:string,Vector:array<double>,Similarity:double>>"
-    m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("word", "e"))
+    m = texts.select(F.explode(F.from_json("value", kind)).alias("word", "e"))
     return m.select("word", F.col("e.Vector").alias("vector"), F.col("e.Similarity").alias("similarity"))
 
 
@@ -142,11 +163,13 @@ def robots_allows(status) -> F.Column:
 
 
 def config(text: str) -> dict:
-    """A configuration of nested mappings, lists and scalars, as YAML or (a subset of it) JSON."""
+    """A configuration of nested mappings, lists and scalars: JSON, or YAML where PyYAML is installed."""
+    if text.lstrip().startswith("{"):
+        return json.loads(text)
     try:
         import yaml
-    except ImportError:
-        return json.loads(text)
+    except ImportError as e:
+        raise ImportError("a YAML configuration needs PyYAML") from e
     return yaml.safe_load(text)
 
 

@@ -15,17 +15,17 @@ def column(name, col):
 
 def test_whole_tables(spark):
     run = lambda name: catalog.queries()[name](spark, DATA)
-    assert {r.vec_id for r in run("l2_normalize_all").select("vec_id").distinct().collect()} == set(column("embeddings", "vec_id"))
-    assert run("sync_tables_all").count() == sum(k % 3 != 0 for k in column("part", "p_partkey"))
-    assert set(column("documents", "doc_id")) <= {r.document_id for r in run("graph_nodes_all").collect()}
-    assert {r.src for r in run("edge_updates_all").select("src").distinct().collect()} == set(column("lineitem", "l_suppkey"))
+    assert {r.vec_id for r in run("l2_normalize").select("vec_id").distinct().collect()} == set(column("embeddings", "vec_id"))
+    assert run("sync_tables").count() == sum(k % 3 != 0 for k in column("part", "p_partkey"))
+    assert set(column("documents", "doc_id")) <= {r.document_id for r in run("graph_nodes").collect()}
+    assert {r.src for r in run("edge_updates").select("src").distinct().collect()} == set(column("lineitem", "l_suppkey"))
 
 
 def test_whole_jobs(spark):
     run = lambda name: catalog.queries()[name](spark, DATA)
-    assert run("model_paths_all").count() == len(column("events", "event_id"))
+    assert run("model_paths").count() == len(column("events", "event_id"))
     texts = dict(zip(column("documents", "doc_id"), column("documents", "text")))
-    got = run("retrieve_texts").collect()
+    got = run("retrieve").collect()
     assert len(got) == 10 and all(r.text == texts[r.doc_id] for r in got) and any(len(r.text) > 200 for r in got)
 
 
@@ -39,7 +39,7 @@ def test_links_follow_the_row_count(spark, tmp_path):
         seen |= new
         todo += new
     assert len(seen) > 400
-    assert sorted(r.id for r in catalog.queries()["bfs_connected_all"](spark, str(tmp_path)).collect()) == sorted(seen)
+    assert sorted(r.id for r in catalog.queries()["bfs_connected"](spark, str(tmp_path)).collect()) == sorted(seen)
 
 
 def test_index_chunks(spark):
