@@ -7,9 +7,7 @@ term is pruned; statistics of the corpus (rows, mean size, document frequencies)
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -19,39 +17,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.functions import analysis
+from millrace.session import checkpoint
 
 K1, B = 1.2, 0.75
 
 
-def rows(docs: DataFrame, row_id: str, columns: dict[str, float], **how) -> DataFrame:
-    """(row_id, t): the tokens of all columns as (term, col, pos)."""
+def tokenised(docs: DataFrame, row_id: str, columns, **how) -> DataFrame:
+    """(row_id, t0, t1, ...): the tokens of each column."""
+    return docs.select(F.col(row_id).alias("row_id"), *(analysis.tokens(c, **how).alias(f"t{i}") for i, c in enumerate(columns)))
 
-    def part(k, c):
-        return F.transform(analysis.tokens(c, **how), lambda w, i: F.struct(w.alias("term"), F.lit(k).alias("col"), i.alias("pos")))
 
-    parts = [part(k, c) for k, c in enumerate(columns)]
-    return docs.select(F.col(row_id).alias("row_id"), F.concat(*parts).alias("t"))
+def _size(columns):
+    return reduce(lambda a, b: a + b, (F.size(f"t{i}") for i in range(len(columns))))
 
 
 def postings(docs: DataFrame, row_id: str, columns: dict[str, float], terms=None, prefix: bool = False, **how) -> DataFrame:
     """(row_id, term, f, size), of the given terms only if there are any; prefix: a term stands for all
     words that start so."""
-    r = rows(docs, row_id, columns, **how)
+    r = tokenised(docs, row_id, columns, **how)
 
-    def starting(w):
-        return F.transform(F.filter("t", lambda x: x["term"].startswith(w)), lambda x: x.withField("term", F.lit(w)))
+    def kept(t):
+        if terms is None:
+            return F.col(t)
+        if not prefix:
+            return F.filter(t, lambda x: x.isin(list(terms)))
+        return F.concat(*(starting(t, w) for w in terms))
 
-    if terms is None:
-        kept = F.col("t")
-    else:
-        kept = F.concat(*map(starting, terms)) if prefix else F.filter("t", lambda x: x["term"].isin(list(terms)))
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in columns.values())), F.col("x.col") + 1)
-    return r.select("row_id", F.size("t").alias("size"), F.explode(kept).alias("x")).groupBy("row_id", F.col("x.term").alias("term"), "size").agg(F.sum(weight).alias("f"))
+    def starting(t, w):
+        return F.transform(F.filter(t, lambda x: x.startswith(w)), lambda x: F.lit(w))
+
+    def weighed(t, w):
+        return F.transform(kept(t), lambda x: F.struct(x.alias("term"), F.lit(float(w)).alias("w")))
+
+    own = [weighed(f"t{i}", w) for i, w in enumerate(columns.values())]
+    return r.select("row_id", _size(columns).alias("size"), F.explode(F.concat(*own)).alias("x")).groupBy("row_id", F.col("x.term").alias("term"), "size").agg(F.sum("x.w").alias("f"))
 
 
 def statistics(docs: DataFrame, row_id: str, columns: dict[str, float], **how) -> DataFrame:
     """One row: n (rows of the corpus) and mean (tokens of a row)."""
-    return rows(docs, row_id, columns, **how).agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    return tokenised(docs, row_id, columns, **how).agg(F.count("*").alias("n"), F.avg(_size(columns)).alias("mean"))
 
 
 def idf():
@@ -180,58 +184,60 @@ def batch(docs: DataFrame, row_id: str, columns: dict[str, float], queries: Data
     block at once, and a task keeps k rows a query, so that no (query, row) pairs are shuffled. Scores
     are rounded to ``decimals``; ties go to the smaller row_id.
     """
-    r = rows(docs, row_id, columns, **how)
-    s = r.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).first()
+    r = tokenised(docs, row_id, columns, **how)
     wanted = queries.select("query_id", "term").distinct()
-    found = r.select(F.explode(F.array_distinct(F.transform("t", lambda x: x["term"]))).alias("term"))
-    df = found.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # One pass counts rows by term, and all rows and their tokens under no term.
+    every = F.array_distinct(F.concat(*(F.col(f"t{i}") for i in range(len(columns)))))
+    found = r.select(F.explode(F.concat(every, F.array(F.lit(None).cast("string")))).alias("term"), _size(columns).alias("size"))
+    df = checkpoint(found.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("size"))).alias("size")))
+    whole = df.where("term is null").first()
+    n_rows, mean = (whole.df, whole["size"] / whole.df) if whole else (0, 0.0)
     kinds = {f.name: f.dataType.simpleString() for f in [*r.schema.fields, *queries.schema.fields]}
-    given = r.select("row_id", F.transform("t", lambda x: x["term"]).alias("terms"), F.transform("t", lambda x: x["col"]).alias("cols"))
-    weights, out = np.array(list(columns.values())), None
+    query_type, row_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(r.schema["row_id"].dataType)
+    weights, out = list(columns.values()), None
     for ids, block in _query_blocks(wanted.join(df.hint("merge"), "term").orderBy("query_id", "term")):
         sent = docs.sparkSession.sparkContext.broadcast((ids, block))
 
         def run(batches, sent=sent):
             ids, block = sent.value
             vocab = {t: i for i, t in enumerate(block)}
-            having = [np.array(q) for _, q in block.values()]
-            raw = [math.log((s.n - n + 0.5) / (n + 0.5)) for n, _ in block.values()]
-            gain = [x if x > 0 else 1e-6 for x in raw]
-            best, names = np.full((len(ids), 0), -np.inf), np.empty((len(ids), 0), object)
+            raw = np.log([(n_rows - n + 0.5) / (n + 0.5) for n, _ in block.values()])
+            gain = np.where(raw > 0, raw, 1e-6)
+            pairs = sorted((q, i) for i, (_, qs) in enumerate(block.values()) for q in qs)
+            of = np.array([i for _, i in pairs])
+            starts = np.searchsorted([q for q, _ in pairs], np.arange(len(ids)))
+            best: list = [[] for _ in ids]  # (-score, row) in order, k at most
             for b in batches:
-                for at in range(0, b.num_rows, BATCH_ROWS):
-                    part = b.slice(at, BATCH_ROWS)
-                    own = np.array(part.column(0).to_pylist(), dtype=object)
-                    got = np.zeros((len(ids), len(own)))
-                    for j, (terms, cols) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                        f: Counter = Counter()
-                        for t, c in zip(terms, cols):
-                            if t in vocab:
-                                f[vocab[t]] += weights[c]
-                        norm = K1 * (1 - B + B * len(terms) / s.mean) if s.mean else 0.0
-                        for t, x in f.items():
-                            got[having[t], j] += gain[t] * x * (K1 + 1) / (x + norm)
-                    got = np.round(got, decimals)
-                    got[got <= 0] = -np.inf
-                    if best.shape[1] == k:  # a row that is no better than the last one kept is out
-                        todo = np.flatnonzero(got.max(axis=1) >= best[:, -1])
-                    else:
-                        todo = np.arange(len(ids))
-                    grown, of = np.concatenate([best[todo], got[todo]], axis=1), np.concatenate([names[todo], np.broadcast_to(own, (len(todo), len(own)))], axis=1)
-                    keep = min(k, best.shape[1] + len(own))
-                    new, new_of = np.full((len(ids), keep), -np.inf), np.empty((len(ids), keep), object)
-                    new[:, : best.shape[1]], new_of[:, : best.shape[1]] = best, names
-                    for i, q in enumerate(todo):
-                        real = np.flatnonzero(grown[i] > -np.inf)
-                        order = sorted(real, key=lambda x, i=i: (-grown[i, x], of[i, x]))[:keep]
-                        new[q], new_of[q] = -np.inf, None
-                        new[q, : len(order)], new_of[q, : len(order)] = grown[i, order], of[i, order]
-                    best, names = new, new_of
-            real = best > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, n in zip(ids, real.sum(axis=1)) for _ in range(n)], query_type), pa.array(names[real].tolist(), row_type), pa.array(best[real])], ["query_id", "row_id", "score"])
-
-        query_type, row_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(r.schema["row_id"].dataType)
-        part = given.mapInArrow(run, f"query_id {kinds['query_id']}, row_id {kinds['row_id']}, score double")
+                own, size, at, term, weight = b.column(0).to_pylist(), np.zeros(b.num_rows), [], [], []
+                for c, w in enumerate(weights):
+                    column = b.column(1 + c)
+                    lengths = np.diff(column.offsets.to_numpy())
+                    words = column.flatten().dictionary_encode()
+                    ours = np.array([vocab.get(x, -1) for x in words.dictionary.to_pylist()], dtype=np.int64)
+                    code = ours[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+                    row = np.repeat(np.arange(b.num_rows), lengths)
+                    size += lengths
+                    at.append(row[code >= 0])
+                    term.append(code[code >= 0])
+                    weight.append(np.full(len(term[-1]), w))
+                at, term, weight = map(np.concatenate, (at, term, weight))
+                order = np.argsort(at, kind="stable")
+                at, term, weight = at[order], term[order], weight[order]
+                norm = K1 * (1 - B + B * size / mean)
+                for lo in range(0, b.num_rows, BATCH_ROWS):
+                    n = min(BATCH_ROWS, b.num_rows - lo)
+                    x, y = np.searchsorted(at, [lo, lo + n])
+                    f = np.bincount(term[x:y] * n + at[x:y] - lo, weights=weight[x:y], minlength=len(block) * n).reshape(len(block), n)
+                    part = gain[:, None] * f * (K1 + 1) / (f + norm[lo : lo + n])
+                    got = np.round(np.add.reduceat(part[of], starts, axis=0), decimals)
+                    least = np.array([-x[-1][0] if len(x) == k else 0.0 for x in best])
+                    for q in np.flatnonzero((got.max(axis=1) >= least) & (got.max(axis=1) > 0)):
+                        js = np.flatnonzero((got[q] >= least[q]) & (got[q] > 0))
+                        best[q] = sorted(best[q] + [(-got[q, j], own[lo + j]) for j in js])[:k]
+            rows = [(q, row, -score) for q, x in zip(ids, best) for score, row in x]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((query_type, row_type, pa.float64()))], ["query_id", "row_id", "score"])
+
+        part = r.mapInArrow(run, f"query_id {kinds['query_id']}, row_id {kinds['row_id']}, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return wanted.select("query_id").join(r.select("row_id"), F.lit(False)).select("*", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
