@@ -77,3 +77,22 @@ def test_stages(spark, tmp_path):
         assert all(used[s][w] <= 2 * have[s][w] for w in used[s])
     again = sorted(map(str, corpus_pipeline.run(spark, d).collect()))
     assert again == sorted(map(str, kept["mixing"]))
+
+
+def test_empty_tables_clashing_columns_and_long_texts(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, block long, take string, hits string, fp string"
+    bench = spark.createDataFrame([], "item_id long, text string")
+    long = "kata lono misa revi " * 40_000
+    for name, rows in (("empty", []), ("long", [(1, long, "aa", "s", len(long), 1, "x", "y", "z"), (2, long, "aa", "s", len(long), 1, "x", "y", "z"), (2, long, "aa", "s", len(long), 1, "x", "y", "z"), (None, None, None, None, None, None, None, None, None)])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        bench.write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES:
+            docs = f(spark, docs, d)
+            if stage != "mixing":
+                assert docs.columns == spark.read.parquet(f"{d}/documents.parquet").columns
+            docs.write.parquet(f"{d}/{stage}")
+            docs = spark.read.parquet(f"{d}/{stage}")
+        n = sum(r.n_words for r in docs.collect())
+        assert n == (0 if name == "empty" else round(1.5 * 160_000))  # of three copies one stays; its source is taken one and a half times
