@@ -140,27 +140,39 @@ def call_edges(functions: DataFrame) -> DataFrame:
     return functions.select(F.col("name").alias("caller"), F.explode("calls").alias("callee")).groupBy("caller", "callee").agg(F.count("*").alias("n"))
 
 
+def callers(functions: DataFrame) -> DataFrame:
+    """(name, caller): who calls each of the functions, by exactly that name; a row for each, as all others may
+    call one."""
+    found = call_edges(functions).select(F.col("callee").alias("name"), "caller")
+    return found.join(functions.select("name"), "name", "left_semi")
+
+
 def with_callers(functions: DataFrame) -> DataFrame:
-    """functions with called_by: callers of exactly that name."""
-    by = call_edges(functions).groupBy(F.col("callee").alias("name")).agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
+    """functions with called_by, the record of one repository's index. Reports take ``callers``, whose rows no
+    function's fame can make too long."""
+    by = callers(functions).groupBy("name").agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
     return functions.join(by, "name", "left").withColumn("called_by", F.coalesce("called_by", F.array().cast("array<string>")))
 
 
 def counts(functions: DataFrame) -> DataFrame:
-    return functions.select("name", F.size("calls").alias("total_calls"), F.size("called_by").alias("total_called_by"))
+    n = callers(functions).groupBy("name").agg(F.count("*").cast("int").alias("n"))
+    return functions.join(n, "name", "left").select("name", F.size("calls").alias("total_calls"), F.coalesce("n", F.lit(0)).alias("total_called_by"))
 
 
 def by_file(functions: DataFrame) -> DataFrame:
-    return functions.groupBy("file_path").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    """(file_path, name), in order."""
+    return functions.select("file_path", "name").orderBy("file_path", "name")
 
 
 def exported_by_package(functions: DataFrame) -> DataFrame:
-    return functions.where(F.col("name").rlike(r"^\p{Lu}")).groupBy("package").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    """(package, name) of exported functions, in order."""
+    return functions.where(F.col("name").rlike(r"^\p{Lu}")).select("package", "name").orderBy("package", "name")
 
 
 def relationships(functions: DataFrame, unknown: str = "External/Unknown") -> DataFrame:
     """(name, direction, other, file_path): calls and callers with their files, unknown ones by a default."""
-    out = functions.select("name", F.lit("calls").alias("direction"), F.explode("calls").alias("other")).unionByName(functions.select("name", F.lit("called_by").alias("direction"), F.explode("called_by").alias("other")))
+    calls = functions.select("name", F.lit("calls").alias("direction"), F.explode("calls").alias("other"))
+    out = calls.unionByName(callers(functions).select("name", F.lit("called_by").alias("direction"), F.col("caller").alias("other")))
     known = functions.select(F.col("name").alias("other"), "file_path")
     return out.join(known, "other", "left").select("name", "direction", "other", F.coalesce("file_path", F.lit(unknown)).alias("file_path"))
 

@@ -160,11 +160,20 @@ def preload(parents: DataFrame, children: DataFrame, on: Column, child_columns:
     return parents.join(children, on, "left").groupBy(*rest).agg(F.array_sort(F.collect_list(F.when(F.col(child_columns[0]).isNotNull(), child))).alias(name))
 
 
-def concat_ordered(df: DataFrame, by, order, text: str, sep: str = "") -> DataFrame:
-    """The texts of every group in order as one string."""
+def concat_ordered(df: DataFrame, by: str, order, text: str) -> DataFrame:
+    """(by, order, text, at): the concatenation of every group's texts, a row for each part, with the byte at
+    which it begins; a null text is empty, a null group is one. No group has to fit a task or a row: parts are
+    range-partitioned by group and order, and of the groups only the one that runs on into a partition has a
+    base there. Of equal orders the smaller text is first."""
     order = [order] if isinstance(order, str) else order
-    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("__t"))))
-    return df.groupBy(by).agg(F.array_join(F.transform(parts, lambda p: F.coalesce(p["__t"], F.lit(""))), sep).alias(text))
+    d = df.select(by, *order, F.coalesce(text, F.lit("")).alias(text)).withColumn("__n", F.octet_length(text).cast("long"))
+    parts = checkpoint(d.repartitionByRange(by, *order, text).withColumn("__p", F.spark_partition_id()))
+    before = lambda *keys: F.coalesce(F.sum("__n").over(Window.partitionBy(*keys[:-1]).orderBy(*keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.groupBy(F.col(by).alias("__by"), F.col("__p").alias("__q")).agg(F.sum("__n").alias("__n"))
+    bases = sizes.withColumn("__base", before("__by", ["__q"])).where("__base > 0").drop("__n")
+    own = parts.withColumn("__at", before("__p", by, [*order, text]))
+    met = own.join(F.broadcast(bases), (F.col("__p") == F.col("__q")) & F.col(by).eqNullSafe(F.col("__by")), "left")  # one row a partition at most
+    return met.select(by, *order, text, (F.col("__at") + F.coalesce("__base", F.lit(0))).cast("long").alias("at"))
 
 
 def concat_files(files: DataFrame, path: str = "path", content: str = "content") -> Column:
@@ -173,7 +182,7 @@ def concat_files(files: DataFrame, path: str = "path", content: str = "content")
 
 
 def concat_pages(pages: DataFrame, by, order: str, text: str) -> DataFrame:
-    """Fetched pages in order, each followed by a blank line; empty ones are left out."""
+    """Fetched pages in order, each followed by a blank line, as ``concat_ordered`` has them; empty ones are left out."""
     full = pages.where(F.col(text).isNotNull() & (F.col(text) != ""))
     return concat_ordered(full.withColumn(text, F.concat(text, F.lit("\n\n"))), by, order, text)
 

@@ -541,8 +541,7 @@ def _functions(spark, d):
     i = F.col("doc_id")
     s = lambda x: x.cast("string")
     calls = F.array(F.concat(F.lit("f"), s((i * 3) % 500)), F.concat(F.lit("ext"), s(i % 5)), F.concat(F.lit("f"), s(i + 1)))
-    f = table(spark, d, "documents").select(F.concat(F.lit("f"), s(i)).alias("name"), F.concat(F.lit("src/"), s(i % 7), F.lit(".go")).alias("file_path"), F.col("text").alias("code"), i.cast("int").alias("line_number"), calls.alias("calls"))
-    return code.with_callers(f)
+    return table(spark, d, "documents").select(F.concat(F.lit("f"), s(i)).alias("name"), F.concat(F.lit("src/"), s(i % 7), F.lit(".go")).alias("file_path"), F.col("text").alias("code"), i.cast("int").alias("line_number"), calls.alias("calls"))
 
 
 EDGES = f"SELECT name AS caller, unnest(calls) AS callee FROM ({FUNCTIONS})"
@@ -553,9 +552,9 @@ def call_counts(spark, d):
     return code.counts(_functions(spark, d))
 
 
-@query(f"SELECT f.name, coalesce(c, []) AS called_by FROM ({FUNCTIONS}) f LEFT JOIN (SELECT callee, list_sort(list_distinct(list(caller))) AS c FROM ({EDGES}) GROUP BY callee) e ON callee = f.name")
+@query(f"SELECT DISTINCT callee AS name, caller FROM ({EDGES}) WHERE callee IN (SELECT name FROM ({FUNCTIONS}))")
 def called_by(spark, d):
-    return _functions(spark, d).select("name", "called_by")
+    return code.callers(_functions(spark, d))
 
 
 @query(f"SELECT e.caller AS name, e.callee AS other, 'calls' AS direction, coalesce(file_path, 'External/Unknown') AS file_path FROM ({EDGES}) e LEFT JOIN ({FUNCTIONS}) f ON f.name = e.callee UNION ALL SELECT * FROM (SELECT DISTINCT f.name, e.caller, 'called_by', g.file_path FROM ({FUNCTIONS}) f JOIN ({EDGES}) e ON e.callee = f.name JOIN ({FUNCTIONS}) g ON g.name = e.caller)")
@@ -569,7 +568,7 @@ def long_functions(spark, d):
     return code.long_functions(_functions(spark, d), 20)
 
 
-@query(f"SELECT file_path, list_sort(list(name)) AS names FROM ({FUNCTIONS}) GROUP BY file_path")
+@query(f"SELECT file_path, name FROM ({FUNCTIONS}) ORDER BY file_path, name")
 def functions_by_file(spark, d):
     return code.by_file(_functions(spark, d))
 
@@ -649,7 +648,7 @@ def sync_tables(spark, d):
 
 @query("SELECT p_brand, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY p_brand")
 def first_per_group(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.min_by("p_name", "p_partkey").alias("p_name"))
+    return tables.one_of(table(spark, d, "part").select("p_brand", "p_partkey", "p_name"), ["p_brand"], last=False, order="p_partkey")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -664,13 +663,17 @@ def merge_map(spark, d):
     return tables.merge_map(old, new, "doc_id", "v")
 
 
-@query("SELECT source, string_agg('--- BEGIN ' || lpad(doc_id::VARCHAR, 9, '0') || ' ---' || chr(10) || text || '--- END ' || lpad(doc_id::VARCHAR, 9, '0') || ' ---' || chr(10) || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source")
+BEFORE = "CAST(coalesce(sum(strlen({t})) OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at"
+
+
+@query(f"""SELECT *, {BEFORE.format(t="t", by="source", order="path")} FROM (SELECT source, path, coalesce('--- BEGIN ' || path || ' ---' || chr(10) || text || '--- END ' || path || ' ---' || chr(10) || chr(10), '') AS t
+FROM (SELECT source, lpad(doc_id::VARCHAR, 9, '0') AS path, text FROM documents))""")
 def file_concat(spark, d):
     x = table(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.col("text").alias("content"))
     return tables.concat_ordered(x.select("source", "path", tables.concat_files(x).alias("t")), "source", "path", "t")
 
 
-@query("SELECT page_id % 10 AS g, string_agg(url || chr(10) || chr(10), '' ORDER BY page_id) AS url FROM pages WHERE url IS NOT NULL AND page_id % 3 <> 0 GROUP BY g")
+@query(f"""SELECT *, {BEFORE.format(t="url", by="g", order="page_id")} FROM (SELECT page_id % 10 AS g, page_id, url || chr(10) || chr(10) AS url FROM pages WHERE url IS NOT NULL AND url <> '' AND page_id % 3 <> 0)""")
 def page_concat(spark, d):
     p = table(spark, d, "pages").select((F.col("page_id") % 10).alias("g"), "page_id", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("url")).alias("url"))
     return tables.concat_pages(p, "g", "page_id", "url")
@@ -703,7 +706,7 @@ def passage_scan(spark, d):
 def order_lookup(spark, d):
     lines = table(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber")
     orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    return lines.join(orders, "l_orderkey")
+    return vectors.lookup(lines, orders, "l_orderkey")
 
 
 # --- chat -------------------------------------------------------------------------------------------
@@ -787,7 +790,7 @@ def newline_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", X.count_of("text", "\n").alias("newlines"), X.enabled_label(F.col("doc_id") % 2 == 0).alias("state"))
 
 
-@query("SELECT package, list_sort(list(name)) AS names FROM (SELECT 'F' || doc_id AS name, 'p' || doc_id % 3 AS package FROM documents WHERE doc_id % 2 = 0) GROUP BY package")
+@query("SELECT 'p' || doc_id % 3 AS package, 'F' || doc_id AS name FROM documents WHERE doc_id % 2 = 0 ORDER BY package, name")
 def exported_functions(spark, d):
     i = F.col("doc_id")
     f = table(spark, d, "documents").select(F.concat(F.when(i % 2 == 0, "F").otherwise("f"), i.cast("string")).alias("name"), F.concat(F.lit("p"), (i % 3).cast("string")).alias("package"))

@@ -182,5 +182,12 @@ def replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_concat(parts: DataFrame, by: str, text: str, path: str) -> None:
+    """Parts (by, text, at), each of which ends in a newline, as files: those below a group's folder, in order
+    of their names, are its concatenation."""
+    lines = parts.select(by, "at", F.regexp_replace(text, r"\n\z", "").alias("value"))
+    lines.where("value <> ''").repartitionByRange(by, "at").sortWithinPartitions(by, "at").select(by, "value").write.partitionBy(by).mode("overwrite").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

@@ -187,3 +187,24 @@ def test_sources(spark, tmp_path):
     assert sorted(r.vector[0] for r in e.collect()) == [1.0, 2.0]
     p = spark.createDataFrame([("x.pdf", 2, "two"), ("x.pdf", 1, "ONE")], "path string, page int, text string")
     assert files.pdf_documents(p).first().page_content == "## ONE\n\ntwo\n\n"
+
+
+def test_concatenation(spark, tmp_path):
+    rows = [(g, i, None if i % 7 == 0 else f"{g}é{i}\n\n") for g in ("a", None, "b") for i in range(60 if g == "a" else 9)] + [("a", 5, "")]
+    got = tables.concat_ordered(spark.createDataFrame(rows, "g string, i int, t string"), "g", "i", "t").collect()
+    assert len(got) == len(rows)
+    for g in ("a", None, "b"):
+        at = 0
+        for r in sorted((r for r in got if r.g == g), key=lambda r: (r.i, r.t)):
+            assert r.at == at
+            at += len(r.t.encode())
+    parts = tables.concat_ordered(spark.createDataFrame(rows, "g string, i int, t string"), "g", "i", "t")
+    files.write_concat(parts, "g", "t", f"{tmp_path}/out")
+    whole = "".join(f.read_text() for f in sorted((tmp_path / "out" / "g=a").glob("part-*")))
+    assert whole == "".join(f"aé{i}\n\n" for i in range(60) if i % 7)
+
+
+def test_callers_are_rows(spark):
+    f = spark.createDataFrame([(f"f{i}", ["f0", "print"]) for i in range(20)], "name string, calls array<string>")
+    assert sorted(r.caller for r in code.callers(f).collect()) == sorted(f"f{i}" for i in range(20))
+    assert {(r.name, r.total_called_by) for r in code.counts(f).collect()} == {("f0", 20)} | {(f"f{i}", 0) for i in range(1, 20)}
