@@ -31,26 +31,38 @@ def _size(columns):
     return reduce(lambda a, b: a + b, (F.size(f"t{i}") for i in range(len(columns))))
 
 
-def postings(docs: DataFrame, row_id: str, columns: dict[str, float], terms=None, prefix: bool = False, **how) -> DataFrame:
-    """(row_id, term, f, size), of the given terms only if there are any; prefix: a term stands for all
-    words that start so."""
+def postings(docs: DataFrame, row_id: str, columns: dict[str, float], **how) -> DataFrame:
+    """(row_id, term, f, size) of all terms."""
+    r = tokenised(docs, row_id, columns, **how)
+    weighed = lambda t, w: F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(float(w)).alias("w")))
+    own = [weighed(f"t{i}", w) for i, w in enumerate(columns.values())]
+    return r.select("row_id", _size(columns).alias("size"), F.explode(F.concat(*own)).alias("x")).groupBy("row_id", F.col("x.term").alias("term"), "size").agg(F.sum("x.w").alias("f"))
+
+
+def frequencies(docs: DataFrame, row_id: str, columns: dict[str, float], terms: list[str], prefix: bool = False, **how) -> DataFrame:
+    """(row_id, size, has, f) of every row: which of the terms it has, and each one's weighed occurrences, in
+    the terms' order; prefix: a term stands for all words that start so. A row is one document, so nothing is
+    shuffled."""
     r = tokenised(docs, row_id, columns, **how)
 
     def kept(t):
-        if terms is None:
-            return F.col(t)
         if not prefix:
             return F.filter(t, lambda x: x.isin(list(terms)))
-        return F.concat(*(starting(t, w) for w in terms))
+        return F.concat(*(F.transform(F.filter(t, lambda x: x.startswith(w)), lambda x: F.lit(w)) for w in terms))
 
-    def starting(t, w):
-        return F.transform(F.filter(t, lambda x: x.startswith(w)), lambda x: F.lit(w))
+    held = r.select("row_id", _size(columns).alias("size"), *(kept(f"t{i}").alias(f"k{i}") for i in range(len(columns))))
+    f = [reduce(lambda a, b: a + b, (F.size(F.filter(f"k{i}", lambda x: x == t)) * float(w) for i, w in enumerate(columns.values()))) for t in terms]  # noqa: B023
+    has = F.array_distinct(F.concat(*(F.col(f"k{i}") for i in range(len(columns)))))
+    # A filter on what a generator makes isn't pushed below it, where it would tokenise every row once more.
+    return held.select(F.stack(F.lit(1), "row_id", "size", has, F.array(*f)).alias("row_id", "size", "has", "f"))
 
-    def weighed(t, w):
-        return F.transform(kept(t), lambda x: F.struct(x.alias("term"), F.lit(float(w)).alias("w")))
 
-    own = [weighed(f"t{i}", w) for i, w in enumerate(columns.values())]
-    return r.select("row_id", _size(columns).alias("size"), F.explode(F.concat(*own)).alias("x")).groupBy("row_id", F.col("x.term").alias("term"), "size").agg(F.sum("x.w").alias("f"))
+def _measured(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows with any of the terms, and s: the corpus's n and mean and the terms' document frequencies df,
+    from one scan of all rows."""
+    df = F.array(*(F.count_if(F.array_contains("has", t)) for t in terms))
+    s = rows.agg(F.struct(F.count("*").alias("n"), F.avg("size").alias("mean"), df.alias("df")).alias("s")).scalar()
+    return rows.where(F.size("has") > 0).select("*", s.alias("s"))
 
 
 def statistics(docs: DataFrame, row_id: str, columns: dict[str, float], **how) -> DataFrame:
@@ -58,26 +70,33 @@ def statistics(docs: DataFrame, row_id: str, columns: dict[str, float], **how) -
     return tokenised(docs, row_id, columns, **how).agg(F.count("*").alias("n"), F.avg(_size(columns)).alias("mean"))
 
 
-def idf():
+def idf(n, df):
     """Of a term that df of n rows have; terms that half of the rows have count next to nothing."""
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    raw = F.log((n - df + 0.5) / (df + 0.5))
     return F.when(raw <= 0, 1e-6).otherwise(raw)
 
 
+def _part(n, mean, df, f, size):
+    """What a term adds to a row's score."""
+    return idf(n, df) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean))
+
+
 def bm25(docs: DataFrame, row_id: str, columns: dict[str, float], terms: list[str], prefix: bool = False, **how) -> DataFrame:
     """(row_id, score) of all rows with any of the terms (or prefixes); a larger score is a better match.
 
-    The scan that counts the corpus is that which finds the postings: both read tokens once.
+    One scan counts the corpus and the terms' rows, another scores rows where they are.
     """
-    return score(postings(docs, row_id, columns, terms, prefix, **how), statistics(docs, row_id, columns, **how))
+    terms = list(dict.fromkeys(terms))
+    m = _measured(frequencies(docs, row_id, columns, terms, prefix, **how), terms)
+    parts = [F.when(F.array_contains("has", t), _part(F.col("s.n"), F.col("s.mean"), F.col("s.df")[i], F.col("f")[i], F.col("size"))).otherwise(0.0) for i, t in enumerate(terms)]
+    return m.select("row_id", reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def score(p: DataFrame, s: DataFrame) -> DataFrame:
     """(row_id, score) from the postings of a query's terms and the statistics of their corpus."""
     df = p.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
     one = p.join(F.broadcast(df), "term").select("*", s.select("n").scalar().alias("n"), s.select("mean").scalar().alias("mean"))
-    part = idf() * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    return one.groupBy("row_id").agg(F.sum(part).alias("score"))
+    return one.groupBy("row_id").agg(F.sum(_part(*map(F.col, ("n", "mean", "df", "f", "size")))).alias("score"))
 
 
 def store(docs: DataFrame, row_id: str, columns: dict[str, float], path: str, **how) -> None:
@@ -162,15 +181,11 @@ def relax(docs: DataFrame, row_id: str, columns: dict[str, float], terms: list[s
 def tfidf(docs: DataFrame, row_id: str, columns: list[str], terms: list[str], **how) -> DataFrame:
     """(row_id, score): by our definition the sum over distinct query terms t in the row of
     sqrt(tf) * idf(t)^2 / sqrt(size), idf = 1 + ln(n / (df + 1)), times the share of query terms found."""
-    weights = dict.fromkeys(columns, 1.0)
     terms = list(dict.fromkeys(terms))
-    p = postings(docs, row_id, weights, terms, **how)
-    n = statistics(docs, row_id, weights, **how).select("n").scalar()
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    one = p.join(F.broadcast(df), "term").select("*", n.alias("n"))
-    w = 1 + F.log(F.col("n") / (F.col("df") + 1))
-    s = one.groupBy("row_id").agg(F.sum(F.sqrt("f") * w * w / F.sqrt("size")).alias("s"), F.count("*").alias("k"))
-    return s.select("row_id", (F.col("s") * F.col("k") / len(terms)).alias("score"))
+    m = _measured(frequencies(docs, row_id, dict.fromkeys(columns, 1.0), terms, **how), terms)
+    w = [1 + F.log(F.col("s.n") / (F.col("s.df")[i] + 1)) for i in range(len(terms))]
+    parts = [F.sqrt(F.col("f")[i]) * x * x / F.sqrt("size") for i, x in enumerate(w)]
+    return m.select("row_id", (reduce(lambda a, b: a + b, parts) * F.size("has") / len(terms)).alias("score"))
 
 
 #: Query terms that go out at a time, of whole queries; and rows of a batch that are scored at a time.
