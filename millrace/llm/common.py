@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, the separator of words in most contracts.
@@ -35,6 +35,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """df with at, the place of a row in its group from 0 on (nulls first, equal rows in any order), and n, the
+    group's rows.
+
+    Rows are dealt by range over group, order and a row number, so that neither a group nor a key has to
+    fit a task; a window only sees one row for each group in each partition.
+    """
+    by = [F.col(c).asc_nulls_first() for c in [*group, *order]]
+    tied = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*by, F.col("__tie"))
+    put = checkpoint(tied.sortWithinPartitions(*by, F.col("__tie")).drop("__tie").withColumn("__row", F.monotonically_increasing_id()))
+    put = put.withColumn("__part", F.shiftright("__row", 33))
+    runs = put.groupBy(*group, "__part").agg(F.min("__row").alias("__first"), F.count("*").alias("__size"))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("__part").alias("__p"), (F.coalesce(F.sum("__size").over(before), F.lit(0)) - F.col("__first")).alias("__shift"), F.sum("__size").over(whole).alias("n"))
+    same = F.col("__part") == F.col("__p")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return put.join(runs.hint("merge"), same).select(*df.columns, (F.col("__row") + F.col("__shift")).alias("at"), "n")
+
+
 def words(text) -> F.Column:
     """Words between ASCII white space, as an array; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda w: w != "")

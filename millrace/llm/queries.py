@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, html, kneserney, langid, licenses, linededup, mixing, quality, secrets, simhash
+from millrace.llm import decontaminate, html, importance, kneserney, langid, licenses, linededup, merkle, mixing, quality, secrets, simhash
 from millrace.llm.common import table
 
 
@@ -124,9 +124,88 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The unsigned crc32 of the UTF-8 bytes of x, by the table t of its polynomial.
+CRC_TABLE = "list_transform(range(256), lambda c: list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, c))"
+CRC = """xor(4294967295, list_reduce(list_transform(range(0, octet_length(encode(x))), lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i + 1, 2) AS BIGINT)),
+    lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295))"""
+
+OP11_SQL = rf"""
+WITH crc AS MATERIALIZED (SELECT {CRC_TABLE} AS t),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), q AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), f AS MATERIALIZED (
+  SELECT rid, x, count(*) AS n FROM (
+    SELECT rid, unnest(w) AS x FROM d UNION ALL SELECT rid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d
+    UNION ALL SELECT 0, unnest(w) FROM q UNION ALL SELECT 0, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM q)
+  GROUP BY rid, x
+), known AS MATERIALIZED (SELECT x, {CRC} % 10000 AS bucket FROM (SELECT DISTINCT x FROM f), crc),
+fb AS (SELECT rid, bucket, n FROM f JOIN known USING (x)),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE rid > 0), 0) AS s, coalesce(sum(n) FILTER (WHERE rid = 0), 0) AS t FROM fb GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM b) + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM b) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM b
+), m AS (SELECT rid, sum(n) AS n, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM fb JOIN g USING (bucket) WHERE rid > 0 GROUP BY rid
+), r AS (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS able,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM d LEFT JOIN m USING (rid)
+), o AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS FIRST) AS k, count(*) OVER (PARTITION BY able) AS total FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= 25 * total // 100 THEN k END AS rank FROM o
+"""
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    rows = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _part(column):
+    return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _tree(name, leaves, group):
+    """Nodes of the trees of leaves(group, i, h, n) by level, and for each leaf its siblings in order: l or r and digest."""
+    return f"""{name}_nodes AS MATERIALIZED (
+  SELECT {group} AS g, 0 AS lv, i, h, n FROM {leaves}
+  UNION ALL SELECT g, lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM {name}_nodes WHERE n > 1 GROUP BY g, lv, i // 2
+), {name}_roots AS (SELECT g, h FROM {name}_nodes WHERE n = 1),
+{name}_levels AS (SELECT DISTINCT g, lv FROM {name}_nodes WHERE n > 1),
+{name}_paths AS MATERIALIZED (
+  SELECT x.{group} AS g, x.i, coalesce(list(CASE WHEN s.h IS NULL THEN '' WHEN s.i < (x.i >> v.lv) THEN 'l' || s.h ELSE 'r' || s.h END ORDER BY v.lv) FILTER (WHERE v.lv IS NOT NULL), []) AS path
+  FROM {leaves} x LEFT JOIN {name}_levels v ON v.g IS NOT DISTINCT FROM x.{group}
+  LEFT JOIN {name}_nodes s ON s.g IS NOT DISTINCT FROM x.{group} AND s.lv = v.lv AND s.i = xor(x.i >> v.lv, 1) GROUP BY x.{group}, x.i
+)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {CRC_TABLE} AS t),
+rows0 AS MATERIALIZED (
+  SELECT doc_id, lang, sha256({" || ".join(_part(c) for c in merkle.COLUMNS)}) AS h,
+    CASE WHEN n_chars IS NOT NULL AND (SELECT {CRC.replace("x)", "CAST(doc_id AS VARCHAR))")} FROM crc) % 7 = 0 THEN sha256({" || ".join(_part("(n_chars + 1)" if c == "n_chars" else c) for c in merkle.COLUMNS)}) END AS tampered
+  FROM documents
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM rows0
+), {_tree("low", "leaves", "lang")},
+tops AS MATERIALIZED (SELECT g AS lang, h, 0 AS one, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low_roots),
+{_tree("high", "tops", "one")},
+whole AS (
+  SELECT x.doc_id, x.h AS leaf, coalesce(x.tampered, x.h) AS start, s.h AS subroot, (SELECT h FROM high_roots) AS root, list_concat(p.path, q.path) AS path
+  FROM leaves x JOIN low_paths p ON p.g IS NOT DISTINCT FROM x.lang AND p.i = x.i JOIN tops s ON s.lang IS NOT DISTINCT FROM x.lang JOIN high_paths q ON q.i = s.i
+), folded AS (
+  SELECT *, list_reduce(path, lambda a, p: sha256(CASE p[1] WHEN 'l' THEN p[2:] || a WHEN 'r' THEN a || p[2:] ELSE a END), start) AS folded_root FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda p: p[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_html_text, op4_decontamination, op5_license_scan, op6_mixing, op7_quality_rules, op8_perplexity, op9_secret_scan, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_html_text, op4_decontamination, op5_license_scan, op6_mixing, op7_quality_rules, op8_perplexity, op9_secret_scan, op10_simhash, op11_importance, op12_merkle_manifest)}
 
 
 def oracle_sql():
-    return {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op11_importance": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
