@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, html, importance, kneserney, langid, licenses, linededup, merkle, mixing, quality, secrets, simhash
+from millrace.llm import decontaminate, html, importance, jaccard, kneserney, langid, licenses, linededup, merkle, mixing, quality, secrets, simhash
 from millrace.llm.common import table
 
 
@@ -203,9 +203,27 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path,
 """
 
 
+def op13_jaccard_join(spark, sf_dir):
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT r, unnest(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w WHEN 2 THEN [w[1] || ' ' || w[2]] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM d
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x GROUP BY a.r, b.r),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reached AS (SELECT a AS v, b AS u FROM l UNION SELECT v, l.b FROM reached JOIN l ON l.a = u),
+k AS (SELECT v, min(doc_id) AS component_id FROM reached JOIN d ON d.r = u GROUP BY v)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN n.n IS NULL THEN doc_id ELSE component_id END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN k ON k.v = d.r
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_html_text, op4_decontamination, op5_license_scan, op6_mixing, op7_quality_rules, op8_perplexity, op9_secret_scan, op10_simhash, op11_importance, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_html_text, op4_decontamination, op5_license_scan, op6_mixing, op7_quality_rules, op8_perplexity, op9_secret_scan, op10_simhash, op11_importance, op12_merkle_manifest, op13_jaccard_join)}
 
 
 def oracle_sql():
-    return {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op11_importance": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op11_importance": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_jaccard_join": OP13_SQL}
