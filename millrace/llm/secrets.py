@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import let
 
 SCOPE = 200
+#: Matches whose offsets are added up one by one.
+BLOCK = 256
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kind, pattern, smallest length (of group 1 for those that have one), role, strong or weak; in order of report.
 KINDS = [
@@ -39,7 +41,8 @@ def _matches(text, pattern: str, number: int, group: bool, least: int, most: int
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if group else 0))
     parts = F.zip_with(F.zip_with(F.split(text, pattern, -1), hits, lambda s, h: F.struct(F.length(s).alias("gap"), F.length(h).alias("n"))), values, lambda a, v: F.struct(a["gap"].alias("gap"), a["n"].alias("n"), F.length(v).alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    parts = F.filter(parts, lambda x: x["n"].isNotNull())
+    empty = F.array().cast(SPAN)
 
     def step(s, x):
         lo = s["at"] + x["gap"]
@@ -47,7 +50,19 @@ def _matches(text, pattern: str, number: int, group: bool, least: int, most: int
         span = F.array(F.struct(lo.alias("start"), F.lit(number).alias("kind"), (lo + x["n"]).alias("stop")))
         return F.struct((lo + x["n"]).alias("at"), F.when(ok, F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
 
-    found = F.aggregate(F.filter(parts, lambda x: x["n"].isNotNull()), start, step, lambda s: s["out"])
+    def total(block):
+        return F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["n"])
+
+    def spans(p):
+        # An array that grows is copied at each step: first the blocks' starts, then the spans of each block.
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, BLOCK))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, starts(bs), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty.alias("out")), step, lambda s: s["out"]))))
+
+    def starts(bs):
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(bs, first, lambda s, b: F.struct((s["at"] + total(b)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    found = let(parts, lambda p: F.when(F.size(p) > 0, spans(p)).otherwise(empty))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -61,9 +76,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def link(c: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, base, spans) of candidates: spans are base and the linked ones of weak, in order."""
-    # Two rows for each candidate, its end and its start (ends first where both are at one place), or one of
-    # nulls; texts without weak candidates keep their strong spans packed.
-    c = c.select("doc_id", "rid", "base", F.explode_outer(F.when(F.size("weak") > 0, F.concat("base", "weak"))).alias("c"))
+    # Two rows for each candidate, its end and its start (ends first where both are at one place), and one
+    # without a candidate that holds the strong spans, so that no other row carries them.
+    first = F.array(F.struct(F.lit(None).cast(SPAN[6:-1]).alias("c"), F.col("base").alias("base")))
+    rest = F.transform(F.concat("base", "weak"), lambda x: F.struct(x.alias("c"), F.lit(None).cast(SPAN).alias("base")))
+    c = c.select("doc_id", "rid", F.explode(F.when(F.size("weak") > 0, F.concat(first, rest)).otherwise(first)).alias("x")).select("doc_id", "rid", "x.*")
     sides = F.when(F.col("c").isNotNull(), F.array(F.struct(F.col("c.stop").alias("at"), F.lit(0).alias("side")), F.struct(F.col("c.start").alias("at"), F.lit(1).alias("side"))))
     e = c.select("*", F.explode_outer(sides).alias("e")).select("doc_id", "rid", "base", "c", "e.*")
     role = F.element_at(F.array(*(F.lit(r) for _, _, _, r, _ in KINDS)), F.col("c.kind") + 1)
@@ -87,7 +104,7 @@ def link(c: DataFrame, scope: int = SCOPE) -> DataFrame:
         for w in wanted:
             linked = linked | ((F.col("role") == r) & near[w])
     e = e.withColumn("linked", F.col("weak") & F.col("part") & linked)
-    got = e.groupBy("doc_id", "rid", "base").agg(F.collect_set(F.when(F.col("linked"), F.col("c"))).alias("more"))
+    got = e.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("base", ignorenulls=True).alias("base"), F.collect_set(F.when(F.col("linked"), F.col("c"))).alias("more"))
     return got.select("doc_id", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 

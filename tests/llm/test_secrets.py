@@ -75,3 +75,14 @@ def test_links_against_brute_force(spark):
     docs = spark.createDataFrame(rows, f"doc_id long, rid long, base {secrets.SPAN}, weak {secrets.SPAN}").repartition(3)
     got = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.link(docs, 15).collect()}
     assert got == want and sum(map(len, want.values())) > sum(len(r[2]) for r in rows) + 50
+
+
+def test_one_text_of_many_spans(spark, tmp_path):
+    """A log of a megabyte of hashes: rows of the sweep don't carry each other's spans."""
+    rnd = random.Random(9)
+    lines = [f"user=u{i:05} {rnd.getrandbits(160):040x}" for i in range(20_000)]
+    text = "\n".join(lines)
+    assert len(text) > 1_000_000
+    df = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    row = df.select(secrets.joined("base").alias("b"), F.size("spans").alias("n")).first()
+    assert row.b == base(text) and row.n == 40_000
