@@ -92,17 +92,22 @@ def majority(texts, n: int, most: int = 100_000) -> np.ndarray:
     return np.packbits(ones * 2 > total[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
+def text_key():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of each whole text over n-word shingles, repeats counted."""
+    """(doc_id, fp, key): the 64-bit SimHash of each whole text over n-word shingles, repeats counted, and a
+    hash of the text."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             parts = [majority(part, n) for part in slices(b.column(1).cast(pa.binary()))]
             fps = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["doc_id", "fp", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select("doc_id", "text", text_key().alias("key")).mapInArrow(run, f"doc_id {id_type}, fp long, key long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -212,21 +217,29 @@ def links(fps: DataFrame, tau: int = 2, hot: int = 64) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, tau: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of docs."""
+def grouped(docs: DataFrame, n: int = 3, tau: int = 2) -> DataFrame:
+    """(doc_id, fp, key, root, component_id) of every row of docs: key is a hash of its text, root tells its class."""
     fps = checkpoint(fingerprints(docs, n))
     reps = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = checkpoint(connected_components(links(reps.select("fp"), tau)))
     ids = reps.join(roots.hint("merge"), reps.fp == roots.v, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = ids.join(least.hint("merge"), "root").select("fp", "component_id")
-    return fps.join(of.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = ids.join(least.hint("merge"), "root").select("fp", "root", "component_id")
+    return fps.join(of.hint("merge"), "fp").select("doc_id", "fp", "key", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, n: int = 3, tau: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of docs."""
+    return grouped(docs, n, tau).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: the row with the smallest doc_id of each class stays (once, if
-    repeated); rows without a doc_id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    # The kept ids grow with the documents: a sort-merge join at every size.
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs without near-duplicates: of each class one row with its smallest doc_id stays (if that has several
+    texts in the class, the one with the smallest hash; of rows with one id and text, the one whose columns
+    hash smallest). Rows without a doc_id stay. Other texts under the same id are classes of their own."""
+    kept = grouped(docs).where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("x.doc_id", "x.key").distinct()
+    # The kept rows grow with the documents: a sort-merge join at every size.
+    named = docs.where("doc_id is not null").withColumn("__key", text_key())
+    named = named.join(kept.withColumnRenamed("key", "__key").hint("merge"), ["doc_id", "__key"], "left_semi")
+    one = named.groupBy("doc_id", "__key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -96,3 +96,14 @@ def test_empty_tables_clashing_columns_and_long_texts(spark, tmp_path):
             docs = spark.read.parquet(f"{d}/{stage}")
         n = sum(r.n_words for r in docs.collect())
         assert n == (0 if name == "empty" else round(1.5 * 160_000))  # of three copies one stays; its source is taken one and a half times
+
+
+def test_near_dedup_keeps_different_texts_under_one_id(spark):
+    a, b, c = "alpha beta gamma delta " * 9, "one two three four five " * 9, "un deux trois quatre " * 9
+    rows = [(1, a, "x", "s", 1), (1, b, "x", "s", 2), (2, c, "x", "s", 3), (2, c, "x", "s", 3), (2, c, "y", "s", 3), (3, a, "x", "s", 4), (None, a, "x", "s", 5), (4, None, None, None, None), (4, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    got = sorted(((r.doc_id, r.text) for r in stage(spark, docs, None).collect()), key=str)
+    assert [x for x in got if x[0] != 4] == sorted([(1, a), (1, b), (2, c), (None, a)], key=str)
+    assert len([x for x in got if x[0] == 4]) == 1
+    assert sorted(map(str, stage(spark, docs.repartition(3), None).collect())) == sorted(map(str, stage(spark, docs, None).collect()))
