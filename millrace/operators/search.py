@@ -164,20 +164,24 @@ def relax(docs: DataFrame, row_id: str, columns: dict[str, float], terms: list[s
     both = lambda cs: reduce(lambda a, b: a & b, cs)
     lead = reduce(lambda a, b: a + b, (both(whole[: i + 1]).cast("int") for i in range(len(terms))))
     level = t.select("row_id", lead.alias("lead"), both(starts).alias("prefix"), reduce(lambda a, b: a | b, whole).alias("any"))
-    sums = [F.sum((F.col("lead") >= i).cast("int")).alias(f"and_{i}") for i in range(len(terms), 0, -1)]
-    got = level.agg(*sums, F.sum(F.col("prefix").cast("int")).alias("prefix"), F.sum(F.col("any").cast("int")).alias("or")).first().asDict()
-    enough = lambda n: min(n or 0, limit) > top_n if accept == "literal" else min(n or 0, limit) >= min(top_n, limit)
-    for name, n in got.items():
-        if name == "or" and n or name != "or" and enough(n):
-            break
-    else:
-        raise LookupError("no documents found after generalizing query")
+    name = accepted(level, len(terms), top_n, accept, limit)
     used = terms if name in ("or", "prefix") else terms[: int(name[4:])]
     rule = {"prefix": "prefix", "or": "any"}.get(name) or f"lead >= {name[4:]}"
     scored = bm25(docs, row_id, columns, used, name == "prefix", **how).join(level.where(rule).select("row_id"), "row_id")
     return name, top(scored, limit)
 
 
+def accepted(level: DataFrame, n: int, top_n: int, accept: str, limit: int) -> str:
+    """The first level of the ladder that is accepted, from level(row_id, lead, prefix, any) of n terms."""
+    sums = [F.sum((F.col("lead") >= i).cast("int")).alias(f"and_{i}") for i in range(n, 0, -1)]
+    got = level.agg(*sums, F.sum(F.col("prefix").cast("int")).alias("prefix"), F.sum(F.col("any").cast("int")).alias("or")).first().asDict()
+    for name, found in got.items():
+        found = min(found or 0, limit)
+        if name == "or" and found or name != "or" and (found > top_n if accept == "literal" else found >= min(top_n, limit)):
+            return name
+    raise LookupError("no documents found after generalizing query")
+
+
 def tfidf(docs: DataFrame, row_id: str, columns: list[str], terms: list[str], **how) -> DataFrame:
     """(row_id, score): by our definition the sum over distinct query terms t in the row of
     sqrt(tf) * idf(t)^2 / sqrt(size), idf = 1 + ln(n / (df + 1)), times the share of query terms found."""
@@ -188,6 +192,19 @@ def tfidf(docs: DataFrame, row_id: str, columns: list[str], terms: list[str], **
     return m.select("row_id", (reduce(lambda a, b: a + b, parts) * F.size("has") / len(terms)).alias("score"))
 
 
+def by_document(entries: DataFrame, terms: list[str], decimals: int = 6, **how) -> DataFrame:
+    """(key, entry, score, n_entries) of every document that any of its entries(key, id, body) answers: the best
+    entry (the smallest id among equals), its score, and the number of entries found.
+
+    Entries, whole documents and their chunks, are scored where they are; a task hands on one row for each
+    document that it found, so that a document of many chunks is no hot key.
+    """
+    named = entries.select(F.struct("key", "id").alias("entry"), "body")
+    found = tfidf(named, "entry", ["body"], terms, **how).select("row_id.key", "row_id.id", F.round("score", decimals).alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("down"), "id"))
+    return found.groupBy("key").agg(best.alias("b"), F.count("*").alias("n_entries")).select("key", F.col("b.id").alias("entry"), (-F.col("b.down")).alias("score"), "n_entries")
+
+
 #: Query terms that go out at a time, of whole queries; and rows of a batch that are scored at a time.
 BATCH_TERMS, BATCH_ROWS = 20_000, 256
 
