@@ -108,6 +108,24 @@ def rerank(hits: DataFrame, vectors: DataFrame, query, least: float = 0.5, key:
     return joined.select(key, order, F.when(text != "", F.concat(text, F.lit("\n"))).otherwise("No relevant content found.\n").alias("content"))
 
 
+def rerank_batch(hits: DataFrame, fields: DataFrame, prompts: DataFrame, least: dict[str, float], key: str = "doc_id") -> DataFrame:
+    """Lexical hits of many prompts, in their order, with what their fields hold for their prompt: hits(prompt_id, key,
+    rank), fields(key, field, body, embedding), prompts(prompt_id, embedding), the cut above which a field's
+    similarity must be. (prompt_id, key, rank, content): bodies in order of the cuts, or the word that there are none.
+
+    Hits meet fields by key and prompts by id, so that a similarity is computed for a hit's fields only.
+    Hits without a document or without a prompt go; a hit all of whose vectors are null or zero finds nothing.
+    """
+    order = F.element_at(F.create_map(*(F.lit(x) for i, f in enumerate(least) for x in (f, i))), F.col("field"))
+    cut = F.element_at(F.create_map(*(F.lit(x) for f, v in least.items() for x in (f, float(v)))), F.col("field"))
+    known = fields.where(F.col("field").isin(list(least))).select(key, "field", "body", F.col("embedding").alias("__v"))
+    met = hits.select("prompt_id", key, "rank").join(known, key).join(prompts.select("prompt_id", F.col("embedding").alias("__p")), "prompt_id")
+    kept = F.when(V.cosine("__v", "__p", lenient=True) > cut, F.struct(order.alias("at"), "body"))
+    parts = met.groupBy("prompt_id", key, "rank").agg(F.array_sort(F.collect_list(kept)).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["body"]), "")
+    return parts.select("prompt_id", key, "rank", F.when(F.size("parts") > 0, F.concat(text, F.lit("\n"))).otherwise("No relevant content found.\n").alias("content"))
+
+
 def rank_labels(labels="labels", scores="scores"):
     """Labels by falling score, ties in their order; an error if the arrays differ in size."""
     pairs = F.transform(F.arrays_zip(F.col(labels).alias("l"), F.col(scores).alias("s")), lambda x, i: F.struct((-x["s"]).alias("n"), i.alias("i"), x["l"].alias("label")))

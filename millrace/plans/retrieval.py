@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.functions import analysis
-from millrace.operators import chunking, index, search, vectors
+from millrace.operators import chunking, index, neighbors, search, vectors
 from millrace.plans.catalog import BM25, COS, DOC_ROWS, DOC_TOKENS, PAIR_ROWS, TERMS, TOKENS, WEIGHTS, _bm25_sql, _chats, _rounded, query
 from millrace.session import shared_folder, table
 
 # --- the stored index -------------------------------------------------------------------------------
 
-_BUILT: dict[tuple, index.Index] = {}
+_BUILT: dict[tuple, index.Index | str] = {}
 
 
 def _index(spark, d, name, docs, row_id, columns, **how) -> index.Index:
@@ -126,3 +126,72 @@ def chunk_search(spark, d):
     docs = docs.select(F.col("text").alias("page_content"), F.create_map(F.lit("source"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))).alias("metadata"))
     entries = chunking.index_entries(docs).select(F.col("file_path").alias("key"), "id", "body")
     return search.by_document(entries, TERMS[:4], drop=analysis.ENGLISH)
+
+
+# --- neighbours -------------------------------------------------------------------------------------
+
+CELLS = 16
+
+
+def _neighbours(spark, d, probes):
+    e = table(spark, d, "embeddings")
+    key = (spark.sparkContext.applicationId, d, "vectors")
+    if key not in _BUILT:
+        path = f"{shared_folder(spark).rstrip('/')}/index-vectors-{uuid.uuid4().hex}"
+        neighbors.store(e, path, CELLS)
+        _BUILT[key] = path
+    got = neighbors.search(spark, _BUILT[key], e.where("vec_id % 20 = 0"), 5, probes)
+    return got.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def neighbor_index(spark, d):
+    """Nearest rows by a stored index of cells, of which three quarters are probed (recall: tests)."""
+    return _neighbours(spark, d, CELLS * 3 // 4)
+
+
+@query(f"""SELECT query_id, vec_id, round(s, 6) AS similarity FROM (SELECT q.vec_id AS query_id, e.vec_id, {COS.format("q.embedding", "e.embedding")} AS s
+FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 5""")
+def neighbor_index_exact(spark, d):
+    """The same index with all its cells probed."""
+    return _neighbours(spark, d, CELLS)
+
+
+@query(f"""SELECT a.vec_id, min(CASE WHEN b.embedding = a.embedding THEN b.vec_id END) AS same_as, count(*) - 1 AS n_links
+FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id OR {COS.format("a.embedding", "b.embedding")} >= 0.35 GROUP BY a.vec_id""")
+def similar_vectors(spark, d):
+    """How many rows each row is similar to, over all pairs."""
+    return neighbors.links_above(table(spark, d, "embeddings"), 0.35)
+
+
+# --- reranking for a batch --------------------------------------------------------------------------
+
+FIELDS = {"chunk": (3, 0.0), "full_content": (5, 0.05), "summary": (7, -0.05)}
+CASES = " ".join(f"WHEN '{f}' THEN {least}" for f, (_, least) in FIELDS.items())
+HITS = f"""WITH r AS (SELECT doc_id AS row_id, {TOKENS.format("text")} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM r),
+p AS (SELECT row_id, size, term, count(*) AS f FROM (SELECT row_id, len(t) AS size, unnest(t) AS term FROM r) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest({TOKENS.format("text")}) AS term FROM benchmark),
+i AS (SELECT term, CASE WHEN ln((n - count(*) + 0.5) / (count(*) + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM p, s GROUP BY term, n),
+x AS (SELECT item_id, row_id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean))), 4) AS score FROM q JOIN p USING (term) JOIN i USING (term), s GROUP BY item_id, row_id)
+SELECT item_id, row_id AS doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, row_id) AS rank FROM x QUALIFY rank <= 10"""
+
+
+@query(f"""SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, coalesce(string_agg(body, '' ORDER BY field) FILTER (WHERE s > least) || chr(10), 'No relevant content found.' || chr(10)) AS content FROM (
+  SELECT h.item_id, h.doc_id, h.rank, field, CASE field WHEN 'chunk' THEN substr(text, 1, 40) WHEN 'full_content' THEN coalesce(source, '') ELSE coalesce(lang, '') END AS body,
+    {COS.format("v.embedding", "q.embedding")} AS s, CASE field {CASES} END AS least
+  FROM ({HITS}) h JOIN documents d USING (doc_id), (SELECT count(*) AS n FROM embeddings), (VALUES {", ".join(f"('{f}', {k})" for f, (k, _) in FIELDS.items())}) AS fields(field, k)
+  JOIN embeddings v ON true JOIN embeddings q ON true WHERE v.vec_id = (h.doc_id * k) % n AND q.vec_id = h.item_id % n AND d.text IS NOT NULL)
+GROUP BY item_id, doc_id, rank""")
+def rerank_batch(spark, d):
+    """Ten hits for every prompt, each with what its three fields hold above their cuts for that prompt."""
+    e, items, docs = table(spark, d, "embeddings"), table(spark, d, "benchmark"), table(spark, d, "documents").where("text is not null")
+    terms = items.select(F.col("item_id").alias("query_id"), F.explode(analysis.tokens("text")).alias("term"))
+    hits = _documents(spark, d).best(terms, 10, decimals=4).select(F.col("query_id").alias("prompt_id"), F.col("row_id").alias("doc_id"), "rank")
+    n = e.agg(F.count("*").alias("n")).select("n").scalar()
+    vector = e.select("vec_id", F.col("embedding"))
+    prompts = items.select(F.col("item_id").alias("prompt_id"), (F.col("item_id") % n).alias("vec_id")).join(vector, "vec_id").select("prompt_id", "embedding")
+    bodies = {"chunk": F.substring("text", 1, 40), "full_content": F.coalesce("source", F.lit("")), "summary": F.coalesce("lang", F.lit(""))}
+    held = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), bodies[f].alias("body"), F.lit(k).alias("k")) for f, (k, _) in FIELDS.items())))
+    fields = docs.select("doc_id", held.alias("f")).select("doc_id", "f.field", "f.body", ((F.col("doc_id") * F.col("f.k")) % n).alias("vec_id")).join(vector, "vec_id").drop("vec_id")
+    got = vectors.rerank_batch(hits, fields, prompts, {f: least for f, (_, least) in FIELDS.items()})
+    return got.select(F.col("prompt_id").alias("item_id"), "doc_id", "rank", "content")
