@@ -78,4 +78,5 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least: int
     scored = scored.select("doc_id", "n_features", weight.alias("weight"), (F.col("n_words") < least).alias("short"))
     scored = scored.withColumn("score", F.col("weight") + gumbel(seed)).withColumn("down", -F.col("score"))
     drawn = ~F.col("short") & (F.col("at") < F.floor(F.col("n") * share / 100))
-    return numbered(scored, ["short"], ["down", "doc_id"]).select("doc_id", "n_features", "weight", "score", F.when(drawn, F.col("at") + 1).alias("rank"))
+    # Dealing by range reads its input twice: once for the bounds.
+    return numbered(checkpoint(scored), ["short"], ["down", "doc_id"]).select("doc_id", "n_features", "weight", "score", F.when(drawn, F.col("at") + 1).alias("rank"))
