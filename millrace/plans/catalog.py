@@ -824,4 +824,4 @@ def retrieve(spark, d):
     return vectors.lookup(hits.withColumnRenamed("row_id", "doc_id"), docs).select("doc_id", "score", "text")
 
 
-from millrace.plans import retrieval, wider  # noqa: E402,F401  (their queries join these)
+from millrace.plans import retrieval, streamed, wider  # noqa: E402,F401  (their queries join these)

@@ -124,29 +124,35 @@ def embedding_response(body) -> F.Column:
     return F.flatten(F.transform(F.array_sort(got["data"]), lambda d: d["embedding"]))
 
 
-def embedded(df: DataFrame, text: str, embed, size: int = 768, batch: int = 10, attempts: int = 3) -> DataFrame:
-    """df with vector, from embed(list of texts) -> list of vectors: batches of ``batch``, each tried
-    ``attempts`` times; another number of dimensions is an error. The embedder is a service or a model
-    of the caller's."""
+def embedded(df: DataFrame, text: str, embed, size: int = 768, batch: int = 10, attempts: int = 3, workers: int = 3) -> DataFrame:
+    """df with vector, from embed(list of texts) -> list of vectors, in the order of the rows: batches of ``batch``, of
+    which up to ``workers`` are in flight in a task, each tried ``attempts`` times with a pause that grows with
+    the attempts (30 s at most, and up to a second by chance). A last failure, an answer with more or fewer
+    vectors than texts, and another number of dimensions are errors. The embedder is a service or a model of the caller's."""
+    import random
     import time
+    from concurrent.futures import ThreadPoolExecutor
 
     schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
 
     def attempt(texts):
         for n in range(1, attempts + 1):
             try:
-                return embed(texts)
+                got = embed(texts)
+                break
             except OSError:
                 if n == attempts:
                     raise
-                time.sleep(min(n * n, 30))
+                time.sleep(min(n * n, 30) + random.random())
+        if len(got) != len(texts) or any(len(v) != size for v in got):
+            raise ValueError(f"expected {len(texts)} vectors of {size} dimensions")
+        return got
 
     def run(batches):
-        for b in batches:
-            vectors = [v for i in range(0, len(b), batch) for v in attempt(b[text].iloc[i : i + batch].tolist())]
-            if any(len(v) != size for v in vectors):
-                raise ValueError(f"expected {size} dimensions")
-            yield b.assign(vector=pd.Series(vectors, index=b.index))
+        with ThreadPoolExecutor(workers) as pool:
+            for b in batches:
+                parts = pool.map(attempt, (b[text].iloc[i : i + batch].tolist() for i in range(0, len(b), batch)))
+                yield b.assign(vector=pd.Series([v for p in parts for v in p], index=b.index))
 
     return df.mapInPandas(run, schema)
 
