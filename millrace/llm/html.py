@@ -7,7 +7,8 @@ path up to the body is the threshold that siblings on that path must reach to be
 
 Before densities, what isn't article goes: elements whose tag says so, and those one of whose class, id or
 role names is made of words for such parts only ("site-header", not "side-effects"). Where all that is marked
-up as an article stands inside elements that merely have such a name, the name doesn't count.
+up as an article stands inside elements that merely have such a name, the name doesn't count. A form around the
+page's content is a wrapper. Formulas are text, drawings are not.
 
 Defined results: null and empty pages, and pages without any text of their own, give an empty text;
 broken markup is read as far as it goes (a quote that isn't closed before the next "<" is a character); of
@@ -31,14 +32,14 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[
 
 #: Elements by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("nav footer aside form button select option input label fieldset dialog menu head script style noscript template iframe object embed audio video canvas svg math textarea".split())
+DROPPED = frozenset("nav footer aside form button select option input label fieldset dialog menu head script style noscript template iframe object embed audio video canvas svg textarea annotation annotation-xml".split())
 #: A start tag closes an open element of these (up to a barrier).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that can hold an article, and those that can be a part of it beside others.
 INLINE = frozenset("a b i span em strong".split())
-WRAPPERS = frozenset("article body center div html main section table tbody td tr".split())
+WRAPPERS = frozenset("article body center div form html main section table tbody td tr".split())
 TEXTS = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre ul".split())
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 CLOSES_P = BLOCK - {"body", "html", "option", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
@@ -199,6 +200,27 @@ def measure(nodes: list[Node], share: float) -> None:
         n.sum = n.own + sum(x.density for x in n.parts if x.__class__ is not str and not x.noise)
 
 
+def unwrap(root: Node, nodes: list[Node]) -> None:
+    """Takes forms for wrappers that hold the page's content: an article, main or h1 of it, or more than half of the
+    text of the page that is no link, in paragraphs. Their fields and buttons go nevertheless."""
+    forms = [n for n in nodes if n.tag == "form" and n.noise]
+    if not forms:
+        return
+    content, paragraphs = set(), dict.fromkeys(map(id, forms), 0)
+    for n in nodes:
+        if n.tag in ("article", "main", "h1", "p"):
+            around = [x for x in lineage(n) if x.tag == "form" and x.noise]
+            if n.tag != "p":
+                if all(x.tag == "form" or x.noise < 2 for x in lineage(n)):
+                    content.update(map(id, around))
+            else:
+                for x in around:
+                    paragraphs[id(x)] += n.chars - n.lchars
+    for f in forms:
+        if id(f) in content or 2 * paragraphs[id(f)] > root.chars - root.lchars:
+            f.noise = 0
+
+
 def unname(root: Node, nodes: list[Node]) -> None:
     """Takes names for nothing where all articles (or, without any, all h1) stand inside what only a name
     marks: the elements around them, then, are no such parts."""
@@ -217,11 +239,13 @@ def select(root: Node) -> list[Node]:
 
     If the node with the largest density sum lies in an article element, all outermost article elements (or
     the main element around it); else the block that holds it, and siblings along its path to the body
-    that reach the path's smallest density. Outside of articles, lists of links are no part.
+    that reach the path's smallest density. Outside of articles, lists of links are no part, unless they stand
+    between two paragraphs.
     """
     everything = ordered(root, True)
     count(everything, True)
     share = root.lchars / root.chars if root.chars else 0.0
+    unwrap(root, everything)
     unname(root, everything)
     nodes = ordered(root)
     count(nodes)
@@ -243,12 +267,21 @@ def select(root: Node) -> list[Node]:
             node = node.up
     around = {id(n) for n in lineage(best)}
     for n in nodes:
-        if n.tag in WRAPPERS | {"ul", "ol"} and not n.inside and n.tag not in ("article", "main") and n.ltags > 2 and n.lchars * 5 >= n.chars * 4 and id(n) not in around:
+        if n.tag in WRAPPERS | {"ul", "ol"} and not n.inside and n.tag not in ("article", "main") and n.ltags > 2 and n.lchars * 5 >= n.chars * 4 and id(n) not in around and not between(n):
             n.noise = 1
     order = {id(n): i for i, n in enumerate(walk(root))}
     return sorted((n for n in keep if not n.noise), key=lambda n: order[id(n)])
 
 
+def between(n: Node) -> bool:
+    """Whether a list stands between two paragraphs of the element that holds it, as references in a text do."""
+    if n.tag not in ("ul", "ol") or n.up is None:
+        return False
+    beside = [x for x in n.up.parts if x is n or x.__class__ is not str and not x.noise and x.chars]
+    at = next(i for i, x in enumerate(beside) if x is n)
+    return 0 < at < len(beside) - 1 and all(beside[i].tag in ("p", "blockquote", "pre") for i in (at - 1, at + 1))
+
+
 def walk(root):
     stack = [root]
     while stack:

@@ -102,3 +102,31 @@ def test_frame(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+TEXT = f"<p>{LONG}</p><p>{LONG}</p>"
+WANT = f"{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><form action=/x><input name=state><div><h1>T</h1>{TEXT}</div><button>Go</button></form></body>", f"T\n{WANT}"),
+        (f"<body><form><div>{TEXT}</div></form><div><a href=1>one</a></div></body>", WANT),
+        (f"<body><form><article>{TEXT}</article></form></body>", WANT),
+        (f"<main><h1>T</h1><form>{TEXT}<select><option>no</select></form></main>", f"T\n{WANT}"),
+        (f"<body><article>{TEXT}<form><p>Write to us</p><input></form></article><form><p>Subscribe now</p></form></body>", WANT),
+        ("<body><article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>tex</annotation></math> as known</p></article></body>", "Energy is E=m as known"),
+        ("<body><article><p>A drawing <svg><text>no</text></svg> here</p></article></body>", "A drawing here"),
+        (f"<body><div><p>{LONG}</p><ul><li><a href=1>ref one</a><li><a href=2>ref two</a><li><a href=3>ref three</a></ul><p>{LONG}</p></div></body>", f"{LONG.strip()}\nref one\nref two\nref three\n{LONG.strip()}"),
+        (f"<body><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul><div>{TEXT}</div></body>", WANT),
+    ],
+)
+def test_forms_formulas_and_references(page, want):
+    assert html.main_text(page) == want
+
+
+def test_ties_go_to_the_first():
+    page = f"<body><div><p>{LONG}</p></div><div><p>{LONG[::-1]}</p></div></body>"
+    assert html.main_text(page) == html.main_text(page) != ""
+    assert html.main_text(page).startswith(LONG.strip()[:20])
