@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.functions import analysis
-from millrace.operators import chunking, index, neighbors, search, vectors
-from millrace.plans.catalog import BM25, COS, DOC_ROWS, DOC_TOKENS, PAIR_ROWS, TERMS, TOKENS, WEIGHTS, _bm25_sql, _chats, _rounded, query
+from millrace.operators import adjacency, chunking, index, neighbors, search, vectors
+from millrace.plans.catalog import COS, CURRENT, DOC_ROWS, DOC_TOKENS, PAIR_ROWS, TERMS, TOKENS, WEIGHTS, _bm25_sql, _chats, _rounded, _visits, query
 from millrace.session import shared_folder, table
 
 # --- the stored index -------------------------------------------------------------------------------
@@ -195,3 +195,29 @@ def rerank_batch(spark, d):
     fields = docs.select("doc_id", held.alias("f")).select("doc_id", "f.field", "f.body", ((F.col("doc_id") * F.col("f.k")) % n).alias("vec_id")).join(vector, "vec_id").drop("vec_id")
     got = vectors.rerank_batch(hits, fields, prompts, {f: least for f, (_, least) in FIELDS.items()})
     return got.select(F.col("prompt_id").alias("item_id"), "doc_id", "rank", "content")
+
+
+# --- compacted adjacency ----------------------------------------------------------------------------
+
+STEPS = [(1, 3), (2, 3), (3, 3)]
+AT = "(SELECT CAST(min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) * {} // {} AS BIGINT) FROM events)"
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS step, src, dst, version FROM ({CURRENT.format(f'WHERE version <= {AT.format(i, n)}')}) WHERE NOT is_deleted" for i, n in STEPS))
+def compacted_edges(spark, d):
+    """The edges at three cutoffs, each from the table of the one before and the changes since."""
+    log, base = _visits(spark, d), f"{shared_folder(spark).rstrip('/')}/adjacency-{uuid.uuid4().hex}"
+    first, last = log.agg(F.min("version"), F.max("version")).first()
+    before, at, out = None, first - 1, []
+    for i, n in STEPS:
+        until, name = first + (last - first) * i // n, f"adjacency_{uuid.uuid4().hex}"
+        delta = log.where((F.col("version") > at) & (F.col("version") <= until))
+        if before:
+            adjacency.merged(spark, before, delta, name, path=f"{base}/{i}")
+            spark.sql(f"DROP TABLE {before}")  # its files stay
+        else:
+            adjacency.compact(delta, name, path=f"{base}/{i}")
+        out.append(spark.read.parquet(f"{base}/{i}").where("not is_deleted").select(F.lit(i).alias("step"), "src", "dst", "version"))
+        before, at = name, until
+    spark.sql(f"DROP TABLE {before}")
+    return out[0].unionByName(out[1]).unionByName(out[2])
