@@ -6,9 +6,9 @@ first token that two linked sets share. Two relations save work:
 * Between index entries: long lists are cut into blocks of sets of like size, and the position of a token
   in a set says how large a linked set can be, so that a set meets only the blocks that its position
   leaves open.
-* Between answers: each set is first compared with one that shares most of its rare tokens. The answers
+* Between answers: each set is first compared with the nearest of those that lead its lists. The answers
   of sets found alike are derived from those of their class, which only lacks links to other classes, so
-  that pairs within a class are never made, and of pairs between two classes a few are tried first.
+  that pairs within a class are never made, and of pairs between classes each class's nearest are tried first.
 
 Pairs are bounded by sizes, positions and parity bitmaps (bits in which these differ are at most the
 tokens in which the sets do) before their whole texts are compared.
@@ -35,6 +35,8 @@ from millrace.llm.simhash import SEED, shingle_hashes
 COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: Entries of a list from which on it is cut into blocks, entries of a block that meet in one task, and the ratio of sizes in a block.
 HOT, SALT, STEP = 64, 512, 1.02
+#: Bits of the filter on documents whose texts are compared (a bound that no corpus moves).
+FILTER = 1 << 20
 BITS = ["b0", "b1", "b2", "b3"]
 
 
@@ -174,41 +176,58 @@ def crossing(entries: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
     return cut[0].unionByName(cut[1]).groupBy("a", "b").agg(F.first("apart").alias("apart"))
 
 
-def set_classes(sets: DataFrame, docs: DataFrame, n: int, percent: int, tries=(1, 16, None)) -> DataFrame:
-    """(v, root) of the distinct sets(sid, size, b0.., prefix) that are linked with others."""
-    entries = sets.select("sid", "size", F.posexplode("prefix").alias("pos", "token"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    entries = entries.join(lists.select("token").hint("merge"), "token")
-    entries = checkpoint(entries.join(sets.select("sid", *BITS).hint("merge"), "sid").select("token", "sid", "size", "pos", *BITS))
+def fetched(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(sid, text) of the wanted(sid): a text for each. Documents whose id falls on no bit of the wanted ones'
+    (FILTER bits, whatever the corpus) are passed over before their texts are read."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)).cast("int")
+    on = np.zeros(FILTER, dtype=bool)
+    on[[r.bit for r in sets.select("sid", "least").join(wanted.hint("merge"), "sid", "left_semi").select(bit("least").alias("bit")).distinct().collect()]] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(on))
 
     def identified(batches):
+        on = np.unpackbits(sent.value).astype(bool)
         for b in batches:
-            sids = [set_id(x) for x in each_set(b.column(0), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), b.column(0)], ["sid", "text"])
+            texts = b.column(0).filter(pa.array(on[b.column(1).to_numpy()]))
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in each_set(texts, n)], pa.int64()), texts], ["sid", "text"])
+
+    found = docs.select("text", bit("doc_id")).mapInArrow(identified, "sid long, text string").join(wanted.hint("merge"), "sid", "left_semi")
+    return checkpoint(found.groupBy("sid").agg(F.first("text").alias("text")))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
 
-    wanted = entries.select("sid").distinct()
-    texts = docs.select("text").mapInArrow(identified, "sid long, text string").join(wanted.hint("merge"), "sid", "left_semi")
-    texts = checkpoint(texts.groupBy("sid").agg(F.first("text").alias("text")))
 
-    # The first answers: each set against the one that leads most of its lists.
-    leads = entries.groupBy("token").agg(F.min(F.struct("sid", "size", "pos", *BITS)).alias("y")).select("token", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "size", "pos", *BITS)))
-    ok, _ = possible("x_", "y_", percent)
+def set_classes(sets: DataFrame, docs: DataFrame, n: int, percent: int, rounds: int = 3) -> DataFrame:
+    """(v, root) of the distinct sets(sid, least, size, b0.., prefix) that are linked with others."""
+    entries = sets.select("sid", "size", F.posexplode("prefix").alias("pos", "token"))
+    lists = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    entries = entries.join(lists.select("token").hint("merge"), "token")
+    entries = checkpoint(entries.join(sets.select("sid", *BITS).hint("merge"), "sid").select("token", "sid", "size", "pos", *BITS))
+
+    # The first answers: each set against the nearest of those that lead its lists. A list is led by the set
+    # with the fewest rarer tokens, as the origin of near copies has.
+    leads = entries.groupBy("token").agg(F.min(F.struct("pos", "sid", "size", *BITS)).alias("y")).select("token", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "size", "pos", *BITS)))
+    ok, apart = possible("x_", "y_", percent)
     near = named(entries, "x_").join(leads.hint("merge"), F.col("x_token") == F.col("token")).where((F.col("x_sid") != F.col("y_sid")) & ok)
-    best = near.groupBy("x_sid", "y_sid").agg(F.count("*").alias("c")).groupBy(F.col("x_sid").alias("a")).agg(F.max_by("y_sid", F.struct("c", "y_sid")).alias("b"))
-    edges = checkpoint(linked(best, texts, n, percent))
+    best = checkpoint(near.groupBy(F.col("x_sid").alias("a")).agg(F.min_by("y_sid", F.struct(apart, "y_sid")).alias("b")))
+    edges = checkpoint(linked(best, fetched(docs, sets, ends(best), n), n, percent))
     roots = checkpoint(connected_components(edges))
 
-    # What links classes: all possible pairs between them are tried in the end, unless few suffice.
-    left = checkpoint(crossing(with_class(entries, roots, "sid", "class"), percent))
-    for width in tries:
+    # What links classes: each class's nearest pairs are tried first, then all that still lie between two classes.
+    left = checkpoint(crossing(with_class(entries, roots, "sid", "class"), percent).join(best.hint("merge"), ["a", "b"], "left_anti"))
+    texts = None
+    for nth in range(rounds):
         between = with_class(with_class(left, roots, "a", "ca"), roots, "b", "cb").where("ca <> cb")
-        if width:
-            tried = between.groupBy(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q"), F.pmod(F.xxhash64("a", "b"), F.lit(width)).alias("k")).agg(F.min(F.struct("apart", "a", "b")).alias("s")).select("s.a", "s.b")
+        if nth < rounds - 1:
+            sides = between.select(F.col("ca").alias("c"), "apart", "a", "b").unionByName(between.select(F.col("cb").alias("c"), "apart", "a", "b"))
+            tried = sides.groupBy("c").agg(F.min(F.struct("apart", "a", "b")).alias("s")).select("s.a", "s.b").distinct()
         else:
             tried = between.select("a", "b")
         tried = checkpoint(tried)
         if tried.isEmpty():
             break
+        texts = texts or fetched(docs, sets, ends(left), n)
         edges = checkpoint(edges.unionByName(linked(tried, texts, n, percent)))
         roots = checkpoint(connected_components(edges))
         left = left.join(tried.hint("merge"), ["a", "b"], "left_anti")

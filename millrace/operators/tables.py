@@ -126,6 +126,20 @@ def insert_absent(df: DataFrame, new: DataFrame, on, order=None) -> DataFrame:
     return df.unionByName(one_of(new.join(df, on, "left_anti"), on, last=False, order=order).select(df.columns))
 
 
+def load_tools(tools: DataFrame, params: DataFrame, configured: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tools(id, name, enabled) and tool_params(id, tool_id, param_name, param_value) after a load of configured(name,
+    param_name, param_value): tools that aren't there are inserted, enabled as their parameter of that name says
+    (not, without one), and all parameters are appended, also those of tools that were there, once for each load.
+
+    Of tools with one name the first is meant. A null name is no tool; a null value is kept as it is."""
+    c = configured.where("name is not null")
+    new = c.groupBy("name").agg(F.coalesce(F.max(F.when(F.col("param_name") == "enabled", F.col("param_value") == "true")), F.lit(False)).alias("enabled"))
+    all_tools = insert(tools, new.join(tools, "name", "left_anti").select("name", "enabled"))
+    ids = all_tools.groupBy("name").agg(F.min("id").alias("tool_id"))
+    rows = c.where("param_name is not null").join(ids, "name").select("tool_id", "param_name", F.col("param_value").cast("string").alias("param_value"))
+    return all_tools, insert(params, rows)
+
+
 def upsert(df: DataFrame, new: DataFrame, key, order=None) -> DataFrame:
     """new's rows take the place of df's with the same key; of equal keys in new the last by ``order`` stays."""
     key = [key] if isinstance(key, str) else key
@@ -176,6 +190,17 @@ def concat_ordered(df: DataFrame, by: str, order, text: str) -> DataFrame:
     return met.select(by, *order, text, (F.col("__at") + F.coalesce("__base", F.lit(0))).cast("long").alias("at"))
 
 
+def file_tree(files: DataFrame, path: str = "path") -> DataFrame:
+    """(dir, path, line) of the listing that precedes concatenated files: a line for each folder that holds any, and
+    one for each file in it; ordered by dir and path, in which a folder's own line has a null path. A path
+    without a folder stands under "."."""
+    name = F.element_at(F.split(path, "/"), -1)
+    folder = F.when(F.contains(path, F.lit("/")), F.expr(f"left({path}, length({path}) - length(element_at(split({path}, '/'), -1)) - 1)")).otherwise(".")
+    lines = files.where(F.col(path).isNotNull()).select(folder.alias("dir"), F.col(path).alias("path"), F.concat(F.lit("├── "), name, F.lit("\n")).alias("line")).distinct()
+    heads = lines.select("dir").distinct().select("dir", F.lit(None).cast("string").alias("path"), F.concat("dir", F.lit("/\n")).alias("line"))
+    return heads.unionByName(lines)
+
+
 def concat_files(files: DataFrame, path: str = "path", content: str = "content") -> Column:
     """A file between its delimiters, as in a concatenated listing; no newline is put before the end."""
     return F.concat(F.lit("--- BEGIN "), F.col(path), F.lit(" ---\n"), F.col(content), F.lit("--- END "), F.col(path), F.lit(" ---\n\n"))

@@ -85,13 +85,45 @@ def append_read(spark, d):
     return spark.read.parquet(path)
 
 
-@query("""SELECT * FROM (VALUES ('chat_postings', 4), ('chats', 5), ('documents', 2), ('edge_log', 4), ('edges', 4), ('functions', 12), ('models', 9), ('nodes', 3), ('roles', 3),
-('selected_models', 3), ('sessions', 3), ('tool_params', 4), ('tools', 3), ('url_trackings', 2), ('vec_items', 2)) t(name, n_columns)""")
+@query("""SELECT 'documents' AS name, CAST(2 AS INTEGER) AS n_columns, count(*) AS n_rows FROM documents UNION ALL SELECT 'vec_items', 2, count(*) FROM embeddings
+UNION ALL SELECT 'edge_log', 4, count(*) FROM lineitem UNION ALL SELECT 'roles', 3, count(*) FROM nation""")
 def created_tables(spark, d):
+    """Tables that are created, filled from others, and left alone by a second creation."""
     base = _folder(spark, "tables")
+    rows = {
+        "documents": table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"),
+        "vec_items": table(spark, d, "embeddings").select(F.col("vec_id").alias("rowid"), "embedding"),
+        "edge_log": _supplies(spark, d),
+        "roles": table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit("x").alias("instructions")),
+    }
     tables.create(spark, base)
-    tables.create(spark, base)  # tables that are there stay
-    return spark.createDataFrame([(n, len(spark.read.parquet(f"{base}/{n}").columns)) for n in tables.SCHEMAS], "name string, n_columns int")
+    for name, df in rows.items():
+        files.append(df, f"{base}/{name}")
+    tables.create(spark, base)
+    got = [spark.read.parquet(f"{base}/{n}").agg(F.lit(n).alias("name"), F.lit(len(spark.read.parquet(f"{base}/{n}").columns)).alias("n_columns"), F.count("*").alias("n_rows")) for n in rows]
+    return got[0].unionByName(got[1]).unionByName(got[2]).unionByName(got[3])
+
+
+@query("""WITH old AS (SELECT n_nationkey + 1 AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0),
+c AS (SELECT n_name AS name, n_nationkey % 3 = 0 AS enabled, 'region ' || n_regionkey AS place FROM nation)
+SELECT name, enabled, place, fresh, (SELECT count(*) FROM nation) * 2 + (SELECT count(*) FROM old) AS n_params FROM (SELECT name, CASE WHEN fresh THEN enabled ELSE true END AS enabled, place, fresh FROM (SELECT *, name NOT IN (SELECT name FROM old) AS fresh FROM c))""")
+def loaded_tools(spark, d):
+    """Tools that are configured anew: missing ones go in, and all parameters are appended."""
+    n = table(spark, d, "nation")
+    tools = n.where("n_nationkey % 2 = 0").select((F.col("n_nationkey") + 1).cast("long").alias("id"), F.col("n_name").alias("name"), F.lit(True).alias("enabled"))
+    params = tools.select("id", F.col("id").alias("tool_id"), F.lit("enabled").alias("param_name"), F.lit("true").alias("param_value"))
+    settings = F.explode(F.create_map(F.lit("enabled"), (F.col("n_nationkey") % 3 == 0).cast("string"), F.lit("place"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))))
+    all_tools, all_params = tables.load_tools(tools, params, n.select(F.col("n_name").alias("name"), settings.alias("param_name", "param_value")))
+    places = all_params.where("param_name = 'place'").select(F.col("tool_id").alias("id"), F.col("param_value").alias("place"))
+    fresh = all_tools.join(tools.select("id", F.lit(False).alias("fresh")), "id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+    return fresh.join(places, "id").select("name", "enabled", "place", "fresh", all_params.agg(F.count("*").alias("n")).scalar().alias("n_params"))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT regexp_replace(p, '/[^/]+$', '') AS dir, p AS path, '├── ' || regexp_extract(p, '[^/]+$') || chr(10) AS line FROM (SELECT {PATH} AS p FROM documents))
+SELECT dir, path, line FROM f UNION ALL SELECT DISTINCT dir, NULL, dir || '/' || chr(10) FROM f""")
+def file_tree(spark, d):
+    """The listing that precedes concatenated files."""
+    return tables.file_tree(_listing(spark, d))
 
 
 @query(_bm25_sql(DOC_ROWS, TERMS))
@@ -188,10 +220,41 @@ def split_text(spark, d):
     return c.groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('GO', 7, chr(10) || 'func '), ('HTML', 7, '<div'), ('JS', 8, chr(10) || 'function '), ('JSON', 2, '}' || chr(10)), ('MARKDOWN', 5, chr(10) || '#{1,6} '),
-('PYTHON', 6, chr(10) || 'class '), ('TS', 8, chr(10) || 'function ')) t(language, n, first)""")
+LANGUAGES = sorted(chunking.SEPARATORS)
+ROUTED = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LANGUAGES))
+COUNTED = " ".join(f"WHEN {i} THEN {len(chunking.SEPARATORS[x])}" for i, x in enumerate(LANGUAGES))
+
+
+@query(f"SELECT doc_id, CASE doc_id % {len(LANGUAGES)} {ROUTED} END AS language, CAST(CASE doc_id % {len(LANGUAGES)} {COUNTED} END AS BIGINT) AS n FROM documents")
 def separator_table(spark, d):
-    return spark.createDataFrame([(x, len(chunking.separators(x)), chunking.separators(x)[0]) for x in sorted(chunking.SEPARATORS)], "language string, n int, first string")
+    """The separators of each document's language."""
+    known = spark.createDataFrame([(x, s) for x in LANGUAGES for s in chunking.separators(x)], "language string, separator string")
+    docs = table(spark, d, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("doc_id") % len(LANGUAGES) + 1).cast("int")).alias("language"))
+    return docs.join(F.broadcast(known), "language").groupBy("doc_id", "language").agg(F.count("*").alias("n"))  # a literal of a few dozen rows
+
+
+def _interleaved(t, pattern):
+    return f"flatten(list_transform(range(1, len(string_split_regex({t}, '{pattern}')) + 1), lambda k: CASE WHEN k <= len(regexp_extract_all({t}, '{pattern}')) THEN [string_split_regex({t}, '{pattern}')[k], regexp_extract_all({t}, '{pattern}')[k]] ELSE [string_split_regex({t}, '{pattern}')[k]] END))"
+
+
+FIRST_CUT, NEXT_CUT = r"\n+", r"[,.]\s*"
+
+
+@query(f"""SELECT doc_id, CAST(i AS INTEGER) AS idx, c AS chunk FROM (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS c FROM (
+SELECT doc_id, CASE WHEN regexp_matches(text, '{FIRST_CUT}') THEN flatten(list_transform({_interleaved("text", FIRST_CUT)}, lambda p: CASE WHEN strlen(p) >= 200 THEN {_interleaved("p", NEXT_CUT)} ELSE [p] END))
+ELSE {_interleaved("text", NEXT_CUT)} END AS l FROM documents WHERE text IS NOT NULL))""")
+def recursive_split_patterns(spark, d):
+    """Two patterns that are kept: what the first leaves too long is split by the second."""
+    return chunking.recursive_split(table(spark, d, "documents").select("doc_id", "text"), [FIRST_CUT, NEXT_CUT], 200, regex=True, keep=True)
+
+
+@query("""SELECT event_id, 'p' || id AS path FROM (SELECT event_id, 'Brand#' || (event_id % 5 + 1) || (event_id % 4 + 1) AS model FROM events)
+JOIN (SELECT p_brand AS model, max(p_partkey) AS id FROM part GROUP BY 1) USING (model)""")
+def message_models(spark, d):
+    """Messages that name many models, each with the path of the one that was added last; unknown ones go."""
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("Brand#"), (F.col("event_id") % 5 + 1).cast("string"), (F.col("event_id") % 4 + 1).cast("string")).alias("model"))
+    m = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
+    return chat.model_paths(e, m).select("event_id", "path")
 
 
 # --- graphs -----------------------------------------------------------------------------------------
