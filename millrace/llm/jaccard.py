@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm.common import checkpoint, connected_components, slices
+from millrace.llm.common import checkpoint, connected_components, slices, written
 from millrace.llm.simhash import SEED, shingle_hashes
 
 #: Counters that order tokens by how common they are (a power of 2): a bound that no corpus moves.
-COUNTERS, CHUNK = 1 << 20, 1 << 12
+COUNTERS, CHUNK = 1 << 22, 1 << 12
 #: Entries of a list from which on it is cut into blocks, entries of a block that meet in one task, and the ratio of sizes in a block.
 HOT, SALT, STEP = 64, 512, 1.02
 #: Bits of the filter on documents whose texts are compared (a bound that no corpus moves).
@@ -60,22 +60,22 @@ def commonness(docs: DataFrame, n: int) -> np.ndarray:
     """A rank of commonness for each counter that tokens are dealt to, from counts over all documents."""
 
     def run(batches):
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(COUNTERS, dtype=np.int32)
         for b in batches:
             for x in each_set(b.column(0), n):
                 np.add.at(total, (x % COUNTERS).astype(np.int64), 1)
         for at in range(0, COUNTERS, CHUNK):
             part = total[at : at + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK], pa.int32()), pa.array([part.tolist()], pa.list_(pa.int64()))], ["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK], pa.int32()), pa.ListArray.from_arrays(pa.array([0, CHUNK], pa.int32()), pa.array(part))], ["chunk", "counts"])
 
-    parts = docs.select("text").mapInArrow(run, "chunk int, counts array<long>").repartition("chunk")
+    parts = docs.select("text").mapInArrow(run, "chunk int, counts array<int>").repartition("chunk")
     sums = parts.select("chunk", F.posexplode("counts").alias("pos", "c")).groupBy("chunk", "pos").agg(F.sum("c").alias("c"))
     rank = F.round(F.log2(F.col("c") + 1) * 8).cast("smallint")
     whole = sums.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", rank.alias("r")))).alias("x")).select("chunk", F.transform("x", lambda x: x["r"]).alias("r"))
-    out = np.zeros(COUNTERS, dtype=np.int16)
-    for row in whole.collect():
-        out[row.chunk * CHUNK : row.chunk * CHUNK + len(row.r)] = row.r
+    out, got = np.zeros(COUNTERS, dtype=np.int16), whole.toArrow()
+    for i, chunk in enumerate(got.column("chunk").to_pylist()):
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = got.column("r")[i].values.to_numpy()
     return out
 
 
@@ -111,13 +111,22 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, sid long, size long, {', '.join(f'{b} long' for b in BITS)}, prefix array<long>")
 
 
-def possible(x: str, y: str, percent: int):
-    """Whether sizes, positions and bitmaps of two entries (columns with these prefixes) allow a link."""
-    c = lambda side, name: F.col(f"{side}{name}")
-    least = least_shared(c(x, "size"), c(y, "size"), percent)
-    apart = sum((F.bit_count(c(x, b).bitwiseXOR(c(y, b))) for b in BITS[1:]), F.bit_count(c(x, "b0").bitwiseXOR(c(y, "b0"))))
-    left = F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos"))
-    return (left >= least) & (apart <= c(x, "size") + c(y, "size") - 2 * least), apart
+def reach(x: str, y: str, percent: int):
+    """Whether sizes and positions of two entries (columns with these prefixes) allow a link."""
+    left = F.least(F.col(f"{x}size") - F.col(f"{x}pos"), F.col(f"{y}size") - F.col(f"{y}pos"))
+    return left >= least_shared(F.col(f"{x}size"), F.col(f"{y}size"), percent)
+
+
+def apart(x: str, y: str):
+    """In how many bits the bitmaps of two sets differ."""
+    differ = [F.bit_count(F.col(f"{x}{b}").bitwiseXOR(F.col(f"{y}{b}"))) for b in BITS]
+    return differ[0] + differ[1] + differ[2] + differ[3]
+
+
+def near(x: str, y: str, percent: int):
+    """Whether the bitmaps of two sets allow a link."""
+    a, b = F.col(f"{x}size"), F.col(f"{y}size")
+    return apart(x, y) <= a + b - 2 * least_shared(a, b, percent)
 
 
 def named(df: DataFrame, prefix: str) -> DataFrame:
@@ -150,8 +159,9 @@ def with_class(df: DataFrame, roots: DataFrame, key: str, name: str) -> DataFram
     return found.withColumn(name, F.coalesce("__root", F.col(key))).drop("__root")
 
 
-def crossing(entries: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
-    """(a, b, apart): possible pairs of sets of different classes, from entries(token, sid, size, pos, b0.., class).
+def crossing(entries: DataFrame, bits: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
+    """(a, b, apart): possible pairs of sets of different classes, from entries(token, sid, size, pos, class) and
+    bits(sid, b0..).
 
     One side of such a pair isn't of the list's largest class, so that the entries of that class never meet
     each other. In lists of more than ``hot`` entries a set meets blocks of like sizes, dealt to tasks
@@ -159,7 +169,8 @@ def crossing(entries: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
     """
     kinds = entries.groupBy("token", "class").agg(F.count("*").alias("c"))
     lists = kinds.groupBy("token").agg(F.max_by("class", F.struct("c", "class")).alias("main"), F.sum("c").alias("n"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    e = checkpoint(entries.join(lists.hint("merge"), "token").withColumn("other", F.col("class") != F.col("main")).drop("main"))
+    e = entries.join(lists.hint("merge"), "token").withColumn("other", F.col("class") != F.col("main")).drop("main")
+    e = written(e.join(bits.hint("merge"), "sid"))
     block = lambda size: F.floor(F.log(size) / math.log(STEP)).cast("int")
     salts = F.when(F.col("n") > hot, F.floor(F.col("n") / SALT)).otherwise(0).cast("int")
     low, high = F.ceil(F.col("size") * percent / 100), F.least(F.col("size"), F.floor((F.col("size") * 100 - F.col("pos") * (100 + percent)) / percent))
@@ -168,11 +179,10 @@ def crossing(entries: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
     index = e.where(F.col("pos") <= F.col("size") - least_shared(F.col("size"), F.col("size"), percent))
     index = index.withColumn("block", F.when(F.col("n") > hot, block(F.col("size"))).otherwise(-1)).withColumn("salt", F.pmod(F.xxhash64("sid"), salts + 1).cast("int"))
     index = named(index, "y_")
-    ok, apart = possible("x_", "y_", percent)
     smaller = (F.col("y_size") < F.col("x_size")) | ((F.col("y_size") == F.col("x_size")) & (F.col("y_sid") < F.col("x_sid")))
-    on = (F.col("x_token") == F.col("y_token")) & (F.col("x_block") == F.col("y_block")) & (F.col("x_salt") == F.col("y_salt")) & smaller & (F.col("x_class") != F.col("y_class")) & ok
+    on = (F.col("x_token") == F.col("y_token")) & (F.col("x_block") == F.col("y_block")) & (F.col("x_salt") == F.col("y_salt")) & smaller & (F.col("x_class") != F.col("y_class")) & reach("x_", "y_", percent) & near("x_", "y_", percent)
     met = [probes.join(index.where("y_other").hint("merge"), on), probes.where("x_other").join(index.where("not y_other").hint("merge"), on)]
-    cut = [m.select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), apart.alias("apart")) for m in met]
+    cut = [m.select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"), apart("x_", "y_").alias("apart")) for m in met]
     return cut[0].unionByName(cut[1]).groupBy("a", "b").agg(F.first("apart").alias("apart"))
 
 
@@ -203,19 +213,20 @@ def set_classes(sets: DataFrame, docs: DataFrame, n: int, percent: int, rounds:
     entries = sets.select("sid", "size", F.posexplode("prefix").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     entries = entries.join(lists.select("token").hint("merge"), "token")
-    entries = checkpoint(entries.join(sets.select("sid", *BITS).hint("merge"), "sid").select("token", "sid", "size", "pos", *BITS))
+    entries, bits = written(entries), sets.select("sid", *BITS)
 
     # The first answers: each set against the nearest of those that lead its lists. A list is led by the set
     # with the fewest rarer tokens, as the origin of near copies has.
-    leads = entries.groupBy("token").agg(F.min(F.struct("pos", "sid", "size", *BITS)).alias("y")).select("token", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "size", "pos", *BITS)))
-    ok, apart = possible("x_", "y_", percent)
-    near = named(entries, "x_").join(leads.hint("merge"), F.col("x_token") == F.col("token")).where((F.col("x_sid") != F.col("y_sid")) & ok)
-    best = checkpoint(near.groupBy(F.col("x_sid").alias("a")).agg(F.min_by("y_sid", F.struct(apart, "y_sid")).alias("b")))
+    leads = entries.groupBy("token").agg(F.min(F.struct("pos", "sid", "size")).alias("y")).select("token", *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("sid", "size", "pos")))
+    led = named(entries, "x_").join(leads.hint("merge"), F.col("x_token") == F.col("token")).where((F.col("x_sid") != F.col("y_sid")) & reach("x_", "y_", percent))
+    led = led.select("x_sid", "y_sid", "x_size", "y_size").distinct()
+    led = led.join(named(bits, "x_").hint("merge"), "x_sid").join(named(bits, "y_").hint("merge"), "y_sid").where(near("x_", "y_", percent))
+    best = checkpoint(led.groupBy(F.col("x_sid").alias("a")).agg(F.min_by("y_sid", F.struct(apart("x_", "y_"), "y_sid")).alias("b")))
     edges = checkpoint(linked(best, fetched(docs, sets, ends(best), n), n, percent))
     roots = checkpoint(connected_components(edges))
 
     # What links classes: each class's nearest pairs are tried first, then all that still lie between two classes.
-    left = checkpoint(crossing(with_class(entries, roots, "sid", "class"), percent).join(best.hint("merge"), ["a", "b"], "left_anti"))
+    left = checkpoint(crossing(with_class(entries, roots, "sid", "class"), bits, percent).join(best.hint("merge"), ["a", "b"], "left_anti"))
     texts = None
     for nth in range(rounds):
         between = with_class(with_class(left, roots, "a", "ca"), roots, "b", "cb").where("ca <> cb")

@@ -72,7 +72,7 @@ def test_hot_lists_lose_no_link(spark, monkeypatch, rounds):
     monkeypatch.setattr(jaccard, "SALT", 8)
     rows = sample(2, 2, [150], [60, 150])
     default = jaccard.set_classes
-    monkeypatch.setattr(jaccard, "crossing", lambda e, p, f=jaccard.crossing: f(e, p, 2))
+    monkeypatch.setattr(jaccard, "crossing", lambda e, b, p, f=jaccard.crossing: f(e, b, p, 2))
     monkeypatch.setattr(jaccard, "set_classes", lambda *a: default(*a, rounds=rounds))
     want = brute(rows)
     assert 2 < len({c for *_, c in want}) < 250
@@ -92,7 +92,8 @@ def test_small(spark):
 
 def test_pairs_of_a_class_are_not_made(spark):
     """A list's largest class never meets itself."""
-    rows = [(f"t{t}", i, 100, 0, 0, 0, 0, 0, 0 if i < 900 else i) for t in range(3) for i in range(903)]
-    e = spark.createDataFrame(rows, "token string, sid long, size long, pos int, b0 long, b1 long, b2 long, b3 long, class long")
-    got = jaccard.crossing(e, 90).agg(F.count("*")).first()[0]
+    rows = [(f"t{t}", i, 100, 0, 0 if i < 900 else i) for t in range(3) for i in range(903)]
+    e = spark.createDataFrame(rows, "token string, sid long, size long, pos int, class long")
+    bits = spark.createDataFrame([(i, 0, 0, 0, 0) for i in range(903)], "sid long, b0 long, b1 long, b2 long, b3 long")
+    got = jaccard.crossing(e, bits, 90).agg(F.count("*")).first()[0]
     assert got == 3 * 900 + 3
