@@ -201,7 +201,7 @@ def fetched(docs: DataFrame, sets: DataFrame, wanted: DataFrame, n: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in each_set(texts, n)], pa.int64()), texts], ["sid", "text"])
 
     found = docs.select("text", bit("doc_id")).mapInArrow(identified, "sid long, text string").join(wanted.hint("merge"), "sid", "left_semi")
-    return checkpoint(found.groupBy("sid").agg(F.first("text").alias("text")))
+    return written(found.groupBy("sid").agg(F.first("text").alias("text")))
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -247,9 +247,9 @@ def set_classes(sets: DataFrame, docs: DataFrame, n: int, percent: int, rounds:
 
 def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs: component_id is the smallest doc_id that links lead to."""
-    rows = checkpoint(described(docs, n, percent))
+    rows = written(described(docs, n, percent))
     # What describes a set follows from its id, so that copies become one row before anything is shuffled.
-    sets = checkpoint(rows.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", *BITS, "prefix"))))
+    sets = written(rows.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", *BITS, "prefix"))))
     roots = set_classes(sets, docs, n, percent)
     of = with_class(sets.select("sid", "least"), roots, "sid", "root")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
