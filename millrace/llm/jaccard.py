@@ -11,7 +11,8 @@ first token that two linked sets share. Two relations save work:
   that pairs within a class are never made, and of pairs between classes each class's nearest are tried first.
 
 Pairs are bounded by sizes, positions and parity bitmaps (bits in which these differ are at most the
-tokens in which the sets do) before their whole texts are compared.
+tokens in which the sets do) before their whole texts are compared. The bitmaps of large sets grow with them,
+as a fixed number of bits tells nothing of sets that may differ in more tokens.
 
 Defined results: null and wordless texts have no shingles and are their own class; a null doc_id takes the
 smallest id it reaches (null if there is none); repeated rows each get their row; other columns are ignored;
@@ -38,6 +39,8 @@ HOT, SALT, STEP = 64, 512, 1.02
 #: Bits of the filter on documents whose texts are compared (a bound that no corpus moves).
 FILTER = 1 << 20
 BITS = ["b0", "b1", "b2", "b3"]
+#: Tokens from which on a set has a wide bitmap too.
+WIDE = 512
 
 
 def token_set(text: bytes | None, n: int) -> np.ndarray:
@@ -50,6 +53,24 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(tokens.tobytes(), SEED)).view(np.int64))
 
 
+def wide_bitmap(tokens: np.ndarray) -> bytes | None:
+    """The parity bitmap of a set of more than WIDE tokens: a power of 2 of bits, half to all of its size."""
+    if len(tokens) <= WIDE:
+        return None
+    bits = 1 << (len(tokens).bit_length() - 1)
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two wide bitmaps differ, the longer one folded to the size of the other."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def each_set(batch_column, n: int):
     for part in slices(batch_column.cast(pa.binary())):
         for t in part:
@@ -85,17 +106,18 @@ def least_shared(a, b, percent: int):
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, sid, size, b0.., prefix): of each text's set its id, size, parity bitmap and rarest tokens,
-    in order, as many as can hold the first one that it shares with a linked set."""
+    """(doc_id, sid, size, b0.., wide, prefix): of each text's set its id, size, parity bitmaps and rarest
+    tokens, in order, as many as can hold the first one that it shares with a linked set."""
     sent = docs.sparkSession.sparkContext.broadcast(commonness(docs, n))
 
     def run(batches):
         rank = sent.value
         for b in batches:
-            sids, sizes, bits, prefixes = [], [], [], []
+            sids, sizes, bits, wide, prefixes = [], [], [], [], []
             for x in each_set(b.column(1), n):
                 bins = np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) & 1
                 bits.append(np.packbits(bins.astype(np.uint8), bitorder="little").view(np.int64))
+                wide.append(wide_bitmap(x))
                 order = np.lexsort((x, rank[(x % COUNTERS).astype(np.int64)]))
                 most = len(x) - -(-percent * len(x) // 100) + 1 if len(x) else 0
                 prefixes.append(x[order[:most]].view(np.int64))
@@ -104,11 +126,11 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             held = np.array(bits, dtype=np.int64).reshape(-1, 4)
-            arrays = [b.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(held[:, i]) for i in range(4)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sid", "size", *BITS, "prefix"])
+            arrays = [b.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(held[:, i]) for i in range(4)), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sid", "size", *BITS, "wide", "prefix"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, sid long, size long, {', '.join(f'{b} long' for b in BITS)}, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, sid long, size long, {', '.join(f'{b} long' for b in BITS)}, wide binary, prefix array<long>")
 
 
 def reach(x: str, y: str, percent: int):
@@ -133,6 +155,24 @@ def named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
 
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ..) that wide bitmaps, where both sets have one, allow to be linked."""
+    wide = sets.where("wide is not null").select("sid", "size", "wide")
+    on = lambda x, key: F.col(f"{x}sid") == F.col(key)
+    both = pairs.join(named(wide, "x_").hint("merge"), on("x_", "a"), "left").join(named(wide, "y_").hint("merge"), on("y_", "b"), "left")
+
+    def run(batches):
+        for batch in batches:
+            n = len(pairs_columns)
+            keep = []
+            for sx, wx, sy, wy in zip(*(batch.column(n + i).to_pylist() for i in range(4))):
+                keep.append(wx is None or wy is None or wide_apart(wx, wy) <= sx + sy - 2 * -(-percent * (sx + sy) // (100 + percent)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], pairs_columns).filter(pa.array(keep, pa.bool_()))
+
+    pairs_columns = pairs.columns
+    return both.select(*pairs_columns, "x_size", "x_wide", "y_size", "y_wide").mapInArrow(run, pairs.schema)
+
+
 def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose whole texts are linked; texts(sid, text)."""
     t = texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
@@ -209,7 +249,7 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def set_classes(sets: DataFrame, docs: DataFrame, n: int, percent: int, rounds: int = 3) -> DataFrame:
-    """(v, root) of the distinct sets(sid, least, size, b0.., prefix) that are linked with others."""
+    """(v, root) of the distinct sets(sid, least, size, b0.., wide, prefix) that are linked with others."""
     entries = sets.select("sid", "size", F.posexplode("prefix").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     entries = entries.join(lists.select("token").hint("merge"), "token")
@@ -222,11 +262,13 @@ def set_classes(sets: DataFrame, docs: DataFrame, n: int, percent: int, rounds:
     led = led.select("x_sid", "y_sid", "x_size", "y_size").distinct()
     led = led.join(named(bits, "x_").hint("merge"), "x_sid").join(named(bits, "y_").hint("merge"), "y_sid").where(near("x_", "y_", percent))
     best = checkpoint(led.groupBy(F.col("x_sid").alias("a")).agg(F.min_by("y_sid", F.struct(apart("x_", "y_"), "y_sid")).alias("b")))
-    edges = checkpoint(linked(best, fetched(docs, sets, ends(best), n), n, percent))
+    hopeful = checkpoint(likely(best, sets, percent))
+    edges = checkpoint(linked(hopeful, fetched(docs, sets, ends(hopeful), n), n, percent))
     roots = checkpoint(connected_components(edges))
 
     # What links classes: each class's nearest pairs are tried first, then all that still lie between two classes.
-    left = checkpoint(crossing(with_class(entries, roots, "sid", "class"), bits, percent).join(best.hint("merge"), ["a", "b"], "left_anti"))
+    met = crossing(with_class(entries, roots, "sid", "class"), bits, percent).join(best.hint("merge"), ["a", "b"], "left_anti")
+    left = checkpoint(likely(met, sets, percent))
     texts = None
     for nth in range(rounds):
         between = with_class(with_class(left, roots, "a", "ca"), roots, "b", "cb").where("ca <> cb")
@@ -249,7 +291,7 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs: component_id is the smallest doc_id that links lead to."""
     rows = written(described(docs, n, percent))
     # What describes a set follows from its id, so that copies become one row before anything is shuffled.
-    sets = written(rows.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", *BITS, "prefix"))))
+    sets = written(rows.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", *BITS, "wide", "prefix"))))
     roots = set_classes(sets, docs, n, percent)
     of = with_class(sets.select("sid", "least"), roots, "sid", "root")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,30 @@ def test_pairs_of_a_class_are_not_made(spark):
     bits = spark.createDataFrame([(i, 0, 0, 0, 0) for i in range(903)], "sid long, b0 long, b1 long, b2 long, b3 long")
     got = jaccard.crossing(e, bits, 90).agg(F.count("*")).first()[0]
     assert got == 3 * 900 + 3
+
+
+def test_wide_bitmaps_never_exceed_the_difference():
+    rnd = random.Random(8)
+    for _ in range(100):
+        x = {rnd.getrandbits(64) for _ in range(rnd.randrange(513, 6000))}
+        y = set(rnd.sample(sorted(x), rnd.randrange(513, len(x) + 1))) | {rnd.getrandbits(64) for _ in range(rnd.randrange(1500))}
+        wide = [jaccard.wide_bitmap(np.array(sorted(s), dtype=np.uint64)) for s in (x, y)]
+        differ = jaccard.wide_apart(*wide)
+        assert differ <= len(x ^ y) and (differ - len(x ^ y)) % 2 == 0
+    assert jaccard.wide_bitmap(np.arange(jaccard.WIDE, dtype=np.uint64)) is None
+    assert jaccard.wide_apart(wide[0], wide[0]) == 0
+
+
+def test_large_sets_at_the_bound(spark):
+    """Copies of long texts with about as many edits as a link allows, and long texts that share a passage."""
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n in (505, 520, 800, 1100, 2100):
+        base = [rnd.choice(vocab) for _ in range(n)]
+        rows += [(len(rows) + i, edited(rnd, base, n * share // 1000, vocab)) for i, share in enumerate((0, 14, 17, 18, 20, 25))]
+    passage = [rnd.choice(vocab) for _ in range(900)]
+    rows += [(len(rows) + i, " ".join(passage + [rnd.choice(vocab) for _ in range(400)])) for i in range(6)]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert 1 < len({r[2] for r in got[:30]}) < len(rows)
