@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see. Where it is unset, a temporary one in
     local mode (as in tests), and an error on a cluster, whose executors wouldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder or tempfile.mkdtemp(prefix="shared")
 
