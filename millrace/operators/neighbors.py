@@ -1,11 +1,13 @@
 """Vector search for many queries: a stored nearest-neighbour index, and an exact similarity threshold join.
 
-Both pack vectors into blocks of up to BLOCK rows, so that a join meets block with block on a key and a task
-multiplies two small matrices; only what is found leaves it.
+Both deal rows out to tiles of bounded size: a task holds the left rows of a tile as one matrix, and the right ones
+pass by it in slices, so that its memory does not grow with the input; only what is found, or counted, leaves it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -15,8 +17,14 @@ from pyspark.sql import functions as F
 
 from millrace.session import checkpoint
 
-#: Vectors of a block; rows that cells are fitted on, at most; pivots of a threshold join, and the sample that they are of.
-BLOCK, SAMPLE, PIVOTS, PIVOT_SAMPLE = 1024, 20_000, 8, 512
+#: Rows of a group of a threshold join and of a part of a cell, at most; queries that a task holds, at most.
+BLOCK, QUERIES = 65_536, 16_384
+#: Rows that pass by at a time, and left rows that they meet at a time: 4 MB of similarities.
+SLICE, LEFT = 256, 4096
+#: Groups that a threshold join aims at, if they are of SMALL rows or more; pairs of rows that are work for a task.
+GROUPS, SMALL, WORK = 16, 1024, 50_000_000
+#: Rows that cells are fitted on, at most; pivots of a threshold join, and the sample that they are of.
+SAMPLE, PIVOTS, PIVOT_SAMPLE = 20_000, 8, 512
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -30,17 +38,41 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _block(value) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of a packed block."""
-    return np.array([x["id"] for x in value], dtype=np.int64), _unit(np.array([x["v"] for x in value], dtype=float))
-
-
-def _packed(df: DataFrame, group: list[str], size: int, **more) -> DataFrame:
-    """df(id, v, group columns) as blocks of about size rows: (group columns, part, block, further aggregates).
-    A group of any size is cut into as many parts as it needs."""
+def _parted(df: DataFrame, group: list[str], size: int) -> DataFrame:
+    """df(id, group columns, ...) with part: a group of any size is cut into as many parts of about size rows as it needs."""
     counts = df.groupBy(*group).agg(F.count("*").alias("__n"))
-    dealt = df.join(counts.hint("merge"), group).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("__n") / size)))
-    return dealt.groupBy(*group, "part").agg(F.collect_list(F.struct("id", "v")).alias("block"), *(c.alias(k) for k, c in more.items()))
+    return df.join(counts.hint("merge"), group).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("__n") / size))).drop("__n")
+
+
+def _meetings(batches):
+    """Of rows (tile, side, id, n, v) in order of tile and side: (tile, side, left, right), each of them ids, numbers and
+    unit vectors; left holds all rows of the tile's side 0, right the next few of its side 1 (or 2: the left rows anew)."""
+    tile, left, parts = None, None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        tiles, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(tiles) != 0) | (np.diff(side) != 0)) + 1), b.num_rows]
+        ids, n, m = b.column(2).to_numpy(), b.column(3).to_numpy(), _unit(_matrix(b.column(4)))
+        for lo, hi in zip(edges, edges[1:]):
+            if tiles[lo] != tile:
+                tile, left, parts = tiles[lo], None, []
+            if side[lo] == 0:
+                parts.append((ids[lo:hi], n[lo:hi], m[lo:hi]))
+                continue
+            if left is None and parts:
+                left, parts = tuple(map(np.concatenate, zip(*parts))), []
+            if left is not None:
+                for at in range(lo, hi, SLICE):
+                    to = min(at + SLICE, hi)
+                    yield tile, side[lo], left, (ids[at:to], n[at:to], m[at:to])
+
+
+def _by_tile(rows: DataFrame, tiles: int, work: float) -> DataFrame:
+    """rows(tile, side, id, n, v) in order, in as many partitions as the work needs; a tile is in one of them."""
+    n = max(1, min(tiles, math.ceil(work / WORK)))
+    dealt = rows.select("tile", "side", "id", "n", "v").repartitionById(n, F.pmod("tile", F.lit(n)).cast("int"))
+    return dealt.sortWithinPartitions("tile", "side", "id")
 
 
 # --- nearest neighbours -------------------------------------------------------------------------------
@@ -48,7 +80,8 @@ def _packed(df: DataFrame, group: list[str], size: int, **more) -> DataFrame:
 
 def store(corpus: DataFrame, path: str, cells: int, key: str = "vec_id", vec: str = "embedding", seed: int = 1) -> None:
     """Writes the index of a corpus: k-means cells, fitted on SAMPLE rows or fewer (those whose key hashes
-    smallest), and all rows packed by cell, in order of cells. Null and zero vectors, which are near to nothing, are left out."""
+    smallest), and all rows (cell, part, id, v), in order of cells, whose parts have about BLOCK rows. Null and zero
+    vectors, which are near to nothing, are left out."""
     rows = corpus.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v")).where(F.exists("v", lambda x: x != 0))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(array_to_vector("v").alias("features"))
     spark = corpus.sparkSession
@@ -60,14 +93,13 @@ def store(corpus: DataFrame, path: str, cells: int, key: str = "vec_id", vec: st
         centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         celled = model.setPredictionCol("cell").transform(rows.withColumn("features", array_to_vector("v"))).drop("features")
     spark.createDataFrame(centres, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/cells")
-    packed = _packed(checkpoint(celled), ["cell"], BLOCK)
-    packed.repartitionByRange("cell", "part").sortWithinPartitions("cell", "part").write.mode("overwrite").parquet(f"{path}/vectors")
+    parted = _parted(checkpoint(celled), ["cell"], BLOCK).select("cell", "part", "id", "v")
+    parted.repartitionByRange("cell", "part", "id").sortWithinPartitions("cell", "part").write.mode("overwrite").parquet(f"{path}/vectors")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, <key>, similarity, rank) of the k nearest stored rows of every query, itself left out, among the
-    ``probes`` cells nearest to it; similarities are exact. Vectors of the cells in question are read once for
-    any number of queries."""
+    ``probes`` cells nearest to it; similarities are exact. Up to QUERIES queries meet a part of a cell at once."""
     # As many rows as there are cells, a parameter of the index.
     centres = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
     names, m = np.array([r.cell for r in centres], dtype=np.int32), _unit(np.array([r.centre for r in centres] or [[0.0]], dtype=float))
@@ -77,28 +109,53 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
             own = _unit(_matrix(b.column(1)))
             n = min(probes, len(names))
             near = np.argsort(-(own @ m.T), axis=1, kind="stable")[:, :n] if len(own) and n else np.zeros((len(own), 0), dtype=int)
-            at = np.repeat(np.arange(len(own)), near.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(names[near.reshape(-1)])], ["id", "v", "cell"])
+            for at in range(0, len(own), SLICE):  # a query is repeated for each of its cells
+                part = near[at : at + SLICE]
+                row = pa.array(np.repeat(np.arange(at, at + len(part)), part.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(names[part.reshape(-1)])], ["id", "v", "cell"])
 
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v")).where(F.exists("v", lambda x: x != 0))
-    asked = _packed(checkpoint(asked.mapInArrow(probe, "id long, v array<float>, cell int")), ["cell"], BLOCK)
-    met = asked.select("cell", F.col("block").alias("q")).join(spark.read.parquet(f"{path}/vectors").select("cell", "block").hint("merge"), "cell").select("q", "block")
+    asked = _parted(checkpoint(asked.mapInArrow(probe, "id long, v array<float>, cell int")), ["cell"], QUERIES).withColumnRenamed("part", "q")
+    stored = spark.read.parquet(f"{path}/vectors").select("cell", "part", "id", "v")
+    parts = stored.groupBy("cell", "part").agg(F.count("*").alias("rows"))
+    tiles = checkpoint(asked.groupBy("cell", "q").agg(F.count("*").alias("asked")).join(parts.hint("merge"), "cell").withColumn("tile", F.monotonically_increasing_id()))
+    size = tiles.agg(F.count("*").alias("n"), F.sum(F.col("asked") * F.col("rows")).alias("work")).first()
+    left = asked.join(tiles.select("cell", "q", "tile").hint("merge"), ["cell", "q"]).select("tile", F.lit(0).alias("side"), "id", F.lit(1).alias("n"), "v")
+    right = stored.join(tiles.select("cell", "part", "tile").hint("merge"), ["cell", "part"]).select("tile", F.lit(1).alias("side"), "id", F.lit(1).alias("n"), "v")
 
     def product(batches):
-        for b in batches:
-            for q, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                qi, qv = _block(q)
-                xi, xv = _block(x)
-                s = qv @ xv.T
-                s[qi[:, None] == xi[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(xi, s.shape), -s), axis=1)[:, :k]
-                best = np.take_along_axis(s, order, 1)
-                real = best > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, real.sum(axis=1))), pa.array(xi[order][real]), pa.array(best[real])], ["query_id", key, "similarity"])
-
-    found = met.mapInArrow(product, f"query_id long, {key} long, similarity double")
+        last, best = None, None
+
+        def found():
+            names, s, i = best
+            real = s > -np.inf
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, real.sum(axis=1))), pa.array(i[real]), pa.array(s[real])], ["query_id", key, "similarity"])
+
+        for tile, _, (qi, _, qv), (xi, _, xv) in _meetings(batches):
+            if tile != last:
+                if best is not None:
+                    yield found()
+                last, best = tile, (qi, np.full((len(qi), k), -np.inf), np.zeros((len(qi), k), dtype=np.int64))
+            for at in range(0, len(qi), LEFT):
+                own, kept, names = qi[at : at + LEFT], best[1][at : at + LEFT], best[2][at : at + LEFT]
+                s = qv[at : at + LEFT] @ xv.T
+                s[own[:, None] == xi[None, :]] = -np.inf
+                i, j = np.nonzero((s >= kept[:, -1:]) & (s > -np.inf))
+                if len(i):  # only rows as near as the last one kept
+                    todo = np.unique(i)
+                    q = np.concatenate([np.repeat(todo, k), i])
+                    value, row = np.concatenate([kept[todo].reshape(-1), s[i, j]]), np.concatenate([names[todo].reshape(-1), xi[j]])
+                    order = np.lexsort((row, -value, q))
+                    q, value, row = q[order], value[order], row[order]
+                    rank = np.arange(len(q)) - np.searchsorted(q, q)
+                    q, value, row, rank = (x[rank < k] for x in (q, value, row, rank))
+                    kept[q, rank], names[q, rank] = value, row
+        if best is not None:
+            yield found()
+
+    met = _by_tile(left.unionByName(right), size.n, size.work or 0).mapInArrow(product, f"query_id long, {key} long, similarity double")
     by = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), key)
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 # --- threshold join -----------------------------------------------------------------------------------
@@ -113,47 +170,98 @@ def _pivots(rows: DataFrame) -> np.ndarray:
     return sample[out]
 
 
-def pairs_above(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity), a < b, of all pairs of rows(id, v) with a cosine of at least ``least`` > 0: exact.
+def _tiled(rows: DataFrame, least: float) -> DataFrame:
+    """rows(id, n, v), no zero vectors, dealt to tiles so that any two rows with a cosine of at least ``least`` > 0 meet in
+    one of them, once: (tile, side, id, n, v), in order; side 0 meets side 1, or itself as side 2.
 
     Unit vectors whose cosine is that large are at most r = sqrt(2 - 2 least) apart, and so are their distances
-    to any pivot. Rows are dealt into shells of width r around the first pivot; blocks of one shell and
+    to any pivot. Rows are dealt into shells of width r around the first pivot; groups of one shell and
     nearest pivot meet those of the same and the next shell, if no other pivot's distances rule that out. How
-    much is ruled out depends on the data: the more so, the higher the threshold and the more they cluster.
+    much is ruled out depends on the data: the more so, the higher the threshold and the more they cluster. A
+    group has BLOCK rows at most, and the fewer groups, the less often a row is sent.
     """
-    rows = rows.where(F.exists("v", lambda x: x != 0))
-    if rows.isEmpty():
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity"))
     pivots, r = _pivots(rows), float(np.sqrt(max(2 - 2 * least, 0))) + 1e-9
     n = len(pivots)
 
     def measure(batches):
         for b in batches:
-            d = np.sqrt(np.maximum(2 - 2 * _unit(_matrix(b.column(1))) @ pivots.T, 0)) if b.num_rows else np.zeros((0, n))
-            arrays = [b.column(0), b.column(1), pa.array(np.floor(d[:, 0] / r).astype(np.int32)), pa.array(d.argmin(axis=1).astype(np.int32) if len(d) else np.zeros(0, np.int32)), *(pa.array(d[:, i]) for i in range(n))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "v", "shell", "near", *(f"d{i}" for i in range(n))])
-
-    measured = checkpoint(rows.select("id", "v").mapInArrow(measure, f"id long, v array<float>, shell int, near int, {', '.join(f'd{i} double' for i in range(n))}"))
+            d = np.sqrt(np.maximum(2 - 2 * _unit(_matrix(b.column(2))) @ pivots.T, 0)) if b.num_rows else np.zeros((0, n))
+            arrays = [b.column(0), b.column(1), b.column(2), pa.array(np.floor(d[:, 0] / r).astype(np.int64)), pa.array(d.argmin(axis=1).astype(np.int32) if len(d) else np.zeros(0, np.int32)), *(pa.array(d[:, i]) for i in range(n))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "v", "shell", "near", *(f"d{i}" for i in range(n))])
+
+    measured = rows.select("id", F.col("n").cast("long").alias("n"), "v").mapInArrow(measure, f"id long, n long, v array<float>, shell long, near int, {', '.join(f'd{i} double' for i in range(n))}")
+    measured = checkpoint(measured)
+    group = ["shell", "near", "part"]
+    dealt = _parted(measured, group[:2], min(BLOCK, max(SMALL, math.ceil(measured.count() / GROUPS))))
     ranges = {f"lo{i}": F.min(f"d{i}") for i in range(n)} | {f"hi{i}": F.max(f"d{i}") for i in range(n)}
-    blocks = checkpoint(_packed(measured, ["shell", "near"], BLOCK, **ranges))
-    left = blocks.select(*(F.col(c).alias(f"l_{c}") for c in blocks.columns)).withColumn("meets", F.explode(F.array(F.col("l_shell"), F.col("l_shell") + 1)))
+    groups = checkpoint(dealt.groupBy(*group).agg(F.count("*").alias("rows"), *(c.alias(x) for x, c in ranges.items())))
+    left = groups.select(*(F.col(c).alias(f"l_{c}") for c in groups.columns)).withColumn("meets", F.explode(F.array(F.col("l_shell"), F.col("l_shell") + 1)))
     once = (F.col("shell") > F.col("l_shell")) | (F.col("near") > F.col("l_near")) | ((F.col("near") == F.col("l_near")) & (F.col("part") >= F.col("l_part")))
     on = (F.col("meets") == F.col("shell")) & once
     for i in range(n):
         on &= (F.col(f"l_lo{i}") - F.col(f"hi{i}") <= r) & (F.col(f"lo{i}") - F.col(f"l_hi{i}") <= r)
+    tiles = checkpoint(left.join(groups.hint("merge"), on).select("l_shell", "l_near", "l_part", *group, (F.col("l_rows") * F.col("rows")).alias("work")).withColumn("tile", F.monotonically_increasing_id()))
+    size = tiles.agg(F.count("*").alias("n"), F.sum("work").alias("work")).first()
     same = (F.col("shell") == F.col("l_shell")) & (F.col("near") == F.col("l_near")) & (F.col("part") == F.col("l_part"))
-    met = left.join(blocks.hint("merge"), on).select(F.col("l_block").alias("x"), F.col("block").alias("y"), same.alias("same"))
+    sides = tiles.select(*(F.col(f"l_{c}").alias(c) for c in group), "tile", F.lit(0).alias("side")).unionByName(tiles.select(*group, "tile", F.when(same, 2).otherwise(1).alias("side")))
+    return _by_tile(dealt.join(sides.hint("merge"), group), size.n, size.work or 0)
+
+
+def _hits(same: bool, left, right, least: float):
+    """(positions in left, positions in right, cosines) of the pairs at or above the threshold; same: of two equal sides,
+    each pair once. Single precision finds what may be, and double precision decides."""
+    (li, _, lv), (ri, _, rv) = left, right
+    slack, small = (lv.shape[1] + 8) * 2.0**-22, rv.astype(np.float32).T.copy()
+    for at in range(0, len(li), LEFT):
+        own = lv[at : at + LEFT]
+        i, j = np.divmod(np.flatnonzero((own.astype(np.float32) @ small) >= np.float32(least - slack)), len(ri))
+        for lo in range(0, len(i), 1 << 16):
+            a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+            s = np.einsum("ij,ij->i", own[a], rv[b])
+            real = (s >= least) & (li[a + at] < ri[b]) if same else s >= least
+            yield a[real] + at, b[real], s[real]
+
+
+def pairs_above(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity), a < b, of all pairs of rows(id, v) with a cosine of at least ``least`` > 0: exact (_tiled)."""
+    rows = rows.where(F.exists("v", lambda x: x != 0))
+    if rows.isEmpty():
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity"))
 
     def product(batches):
-        for b in batches:
-            for x, y, one in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                xi, xv = _block(x)
-                yi, yv = _block(y)
-                s = xv @ yv.T
-                i, j = np.nonzero(np.triu(s >= least, 1) if one else s >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(xi[i], yi[j])), pa.array(np.maximum(xi[i], yi[j])), pa.array(s[i, j])], ["a", "b", "similarity"])
+        for _, side, left, right in _meetings(batches):
+            for i, j, s in _hits(side == 2, left, right, least):
+                a, b = left[0][i], right[0][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], ["a", "b", "similarity"])
+
+    return _tiled(rows.select("id", F.lit(1).alias("n"), "v"), least).mapInArrow(product, "a long, b long, similarity double")
+
+
+def _linked(rows: DataFrame, least: float) -> DataFrame:
+    """(id, others) of rows(id, n, v) that have any: the sum of n over all other rows with a cosine of at least ``least``.
+    Pairs are counted where they are found, a tile hands on a row for each of its rows at most."""
+
+    def product(batches):
+        last, held, others, rest = None, None, None, []
+
+        def counted():
+            ids, n = (np.concatenate(x) for x in zip(*[(held, others), *rest]))
+            return pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0])], ["id", "others"])
+
+        for tile, side, left, right in _meetings(batches):
+            if tile != last:
+                if last is not None:
+                    yield counted()
+                last, held, others, rest = tile, left[0], np.zeros(len(left[0]), dtype=np.int64), []
+            more = np.zeros(len(right[0]), dtype=np.int64)
+            for i, j, _ in _hits(side == 2, left, right, least):
+                np.add.at(others, i, right[1][j])
+                np.add.at(more, j, left[1][i])
+            rest.append((right[0][more > 0], more[more > 0]))
+        if last is not None:
+            yield counted()
 
-    return met.mapInArrow(product, "a long, b long, similarity double")
+    return _tiled(rows, least).mapInArrow(product, "id long, others long").groupBy("id").agg(F.sum("others").alias("others"))
 
 
 def links_above(corpus: DataFrame, least: float, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -161,11 +269,11 @@ def links_above(corpus: DataFrame, least: float, key: str = "vec_id", vec: str =
     a cosine of at least ``least`` > 0. Equal vectors are one row of the join, however many they are; rows
     without a direction (null or zero vectors) have no links and are the same as themselves."""
     rows = corpus.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v"))
-    distinct = checkpoint(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
-    pairs = checkpoint(pairs_above(distinct.select("id", "v"), least).select("a", "b"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = both.join(distinct.select(F.col("id").alias("b"), "n").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     direct = F.exists("v", lambda x: x != 0)
-    classes = distinct.join(other.hint("merge"), "id", "left").select("v", F.col("id").alias("same_as"), F.when(direct, F.coalesce("others", F.lit(0)) + F.col("n") - 1).otherwise(0).alias("n_links"))
+    distinct = checkpoint(rows.where(direct).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    if distinct.isEmpty():
+        return rows.select(F.col("id").alias(key), F.col("id").alias("same_as"), F.lit(0).cast("long").alias("n_links"))
+    other = checkpoint(_linked(distinct, least))
+    classes = distinct.join(other.hint("merge"), "id", "left").select("v", F.col("id").alias("same_as"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     found = rows.join(classes.hint("merge"), "v", "left")
-    return found.select(F.col("id").alias(key), F.when(direct, F.col("same_as")).otherwise(F.col("id")).alias("same_as"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return found.select(F.col("id").alias(key), F.coalesce("same_as", "id").alias("same_as"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -46,6 +46,18 @@ def test_recall_on_the_given_vectors(spark, tmp_path):
     assert len(got & exact) >= 0.9 * len(exact)
 
 
+def test_tasks_hold_parts_of_cells_and_of_queries(spark, tmp_path, monkeypatch):
+    """A row of the index is one vector, and cells of any size are cut, as are their queries."""
+    monkeypatch.setattr(neighbors, "BLOCK", 50)
+    monkeypatch.setattr(neighbors, "QUERIES", 20)
+    docs = spark.createDataFrame(clustered(900), SCHEMA)
+    neighbors.store(docs, str(tmp_path / "v"), 2)
+    stored = spark.read.parquet(str(tmp_path / "v" / "vectors"))
+    assert stored.count() == 900 and max(r["count"] for r in stored.groupBy("cell", "part").count().collect()) <= 100
+    got = {(r.query_id, r.vec_id) for r in neighbors.search(spark, str(tmp_path / "v"), docs, 3, 2).collect()}
+    assert got == {(r.query_id, r.vec_id) for r in vectors.knn(docs, docs, 3).collect()}
+
+
 @pytest.mark.parametrize("least", [0.6, 0.9, 0.97])
 def test_threshold_join(spark, monkeypatch, least):
     monkeypatch.setattr(neighbors, "BLOCK", 40)
@@ -64,6 +76,16 @@ def test_threshold_join(spark, monkeypatch, least):
     assert got == {k: (s, n if k not in range(1000, 1150) and s != 3 else n) for k, (s, n) in want.items()}
 
 
+def test_pairs_are_counted_where_they_are_found(spark, monkeypatch):
+    """Groups of bounded size meet, and a tile hands on sums: no pair leaves it, however many there are."""
+    monkeypatch.setattr(neighbors, "BLOCK", 40)
+    docs = spark.createDataFrame([(i, [1.0, 0.001 * i]) for i in range(300)], "id long, v array<float>").selectExpr("id", "1L as n", "v")
+    tiles = neighbors._tiled(docs, 0.9)
+    sizes = [r["count"] for r in tiles.groupBy("tile", "side").count().collect()]
+    assert max(sizes) <= 80 and sum(sizes) < 300 * 20
+    assert sorted(map(tuple, neighbors._linked(docs, 0.9).collect())) == [(i, 299) for i in range(300)]
+
+
 def test_shells_far_apart_do_not_meet(spark):
     """Two opposite clusters: blocks of the one never meet blocks of the other."""
     rnd = np.random.default_rng(3)
