@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,3 +87,10 @@ def test_vector_laws(spark, v):
 )
 def test_stem(word, want):
     assert analysis.stem(word) == want
+
+
+def test_stems_of_packed_lists():
+    """Lists stay packed: only a batch's different words become Python strings."""
+    got = analysis.stems.func(pa.array([["things", "thing", None], None, [], ["things"] * 3, ["é"]], pa.list_(pa.string())).slice(0, 5))
+    assert got.to_pylist() == [["thing", "thing", None], None, [], ["thing"] * 3, ["é"]]
+    assert analysis.stems.func(pa.array([["a"], ["things"]]).slice(1)).to_pylist() == [["thing"]]
