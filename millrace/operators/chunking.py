@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +23,8 @@ SEPARATORS = {
     "MARKDOWN": ["\n#{1,6} ", "\n---+\n", "\n", " ", ""],
     "JSON": ["}\n", ""],
 }
+#: Texts of a batch that are Python strings, with their chunks, at a time.
+SPLIT_ROWS = 64
 #: Languages by file type.
 LANGUAGES = {".py": "PYTHON", ".go": "GO", ".html": "HTML", ".htm": "HTML", ".js": "JS", ".ts": "TS", ".md": "MARKDOWN", ".json": "JSON"}
 
@@ -87,9 +89,12 @@ def recursive_split(docs: DataFrame, seps: list[str], size: int, text: str = "te
     """docs without the text column, with idx and chunk. The recursion over arbitrary patterns is no
     expression, hence an Arrow function, which sees nothing but the text."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else split_recursive(x, seps, size, regex, keep))
+    kind = pa.list_(pa.string())
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(s: pa.Array) -> pa.Array:
+        few = (s.slice(at, SPLIT_ROWS).to_pylist() for at in range(0, len(s), SPLIT_ROWS))  # the others stay packed
+        return pa.concat_arrays([pa.array([], kind), *(pa.array([None if x is None else split_recursive(x, seps, size, regex, keep) for x in part], kind) for part in few)])
 
     rest = [c for c in docs.columns if c != text]
     return docs.select(*rest, F.posexplode(run(F.col(text))).alias("idx", "chunk"))
