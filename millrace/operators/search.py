@@ -7,6 +7,7 @@ term is pruned; statistics of the corpus (rows, mean size, document frequencies)
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -20,6 +21,8 @@ from millrace.functions import analysis
 from millrace.session import checkpoint
 
 K1, B = 1.2, 0.75
+#: Bytes of text whose postings are in one file of an index.
+FILE_BYTES = 16 << 20
 
 
 def tokenised(docs: DataFrame, row_id: str, columns, **how) -> DataFrame:
@@ -100,9 +103,12 @@ def score(p: DataFrame, s: DataFrame) -> DataFrame:
 
 
 def store(docs: DataFrame, row_id: str, columns: dict[str, float], path: str, **how) -> None:
-    """Writes the index of docs, ordered by term, so that a query reads the row groups of its terms only."""
-    p = postings(docs, row_id, columns, **how)
-    p.repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id").write.mode("overwrite").parquet(f"{path}/postings")
+    """Writes the index of docs: a file holds the postings of some rows, ordered by term, so that a query reads the pages
+    of its terms only. Texts are shuffled once, by row, and their postings are counted and sorted where they then are."""
+    size = reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(c), F.lit(0)) for c in columns))
+    files = math.ceil((docs.agg(F.sum(size).alias("n")).first().n or 0) / FILE_BYTES)
+    dealt = docs.select(*dict.fromkeys([row_id, *columns])).repartition(max(1, files), row_id)
+    postings(dealt, row_id, columns, **how).sortWithinPartitions("term", "row_id").write.mode("overwrite").parquet(f"{path}/postings")
     statistics(docs, row_id, columns, **how).write.mode("overwrite").parquet(f"{path}/statistics")
 
 

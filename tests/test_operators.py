@@ -208,3 +208,21 @@ def test_callers_are_rows(spark):
     f = spark.createDataFrame([(f"f{i}", ["f0", "print"]) for i in range(20)], "name string, calls array<string>")
     assert sorted(r.caller for r in code.callers(f).collect()) == sorted(f"f{i}" for i in range(20))
     assert {(r.name, r.total_called_by) for r in code.counts(f).collect()} == {("f0", 20)} | {(f"f{i}", 0) for i in range(1, 20)}
+
+
+def test_recursive_split_takes_a_batch_in_parts(spark):
+    texts = [None if i % 50 == 7 else "ab, cd. " * (i % 9) + "x" * i for i in range(3 * chunking.SPLIT_ROWS + 5)]
+    got = chunking.recursive_split(docs(spark, *texts).coalesce(1), [", ", ". "], 10)
+    want = [(i, j, c) for i, t in enumerate(texts) if t is not None for j, c in enumerate(chunking.split_recursive(t, [", ", ". "], 10))]
+    assert sorted(map(tuple, got.select("doc_id", "idx", "chunk").collect())) == want
+
+
+def test_postings_of_a_row_are_stored_in_one_file(spark, tmp_path, monkeypatch):
+    """Postings are not shuffled: texts are, once, by row."""
+    monkeypatch.setattr(search, "FILE_BYTES", 500)
+    d = docs(spark, *(f"the word w{i} " * (1 + i % 5) for i in range(60)), None)
+    search.store(d, "doc_id", {"text": 1.0}, str(tmp_path / "i"))
+    p = spark.read.parquet(str(tmp_path / "i" / "postings")).withColumn("file", F.input_file_name())
+    assert p.select("file").distinct().count() > 2 and p.select("row_id", "file").distinct().count() == 60
+    key = lambda df: sorted((r.row_id, round(r.score, 9)) for r in df.collect())
+    assert key(search.stored(spark, str(tmp_path / "i"), ["word", "w7"])) == key(search.bm25(d, "doc_id", {"text": 1.0}, ["word", "w7"]))
