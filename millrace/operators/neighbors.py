@@ -53,19 +53,28 @@ def _meetings(batches):
             continue
         tiles, side = b.column(0).to_numpy(), b.column(1).to_numpy()
         edges = [0, *(np.flatnonzero((np.diff(tiles) != 0) | (np.diff(side) != 0)) + 1), b.num_rows]
-        ids, n, m = b.column(2).to_numpy(), b.column(3).to_numpy(), _unit(_matrix(b.column(4)))
         for lo, hi in zip(edges, edges[1:]):
             if tiles[lo] != tile:
                 tile, left, parts = tiles[lo], None, []
-            if side[lo] == 0:
-                parts.append((ids[lo:hi], n[lo:hi], m[lo:hi]))
-                continue
-            if left is None and parts:
-                left, parts = tuple(map(np.concatenate, zip(*parts))), []
-            if left is not None:
-                for at in range(lo, hi, SLICE):
-                    to = min(at + SLICE, hi)
-                    yield tile, side[lo], left, (ids[at:to], n[at:to], m[at:to])
+            if side[lo] != 0 and left is None and parts:
+                left, parts = _held(parts), []
+            for at in range(lo, hi, SLICE):  # numbers of double precision are made of a slice, not of a batch
+                own = b.slice(at, min(SLICE, hi - at))
+                few = own.column(2).to_numpy().copy(), own.column(3).to_numpy().copy(), _matrix(own.column(4))
+                if side[lo] == 0:
+                    parts.append((*few[:2], few[2].astype(np.float32)))
+                elif left is not None:
+                    yield tile, side[lo], left, (*few[:2], _unit(few[2]))
+
+
+def _held(parts):
+    """Slices of ids, numbers and vectors (of floats) as one each, with unit vectors; the slices go while they are read."""
+    ids, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    m, at = np.empty((len(ids), parts[0][2].shape[1])), len(ids)
+    while parts:
+        v = _unit(parts.pop()[2].astype(float))
+        m[at - len(v) : at], at = v, at - len(v)
+    return ids, n, m
 
 
 def _by_tile(rows: DataFrame, tiles: int, work: float) -> DataFrame:
@@ -92,11 +101,52 @@ def store(corpus: DataFrame, path: str, cells: int, key: str = "vec_id", vec: st
         model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(sample)
         centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         celled = model.setPredictionCol("cell").transform(rows.withColumn("features", array_to_vector("v"))).drop("features")
-    spark.createDataFrame(centres, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/cells")
+    # From Arrow, as rows would take Python workers that only hold memory from then on.
+    held = pa.table({"cell": pa.array([i for i, _ in centres], pa.int32()), "centre": pa.array([c for _, c in centres], pa.list_(pa.float64()))})
+    spark.createDataFrame(held).write.mode("overwrite").parquet(f"{path}/cells")
     parted = _parted(checkpoint(celled), ["cell"], BLOCK).select("cell", "part", "id", "v")
     parted.repartitionByRange("cell", "part", "id").sortWithinPartitions("cell", "part").write.mode("overwrite").parquet(f"{path}/vectors")
 
 
+def _nearest(batches, k: int):
+    """(query ids, ids, similarities) of the k nearest right rows of every left row of a tile (_meetings), ties to the
+    smaller id. As right rows pass in order of id, one that is as near as the last one kept is too late."""
+    last, best = None, None
+
+    def found():
+        names, s, i = best
+        real = s > -np.inf
+        return np.repeat(names, real.sum(axis=1)), i[real], s[real]
+
+    for tile, _, (qi, _, qv), (xi, _, xv) in _meetings(batches):
+        if tile != last:
+            if best is not None:
+                yield found()
+            last, best = tile, (qi, np.full((len(qi), k), -np.inf), np.zeros((len(qi), k), dtype=np.int64))
+        for at in range(0, len(qi), LEFT):
+            own, kept, names = qi[at : at + LEFT], best[1][at : at + LEFT], best[2][at : at + LEFT]
+            s = qv[at : at + LEFT] @ xv.T
+            s[own[:, None] == xi[None, :]] = -np.inf
+            near = s > kept[:, -1:]
+            if np.count_nonzero(near) > k * len(own):  # of no row more than k, also while little is kept
+                first = np.argsort(np.where(near, -s, np.inf), axis=1, kind="stable")[:, :k]
+                nearest = np.zeros_like(near)
+                np.put_along_axis(nearest, first, True, axis=1)
+                near &= nearest
+            i, j = np.nonzero(near)
+            if len(i):
+                todo = np.unique(i)
+                q = np.concatenate([np.repeat(todo, k), i])
+                value, row = np.concatenate([kept[todo].reshape(-1), s[i, j]]), np.concatenate([names[todo].reshape(-1), xi[j]])
+                order = np.lexsort((row, -value, q))
+                q, value, row = q[order], value[order], row[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                q, value, row, rank = (x[rank < k] for x in (q, value, row, rank))
+                kept[q, rank], names[q, rank] = value, row
+    if best is not None:
+        yield found()
+
+
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(query_id, <key>, similarity, rank) of the k nearest stored rows of every query, itself left out, among the
     ``probes`` cells nearest to it; similarities are exact. Up to QUERIES queries meet a part of a cell at once."""
@@ -105,14 +155,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     names, m = np.array([r.cell for r in centres], dtype=np.int32), _unit(np.array([r.centre for r in centres] or [[0.0]], dtype=float))
 
     def probe(batches):
+        n = min(probes, len(names))
         for b in batches:
-            own = _unit(_matrix(b.column(1)))
-            n = min(probes, len(names))
-            near = np.argsort(-(own @ m.T), axis=1, kind="stable")[:, :n] if len(own) and n else np.zeros((len(own), 0), dtype=int)
-            for at in range(0, len(own), SLICE):  # a query is repeated for each of its cells
-                part = near[at : at + SLICE]
-                row = pa.array(np.repeat(np.arange(at, at + len(part)), part.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(names[part.reshape(-1)])], ["id", "v", "cell"])
+            for at in range(0, b.num_rows if n else 0, SLICE):  # a query is repeated for each of its cells
+                part = b.slice(at, SLICE)
+                near = np.argsort(-(_unit(_matrix(part.column(1))) @ m.T), axis=1, kind="stable")[:, :n]
+                row = pa.array(np.repeat(np.arange(len(near)), n))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(names[near.reshape(-1)])], ["id", "v", "cell"])
 
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("v")).where(F.exists("v", lambda x: x != 0))
     asked = _parted(checkpoint(asked.mapInArrow(probe, "id long, v array<float>, cell int")), ["cell"], QUERIES).withColumnRenamed("part", "q")
@@ -124,34 +173,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     right = stored.join(tiles.select("cell", "part", "tile").hint("merge"), ["cell", "part"]).select("tile", F.lit(1).alias("side"), "id", F.lit(1).alias("n"), "v")
 
     def product(batches):
-        last, best = None, None
-
-        def found():
-            names, s, i = best
-            real = s > -np.inf
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, real.sum(axis=1))), pa.array(i[real]), pa.array(s[real])], ["query_id", key, "similarity"])
-
-        for tile, _, (qi, _, qv), (xi, _, xv) in _meetings(batches):
-            if tile != last:
-                if best is not None:
-                    yield found()
-                last, best = tile, (qi, np.full((len(qi), k), -np.inf), np.zeros((len(qi), k), dtype=np.int64))
-            for at in range(0, len(qi), LEFT):
-                own, kept, names = qi[at : at + LEFT], best[1][at : at + LEFT], best[2][at : at + LEFT]
-                s = qv[at : at + LEFT] @ xv.T
-                s[own[:, None] == xi[None, :]] = -np.inf
-                i, j = np.nonzero((s >= kept[:, -1:]) & (s > -np.inf))
-                if len(i):  # only rows as near as the last one kept
-                    todo = np.unique(i)
-                    q = np.concatenate([np.repeat(todo, k), i])
-                    value, row = np.concatenate([kept[todo].reshape(-1), s[i, j]]), np.concatenate([names[todo].reshape(-1), xi[j]])
-                    order = np.lexsort((row, -value, q))
-                    q, value, row = q[order], value[order], row[order]
-                    rank = np.arange(len(q)) - np.searchsorted(q, q)
-                    q, value, row, rank = (x[rank < k] for x in (q, value, row, rank))
-                    kept[q, rank], names[q, rank] = value, row
-        if best is not None:
-            yield found()
+        for found in _nearest(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", key, "similarity"])
 
     met = _by_tile(left.unionByName(right), size.n, size.work or 0).mapInArrow(product, f"query_id long, {key} long, similarity double")
     by = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), key)

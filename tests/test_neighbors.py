@@ -1,6 +1,9 @@
 """Nearest neighbours and threshold joins against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_catalog import DATA
 
@@ -101,3 +104,56 @@ def test_empty(spark, tmp_path):
     neighbors.store(none, str(tmp_path / "v"), 4)
     assert neighbors.search(spark, str(tmp_path / "v"), none, 3, 2).count() == 0
     assert neighbors.links_above(none, 0.5).count() == 0
+
+
+def tile(left, right, dim, seed=2, alike=False):
+    """Arrow batches of 10,000 rows, as Spark hands them to a task: one tile of left and right rows."""
+    v = np.random.default_rng(seed).normal(size=(left + right, dim)).astype(np.float32)
+    v[:] = v[0] if alike else v
+    side, n = np.repeat([0, 1], [left, right]).astype(np.int32), np.ones(left + right, dtype=np.int64)
+    ids = np.r_[np.arange(left) * 3, np.arange(right)]
+    whole = pa.RecordBatch.from_arrays([pa.array(n), pa.array(side), pa.array(ids), pa.array(n), pa.ListArray.from_arrays(np.arange(0, v.size + 1, dim, dtype=np.int32), v.reshape(-1))], ["tile", "side", "id", "n", "v"])
+    return [whole.slice(at, 10_000) for at in range(0, left + right, 10_000)], v[:left].astype(float), v[left:].astype(float), ids[:left]
+
+
+def peak(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_passes_in_slices():
+    """A batch of 10,000 vectors of 512 numbers would be 41 MB of double precision, and as much again for unit vectors."""
+    batches, *_ = tile(300, 9_700, 512)
+    assert peak(lambda: [None for _ in neighbors._meetings(batches)]) < 12
+    assert sum(len(right[0]) for *_, right in neighbors._meetings(batches)) == 9_700
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_memory_of_a_search_task(alike):
+    """What a slice and 4,096 queries may give is k rows a query, also at the start and where all vectors are equal."""
+    batches, q, x, ids = tile(4096, 2000, 16, alike=alike)
+    found = []
+    assert peak(lambda: found.extend(neighbors._nearest(batches, 5))) < 64
+    got = {}
+    for a, b, s in zip(*map(np.concatenate, zip(*found))):
+        got.setdefault(int(a), []).append((int(b), s))
+    some = range(0, 4096, 37)
+    for i in some:
+        c = (x @ q[i]) / np.linalg.norm(x, axis=1) / np.linalg.norm(q[i])
+        want = [int(j) for j in np.lexsort((np.arange(len(x)), -c.round(12))) if j != ids[i]][:5]
+        assert [j for j, _ in got[int(ids[i])]] == want
+        assert np.allclose([s for _, s in got[int(ids[i])]], c[want])
+
+
+def test_centres_take_no_python_worker(spark, tmp_path, monkeypatch):
+    def no(*_, **__):
+        raise AssertionError("rows are pickled")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", no)
+    docs = spark.range(60).selectExpr("id as vec_id", "array(cast(id % 3 as float), 1f) as embedding")
+    neighbors.store(docs, str(tmp_path / "v"), 3)
+    assert spark.read.parquet(str(tmp_path / "v" / "cells")).count() == 3
